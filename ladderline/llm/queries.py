@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, shared, tokens
+from . import packing, pii, quality, shared, tokens, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,20 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_spans(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = warc.write_archives(table(spark, sf_dir, "pages"), shared.new_folder(spark, "warc"))
+    return warc.read_archives(spark, paths)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), shared.new_folder(spark, "tokens")
     manifest = tokens.write_token_files(docs, folder, vocabulary("word_bpe_49k.json"), end_id=1)
@@ -32,5 +46,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_token_files, op9_best_fit_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op4_pii, op5_toxicity, op7_warc, op8_token_files, op9_best_fit_packing, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
