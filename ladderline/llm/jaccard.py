@@ -321,7 +321,11 @@ def _wanted(batch: pa.RecordBatch, bitmap: np.ndarray) -> Iterator[tuple[pa.Arra
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents themselves, with one of each component: the one with the smallest doc_id. Rows without an id stay."""
-    keep = link(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    names = docs.columns
-    with_id = docs.filter("doc_id is not null").join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return with_id.select(*names).unionByName(docs.filter("doc_id is null").select(*names))
+    found = shared.written(link(docs).select("doc_id", "component_id"), "components").filter("doc_id is not null")
+    # rows that share an id: gone only if none of them names its component
+    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("names"), F.count("*").alias("c"))
+    ids = shared.written(ids.filter("not names or c > 1"), "duplicates")
+    same = F.col("doc_id") == F.col("_id")
+    rest = docs.join(shared.bounded(ids.select("_id")), same, "left_anti")
+    again = docs.join(shared.bounded(ids.filter("names").select("_id")), same, "left_semi").dropDuplicates(["doc_id"])
+    return rest.unionByName(again)

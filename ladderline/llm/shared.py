@@ -85,3 +85,12 @@ def publish(path: str, name: str, write) -> str:
         write(out)
     store.move(part, f"{at}/{name}")
     return f"{path}/{name}"
+
+
+#: Rows of ids, or of small structs, that may be broadcast; counted before.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table marked for broadcast if it has so few rows, and as it is, for a shuffled join, beyond. It should be a written one."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
