@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Tokens that a comparison by stem drops.
 SUFFIX_TOKENS = ["inc", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "holdings", "group", "the", "ai", "io", "labs", "lab", "technologies", "technology", "systems", "system"]
@@ -28,14 +29,14 @@ def norm_ascii(x: Column) -> Column:
     return squeeze(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def norm_nfkd(s: pd.Series) -> pd.Series:
     """The join key of any name: NFKD, lower case, everything but a-z and 0-9 a gap (STR2)."""
     folded = s.map(lambda v: unicodedata.normalize("NFKD", v).lower(), na_action="ignore")
     return folded.str.replace("[^a-z0-9]+", " ", regex=True).str.strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefolded(s: pd.Series) -> pd.Series:
     """Full case folding, which lower() is not (T2)."""
     return s.str.casefold()

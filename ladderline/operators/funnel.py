@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RUNGS = {4: "prelim", 5: "deep", 6: "negotiate", 7: "legal"}
-_BY_DATE = Window.partitionBy("entity_id").orderBy("meeting_date", "observation_id")
 
 
 def effective(obs: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -50,7 +49,8 @@ def dwell(obs: DataFrame) -> DataFrame:
 
 def transitions(obs: DataFrame) -> DataFrame:
     """Changes of stage in order of date and id (WIN1)."""
-    prev = obs.withColumn("from_stage", F.lag("stage_id").over(_BY_DATE)).withColumn("from_date", F.lag("meeting_date").over(_BY_DATE))
+    w = Window.partitionBy("entity_id").orderBy("meeting_date", "observation_id")
+    prev = obs.withColumn("from_stage", F.lag("stage_id").over(w)).withColumn("from_date", F.lag("meeting_date").over(w))
     return prev.filter("from_stage is not null and from_stage <> stage_id").withColumn("delta", F.col("stage_id") - F.col("from_stage"))
 
 
