@@ -42,7 +42,7 @@ def contradictions(rows: DataFrame, end: str, days: int = RECENT_DAYS) -> DataFr
 def agreement(rows: DataFrame, groups: str, thesis: str, spelled: dict[str, str]) -> DataFrame:
     """Whether any of a row's groups, spelled as theses, is its thesis (JN18)."""
     mapped = F.create_map(*(F.lit(x) for kv in spelled.items() for x in kv))
-    parts = F.transform(F.filter(F.transform(F.split(groups, ";"), F.trim), lambda g: g != ""), lambda g: F.coalesce(F.try_element_at(mapped, g), g))
+    parts = F.transform(F.filter(F.transform(F.split(groups, ";"), lambda g: F.trim(g)), lambda g: g != ""), lambda g: F.coalesce(F.try_element_at(mapped, g), g))
     return rows.withColumn("agrees", F.array_contains(parts, F.col(thesis)).cast("int"))
 
 

@@ -316,11 +316,10 @@ def q_name_norm(s, d):
     return _plain(s, d).select("doc_id", X.norm_name(F.col("name")).alias("norm"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_transform(list_sort(list_distinct(list_transform(parts, lambda t: lower(t)))), lambda k: list_filter(parts, lambda t: lower(t) = k)[1]), ', ') AS tags FROM (SELECT doc_id, list_filter(list_transform(string_split(name, ' '), lambda t: trim(t)), lambda t: t <> '') AS parts FROM ({_PLAIN}))")
+@query(f"SELECT doc_id, array_to_string(list_transform(list_sort(list_distinct(list_transform(parts, lambda t: lower(t)))), lambda k: list_filter(parts, lambda t: lower(t) = k)[1]), ', ') AS tags FROM (SELECT doc_id, list_filter(string_split(replace(name, ',', ''), ' '), lambda t: t <> '') AS parts FROM ({_PLAIN}))")
 def q_tag_canonical(s, d):
-    # words as tags: commas belong to the words here, so they are kept out of the separator's way
-    named = _plain(s, d).select("doc_id", F.translate("name", ",", "\x01").alias("name"))
-    return named.select("doc_id", F.translate(F.array_join(X.tags(F.translate("name", " ", ",")), "\x02"), "\x01", ",").alias("t")).select("doc_id", F.replace("t", F.lit("\x02"), F.lit(", ")).alias("tags"))
+    words = F.translate(F.replace("name", F.lit(","), F.lit("")), " ", ",")
+    return _plain(s, d).select("doc_id", F.array_join(X.tags(words), ", ").alias("tags"))
 
 
 @query(f"SELECT doc_id, array_to_string(parts, '|') AS parts FROM (SELECT doc_id, name, list_filter(list_transform(regexp_split_to_array(name, '[/,]'), lambda p: trim(p, ' /,:')), lambda p: p <> '') AS parts FROM ({_PLAIN})) WHERE regexp_matches(name, '[A-Za-z]\\s*[/,]\\s*[A-Za-z]') AND len(parts) >= 2")

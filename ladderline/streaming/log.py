@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..operators import funnel
 
 
-def stream_observations(spark: SparkSession, folder: str, schema: str, per_trigger: int = 8) -> DataFrame:
+def stream_observations(spark: SparkSession, folder: str, schema: str | StructType, per_trigger: int = 8) -> DataFrame:
     """New Parquet files of a log as a stream."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
