@@ -12,7 +12,8 @@ order gives the same links. The boundary between the two is the one of least est
 the counts of sets of each size.
 
 Sets that are equal are one class, represented by its smallest doc_id; only representatives go on.
-The documents of a list form a family, named by the smallest of them. A family's documents are
+The documents of a list form a family, named by the smallest of them, or by that of a family with a
+smaller name which one of them stands in too. A family's documents are
 compared in blocks: a large family is split into pairs of blocks, each a task's work, and only each
 document's count of links and a spanning forest of the links come back, never the pairs. Components
 are then found by star contraction over written tables.
@@ -41,11 +42,11 @@ from . import shared
 WORDS = 5
 U = np.uint64
 #: Counters of the sketch, as a power of two, and counters of one of its rows.
-SKETCH_BITS, SKETCH_CHUNK = 20, 4096
+SKETCH_BITS, SKETCH_CHUNK = 22, 4096
 #: Bits of the bitmaps that spare work on documents that cannot matter (joins decide exactly).
 FILTER_BITS = 26
 #: Sets of a block at most, by expectation, and shingles of a block.
-BLOCK_SETS, BLOCK_SHINGLES = 384, 300_000
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
 #: No boundary beyond this size is tried: a set of 16 has some thousand subsets.
 LARGEST_LIGHT = 16
 #: Cost of comparing one shingle, in signatures.
@@ -89,7 +90,7 @@ def summarised(docs: DataFrame) -> DataFrame:
                 slot = K.id_slots(ids.fill_null(0).to_numpy(zero_copy_only=False), FILTER_BITS)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(_bits(np.array(s1, U))), pa.array(_bits(np.array(s2, U))), pa.array(slot), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         if sketch.any():
-            parts = sketch.reshape(-1, SKETCH_CHUNK)
+            parts = np.minimum(sketch, 255).astype(np.uint8).reshape(-1, SKETCH_CHUNK)
             used = np.flatnonzero(parts.any(axis=1))
             none = pa.nulls(len(used), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())], names)
@@ -104,7 +105,7 @@ def sketch_classes(summary: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                part = np.frombuffer(counts, np.int32).astype(np.int64)
+                part = np.frombuffer(counts, np.uint8).astype(np.int64)
                 total[chunk] = total[chunk] + part if chunk in total else part
         for chunk, part in total.items():
             levels = np.round(2 * np.log2(part + 1)).astype(np.uint8)
@@ -180,7 +181,7 @@ def compare_block(pivot: int, same: bool, ids: np.ndarray, left: np.ndarray, set
     order = np.argsort(code, kind="stable")
     owner, code = owner[order], code[order]
     overlap = np.zeros((len(a), len(b)), np.float32)
-    width = 8192
+    width = 4096
     for at in range(0, int(code[-1]) + 1 if len(code) else 0, width):  # the inverted lists of some shingles at a time
         lo, hi = np.searchsorted(code, [at, at + width])
         lists = np.zeros((len(sets), min(width, int(code[-1]) + 1 - at)), np.float32)
@@ -280,10 +281,14 @@ def link(docs: DataFrame) -> DataFrame:
     met = entries.join(lists, "key").select("pivot", F.col("doc_id").alias("member")).distinct()
     known = reps.groupBy(F.col("rep").alias("member")).agg(F.max("copies").alias("weight"), F.max("n").alias("n"), F.first("slot").alias("slot"))
     met = shared.written(met.join(known, "member"), "families")
+    # families that meet in a document with a smaller family take its name: near copies then stand in one family, not in one for each smallest document of a list
     least = met.groupBy("member").agg(F.min("pivot").alias("least"))
-    kept = met.join(least, "member").groupBy("pivot").agg(F.min("least").alias("lo"), F.max("least").alias("hi"), F.count("*").alias("c"), F.sum("n").alias("total"))
-    # a family whose documents all stand in one smaller family adds no pair
-    kept = kept.filter("c > 1 and not (lo = hi and lo < pivot)").selectExpr("pivot", f"cast(greatest(ceil(c / {BLOCK_SETS}), ceil(total / {BLOCK_SHINGLES})) as int) g")
+    names = met.join(least, "member").groupBy("pivot").agg(F.min("least").alias("name"))
+    met = met.join(names, "pivot").drop("pivot").withColumnRenamed("name", "pivot").distinct()
+    met = shared.written(met.select("pivot", "member", "weight", "n", "slot"), "families")
+    kept = met.groupBy("pivot").agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    # two documents whose sizes lie too far apart cannot link
+    kept = kept.filter("c > 2 or c = 2 and 5 * lo >= 4 * hi").selectExpr("pivot", f"cast(greatest(ceil(c / {BLOCK_SETS}), ceil(total / {BLOCK_SHINGLES})) as int) g")
     met = shared.written(met.join(kept, "pivot"), "families")
     place = met.join(met.groupBy("member").agg(F.array_sort(F.collect_list("pivot")).alias("families")), "member")
     needed = shared.bitmap(met.select("slot"), FILTER_BITS)
@@ -322,10 +327,11 @@ def _wanted(batch: pa.RecordBatch, bitmap: np.ndarray) -> Iterator[tuple[pa.Arra
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents themselves, with one of each component: the one with the smallest doc_id. Rows without an id stay."""
     found = shared.written(link(docs).select("doc_id", "component_id"), "components").filter("doc_id is not null")
+    own = shared.fresh(docs, "_id")
     # rows that share an id: gone only if none of them names its component
-    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("names"), F.count("*").alias("c"))
+    ids = found.groupBy(F.col("doc_id").alias(own)).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("names"), F.count("*").alias("c"))
     ids = shared.written(ids.filter("not names or c > 1"), "duplicates")
-    same = F.col("doc_id") == F.col("_id")
-    rest = docs.join(shared.bounded(ids.select("_id")), same, "left_anti")
-    again = docs.join(shared.bounded(ids.filter("names").select("_id")), same, "left_semi").dropDuplicates(["doc_id"])
+    same = F.col("doc_id") == F.col(own)
+    rest = docs.join(shared.bounded(ids.select(own)), same, "left_anti")
+    again = docs.join(shared.bounded(ids.filter("names").select(own)), same, "left_semi").dropDuplicates(["doc_id"])
     return rest.unionByName(again)
