@@ -154,5 +154,6 @@ def flagged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item."""
-    bad = shared.written(matches(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(shared.bounded(bad), F.col("doc_id") == F.col("_bad"), "left_anti")
+    own = shared.fresh(docs, "_bad")
+    bad = shared.written(matches(docs, benchmark).select(F.col("doc_id").alias(own)).distinct(), "contaminated")
+    return docs.join(shared.bounded(bad), F.col("doc_id") == F.col(own), "left_anti")

@@ -94,3 +94,10 @@ BROADCAST_ROWS = 200_000
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The table marked for broadcast if it has so few rows, and as it is, for a shuffled join, beyond. It should be a written one."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
