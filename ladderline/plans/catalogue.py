@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import funnel as V
 from ..operators import history as H
+from ..operators import ingest as I
 from ..operators import metrics as M
 from ..operators import report as P
 from ..operators import resolve as R
@@ -566,3 +567,49 @@ def q_batch_add_company(s, d):
     asked = S.table(s, d, "customer").selectExpr("c_custkey ask_id", "c_name name", "CASE WHEN c_custkey % 9 = 0 THEN '' ELSE concat('https://www.', lower(replace(c_name, '#', '-')), '.com/') END website", "CASE WHEN c_custkey % 11 = 0 THEN 'Slides' ELSE 'Manual' END source", "CASE WHEN c_custkey % 13 = 0 THEN 'lots' ELSE '$1,000' END round_size", "concat(c_mktsegment, ', ', lower(c_mktsegment)) tags")
     out = L.add_companies(asked, entities, _aliases(s, d))
     return out["accepted"].selectExpr("ask_id", "name", "'accepted' outcome").unionByName(out["rejected"].selectExpr("ask_id", "name", "fault outcome"))
+
+
+@query("SELECT doc_id AS entity_id, 'website' AS field, CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END AS value_text, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 <> 0 THEN 'Public' ELSE 'Affinity' END AS source, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 <> 0 THEN 'c' || doc_id END AS citation FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, 'working_group', lang, CASE WHEN doc_id % 5 = 0 THEN 'Slides' ELSE 'Affinity' END, NULL FROM documents WHERE doc_id % 5 <> 1")
+def q_attributed_fields(s, d):
+    docs = S.table(s, d, "documents")
+    flags = ["doc_id % 3 = 0 enriched", "CASE WHEN doc_id % 4 <> 0 THEN concat('c', doc_id) END citation", "CASE doc_id % 5 WHEN 0 THEN 'Slide section' WHEN 1 THEN 'MISSING' ELSE 'Sheet' END group_source"]
+    web = docs.selectExpr("doc_id entity_id", "'website' field", "CASE WHEN doc_id % 7 = 0 THEN 'UNKNOWN' WHEN doc_id % 2 = 0 THEN source ELSE lang END value_text", *flags)
+    return I.attributed(web.unionByName(docs.selectExpr("doc_id entity_id", "'working_group' field", "lang value_text", *flags)))
+
+
+@query("SELECT c_custkey AS entity_id, 'website' AS field, 'not_checked' AS state FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'owner_name', 'not_checked' FROM customer WHERE c_custkey % 3 = 0")
+def q_gap_rows(s, d):
+    flags = S.table(s, d, "customer").selectExpr("c_custkey", "c_custkey % 2 = 0 needs_website", "CASE WHEN c_custkey % 3 = 0 THEN true END needs_owner")
+    return I.gap_rows(flags, "c_custkey", {"needs_website": "website", "needs_owner": "owner_name"})
+
+
+CTE["wraps"] = "SELECT row_number() OVER (ORDER BY name) AS entity_id, CASE WHEN name LIKE 'a%' THEN '/' || name ELSE name END AS name FROM names"
+
+
+@query("SELECT entity_id, NULL::BIGINT AS target_id, 'line_wrap_candidate' AS kind, 0.9::DOUBLE AS confidence FROM wraps WHERE name LIKE '/%' UNION ALL SELECT a.entity_id, b.entity_id, 'merge_proposal', CASE WHEN contains(a.name, ' ') THEN 0.6::DOUBLE ELSE 0.75::DOUBLE END FROM wraps a JOIN wraps b ON length(b.name) > length(a.name) AND (starts_with(b.name, a.name || ' ') OR ends_with(b.name, ' ' || a.name)) WHERE a.name NOT LIKE '/%'")
+def q_line_wraps(s, d):
+    w = Window.orderBy("name")  # the distinct names of a small vocabulary
+    rows = B.names(s, d).select(F.row_number().over(w).cast("long").alias("entity_id"), F.expr("CASE WHEN name LIKE 'a%' THEN concat('/', name) ELSE name END").alias("name"))
+    return I.line_wraps(rows)
+
+
+@query("SELECT CASE WHEN k = 0 THEN '_no value_' WHEN k <= 2 THEN 'Seed' WHEN k = 3 THEN 'A' WHEN k <= 5 THEN 'B+' ELSE 'other' END AS round_group, count(*) AS n FROM (SELECT c_custkey % 7 AS k FROM customer) GROUP BY 1")
+def q_round_groups(s, d):
+    rows = S.table(s, d, "customer").selectExpr("CASE c_custkey % 7 WHEN 1 THEN 'Preseed' WHEN 2 THEN 'Seed' WHEN 3 THEN 'Series A' WHEN 4 THEN 'Series B' WHEN 5 THEN 'Series C' WHEN 6 THEN 'Grant' END r")
+    return I.round_groups(rows, "r")
+
+
+@query("SELECT coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END, 'blank: ' || CASE WHEN c_custkey % 3 = 1 THEN 'not_checked' ELSE 'untracked' END) AS value, count(*) AS n FROM customer GROUP BY 1")
+def q_geography_gap_split(s, d):
+    rows = S.table(s, d, "customer").selectExpr("CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END v", "CASE WHEN c_custkey % 3 = 1 THEN 'not_checked' END g")
+    return I.gap_split(rows, "v", "g")
+
+
+@query("SELECT qid % 7 AS stage, count(*) AS companies, count(*) FILTER (WHERE tier IN ('exact', 'alias', 'suffix', 'prefix')) AS with_folder, count(*) FILTER (WHERE tier = 'ambiguous') AS ambiguous FROM matched GROUP BY 1")
+def q_folder_coverage(s, d):
+    return I.folder_coverage(q_match_ladder(s, d).withColumn("st", F.col("qid") % 7), "st", "tier")
+
+
+@query(f"SELECT name, count(*) AS n FROM (WITH al AS ({_ALIASES}), seen AS ({_SEEN}) SELECT s.name FROM seen s WHERE s.name NOT IN (SELECT alias_text FROM al) AND {_LOW.format(x='s.name')} NOT IN (SELECT {_LOW.format(x='alias_text')} FROM al GROUP BY 1 HAVING count(DISTINCT entity_id) = 1)) GROUP BY 1")
+def q_first_appearances(s, d):
+    return I.first_appearances(q_alias_resolution(s, d))
