@@ -12,8 +12,10 @@ order gives the same links. The boundary between the two is the one of least est
 the counts of sets of each size.
 
 Sets that are equal are one class, represented by its smallest doc_id; only representatives go on.
-The documents of a list form a family, named by the smallest of them, or by that of a family with a
-smaller name which one of them stands in too. A family's documents are
+In a short list the pairs are counted, and only those stay that share as many prefix keys as a link
+between sets of their sizes must. The documents of a longer list, and of such pairs, form a family,
+named by the smallest of them, or by that of a family with a smaller name which one of them stands
+in too. A family's documents are
 compared in blocks: a large family is split into pairs of blocks, each a task's work, and only each
 document's count of links and a spanning forest of the links come back, never the pairs. Components
 are then found by star contraction over written tables.
@@ -47,6 +49,8 @@ SKETCH_BITS, SKETCH_CHUNK = 22, 4096
 FILTER_BITS = 26
 #: Sets of a block at most, by expectation, and shingles of a block.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
+#: Documents of a list up to which its pairs are counted one by one; longer lists make families at once.
+SHORT_LIST = 8
 #: No boundary beyond this size is tried: a set of 16 has some thousand subsets.
 LARGEST_LIGHT = 16
 #: Cost of comparing one shingle, in signatures.
@@ -99,7 +103,7 @@ def summarised(docs: DataFrame) -> DataFrame:
 
 
 def sketch_classes(summary: DataFrame) -> np.ndarray:
-    """Half powers of two of each counter's sum over all tasks; of fixed size."""
+    """Quarter powers of two of each counter's sum over all tasks; of fixed size."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -108,7 +112,7 @@ def sketch_classes(summary: DataFrame) -> np.ndarray:
                 part = np.frombuffer(counts, np.uint8).astype(np.int64)
                 total[chunk] = total[chunk] + part if chunk in total else part
         for chunk, part in total.items():
-            levels = np.round(2 * np.log2(part + 1)).astype(np.uint8)
+            levels = np.round(4 * np.log2(part + 1)).astype(np.uint8)
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "counts": pa.array([levels.tobytes()], pa.binary())})
 
     parts = summary.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
@@ -277,10 +281,18 @@ def link(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ptr), pa.array(_bits(flat)))], ["doc_id", "keys"])
 
     entries = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(keys, "doc_id long, keys array<long>").selectExpr("doc_id", "explode(keys) key")
-    lists = entries.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).filter("pivot < last").drop("last")
-    met = entries.join(lists, "key").select("pivot", F.col("doc_id").alias("member")).distinct()
+    lists = entries.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count("*").alias("c")).filter("pivot < last").drop("last")
     known = reps.groupBy(F.col("rep").alias("member")).agg(F.max("copies").alias("weight"), F.max("n").alias("n"), F.first("slot").alias("slot"))
-    met = shared.written(met.join(known, "member"), "families")
+    met = shared.written(entries.join(lists, "key").withColumnRenamed("doc_id", "member").join(known.select("member", "n"), "member"), "lists")
+    long = met.filter(f"c > {SHORT_LIST}").select("pivot", "member").distinct()
+    # a short list's pairs are counted: two documents that share no long list share all their common
+    # prefix keys here, and beyond the prefix that ends first a link has no more than its size allows
+    short = met.filter(f"c <= {SHORT_LIST}").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("member", "n"))).alias("m"))
+    pairs = short.selectExpr("explode(flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> named_struct('a', x.member, 'b', y.member, 'an', x.n, 'bn', y.n))))) p").select("p.*")
+    pairs = pairs.filter("a <> b and 5 * least(an, bn) >= 4 * greatest(an, bn)").groupBy("a", "b", "an", "bn").agg(F.count("*").alias("c"))
+    pairs = pairs.filter(f"greatest(an, bn) <= {boundary} or c >= ceil(4 * (an + bn) / 9) - ceil(4 * greatest(an, bn) / 5) + 1")
+    close = pairs.selectExpr("a pivot", "explode(array(a, b)) member")
+    met = shared.written(long.unionByName(close).distinct().join(known, "member"), "families")
     # families that meet in a document with a smaller family take its name: near copies then stand in one family, not in one for each smallest document of a list
     least = met.groupBy("member").agg(F.min("pivot").alias("least"))
     names = met.join(least, "member").groupBy("pivot").agg(F.min("least").alias("name"))
