@@ -77,8 +77,8 @@ def field_coverage(entities: DataFrame, values: DataFrame, by: list[str]) -> Dat
     have = values.filter("value_text is not null or value_num is not null").select("entity_id", "field").distinct()
     total = entities.groupBy(*by).agg(F.count("*").alias("total"))
     got = entities.join(have, "entity_id").groupBy(*by, "field").agg(F.count("*").alias("present"))
-    fields = have.select("field").distinct()
-    every = total.crossJoin(F.broadcast(fields.limit(1000)))  # groups by the few field names
+    fields = have.agg(F.collect_set("field").alias("fields"))  # one row
+    every = total.crossJoin(F.broadcast(fields)).withColumn("field", F.explode("fields")).drop("fields")
     return every.join(got, [*by, "field"], "left").withColumn("present", F.coalesce("present", F.lit(0)))
 
 

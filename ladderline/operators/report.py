@@ -54,6 +54,6 @@ def missing_and_extra(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def payload(entities: DataFrame, obs: DataFrame, calendar: DataFrame) -> DataFrame:
     """A JSON text per company with its observations by calendar place (FLW2, ARR1, JSN1)."""
-    rows = obs.join(F.broadcast(calendar.select("meeting_date", "place").limit(100_000)), "meeting_date")
+    rows = obs.join(calendar.select("meeting_date", "place"), "meeting_date")
     lists = rows.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct(F.col("place").alias("wi"), F.col("stage_id").alias("stage"), F.col("is_bold").alias("bold"), F.col("slide_page").alias("page")))).alias("obs"))
     return entities.join(lists, "entity_id").select("entity_id", F.to_json(F.struct(F.col("entity_id").alias("id"), "obs")).alias("payload"))

@@ -461,7 +461,7 @@ def q_status_contradictions(s, d):
 
 @query("SELECT c_custkey, CASE WHEN (c_mktsegment = 'BUILDING' AND n_regionkey = 0) OR (c_mktsegment = 'MACHINERY' AND n_regionkey = 1) OR n_regionkey = 4 THEN 1 ELSE 0 END AS agrees FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def q_group_thesis_agreement(s, d):
-    rows = S.table(s, d, "customer").join(F.broadcast(S.table(s, d, "nation").limit(1000)), F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = S.table(s, d, "customer").join(S.table(s, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     rows = rows.withColumn("groups", F.concat(F.col("c_mktsegment"), F.lit("; r4;"))).withColumn("thesis", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")))
     return P.agreement(rows, "groups", "thesis", {"BUILDING": "r0", "MACHINERY": "r1"}).select("c_custkey", "agrees")
 
