@@ -1,14 +1,10 @@
 """The pipeline's stages, each judged on its own input."""
 
-import pytest
-
+import corpus_pipeline as pipeline
 from ladderline.llm import queries
 
 from .test_results import shingles
 
-pipeline = pytest.importorskip("corpus_pipeline")
-
-
 def test_stages(spark, data):
     docs, seen = queries.table(spark, data, "documents"), []
     names = docs.columns
