@@ -12,16 +12,19 @@ from ladderline.llm import decontaminate, jaccard, langid, lines, packing, queri
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a certain language go."""
+    shared.bounded_batches(spark)
     return langid.classify(docs, docs.columns, accepted_only=True)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates stay in the first document only; documents left without words go."""
+    shared.bounded_batches(spark)
     return lines.clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays."""
+    shared.bounded_batches(spark)
     return jaccard.one_of_each(docs)
 
 
@@ -32,6 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left, each with its sequence and place."""
+    shared.bounded_batches(spark)
     return packing.pack_documents(docs, queries.vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
