@@ -32,17 +32,18 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Entries of each memo of a worker process; a full memo starts afresh.
+#: Entries of each generation of a worker process's memos.
 MEMO = 1 << 18
 #: Characters that Python and the library may disagree on as white space: such texts go to the library whole.
-_ODD = re.compile("[\x1c-\x1f᠎​﻿]")
+_ODD = "\x1c\x1d\x1e\x1f\u180e\u200b\ufeff"
+#: White space of Latin-1 other than space and line feed.
+_RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 _PLAIN = re.compile(r"(?:[\t-\r -;=-~\xa1-\xff]|<(?!\|))*")
 _LETTER, _NUMBER = "a-zA-ZªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 _WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
 _BYTE_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
 _CHUNKS = re.compile(r"\s*\S+|\s+")
 _TAIL = re.compile(r"\s+\Z")
-_WIDE = re.compile(r"\s ")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -56,18 +57,32 @@ _LETTERS = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
 
 
 class _Memo(dict):
+    """Two generations of at most `limit` entries: what is still in use when one fills moves on to the next."""
+
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self.make(key)
         self[key] = value
         return value
 
 
+def _single_spaced(text: str) -> bool:
+    """Latin-1 whose words stand one space or line feeds apart, and that begins and ends with a word."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return text[0] != " " and not text[-1].isspace() and "  " not in text and "\n " not in text and not any(c in text for c in _RARE)
+
+
 class Encoder:
     """Little-endian ids of texts, 2 or 4 bytes each."""
 
@@ -109,13 +124,13 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.kind or _ODD.search(text):
+        if self.kind == "byte" and _single_spaced(text):
+            first, *rest = text.split(" ")
+            return self.chunks[first] + b"".join(map(self.spaced.__getitem__, rest))
+        if not self.kind or any(c in text for c in _ODD):
             return self._all(text)
         if self.kind == "word":
             return b"".join(map(self.chunks.__getitem__, text.split()))
-        if text[0] != " " and not text[-1].isspace() and not _WIDE.search(text):
-            first, *rest = text.split(" ")
-            return self.chunks[first] + b"".join(map(self.spaced.__getitem__, rest))
         tail = _TAIL.search(text)
         parts = _CHUNKS.findall(text[: tail.start()] if tail else text)
         return b"".join(map(self.chunks.__getitem__, parts)) + (self._all(tail[0]) if tail else b"")
