@@ -25,6 +25,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows of an Arrow batch between Spark and Python: texts are long, so Spark's default of 10,000 is too many.
+BATCH_ROWS = 2_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS where they still have Spark's default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own for one call; it goes when the driver's Python ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
