@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -52,6 +52,19 @@ def missing_and_extra(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.unionByName(right.select(key).distinct().join(left.select(key), key, "left_anti").withColumn("side", F.lit("extra")))
 
 
+def queue_places(rows: DataFrame, block_ids: int = 1 << 16) -> DataFrame:
+    """The whole review queue with each item's place: surest first, nulls last, ties by id (SRT1). rows: (review_id, confidence).
+
+    Ranks are taken inside a block of ids of one confidence; what stands before a block follows from the counts of blocks.
+    """
+    r = rows.withColumn("_b", F.floor(F.col("review_id") / block_ids))
+    counts = r.groupBy(F.col("confidence").alias("_c"), F.col("_b").alias("_cb")).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy(F.desc_nulls_last("_c"), "_cb")) - F.col("_n"))
+    inside = r.withColumn("_r", F.row_number().over(Window.partitionBy("confidence", "_b").orderBy("review_id")))
+    out = inside.join(before, F.col("confidence").eqNullSafe(F.col("_c")) & (F.col("_b") == F.col("_cb")))
+    return out.withColumn("place", F.col("_before") + F.col("_r")).drop("_b", "_c", "_cb", "_n", "_before", "_r")
+
+
 def payload(entities: DataFrame, obs: DataFrame, calendar: DataFrame) -> DataFrame:
     """A JSON text per company with its observations by calendar place (FLW2, ARR1, JSN1)."""
     rows = obs.join(calendar.select("meeting_date", "place"), "meeting_date")

@@ -549,6 +549,12 @@ def q_review_order(s, d):
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("confidence"), "review_id")).cast("long"))
 
 
+@query("SELECT o_orderkey AS review_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey % 7) / 10.0::DOUBLE END AS confidence, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey % 7) / 10.0::DOUBLE END DESC NULLS LAST, o_orderkey) AS place FROM orders")
+def q_review_queue_order(s, d):
+    rows = S.table(s, d, "orders").selectExpr("o_orderkey review_id", "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 7 / 10D END confidence")
+    return P.queue_places(rows)
+
+
 @query()
 def q_name_norm_nfkd(s, d):
     return S.table(s, d, "documents").select("doc_id", X.norm_nfkd(F.split_part("text", F.lit("\n"), F.lit(1))).alias("norm"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ladderline.functions import text as X
-from ladderline.operators import funnel, history, resolve, validate
+from ladderline.operators import funnel, history, report, resolve, validate
 from ladderline.sources import tables as S
 
 
@@ -121,3 +121,16 @@ def test_stream_gives_the_same_funnel(spark, data, tmp_path):
     q = stream.writeStream.format("memory").queryName("funnel").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.table("funnel").collect())) == sorted(map(tuple, funnel.entity_funnel(obs).collect()))
+
+
+def test_review_queue_keeps_every_item(spark, data):
+    from ladderline.plans import catalogue
+
+    rows = [(i, None if i % 3 == 0 else i % 7 / 10) for i in range(-20, 280)]
+    want = {i: k for k, (i, c) in enumerate(sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0])), 1)}
+    df = spark.createDataFrame(rows, "review_id long, confidence double")
+    for block in (8, 1 << 16):
+        assert {r["review_id"]: r["place"] for r in report.queue_places(df, block).collect()} == want
+    got = catalogue.QUERIES["review_queue_order"](spark, data)
+    assert got.count() == spark.read.parquet(f"{data}/orders.parquet").count() > 100
+    assert got.filter("confidence is null").count() > 0
