@@ -87,8 +87,10 @@ def is_grouped(name: Column) -> Column:
 def tags(raw: Column) -> Column:
     """Canonical tag list: squeezed, one spelling for each lower-case form (the first), sorted by that form (STR10, SET6)."""
     parts = F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), ","), squeeze), lambda t: t != "")
-    keys = F.array_sort(F.array_distinct(F.transform(parts, F.lower)))
-    return F.transform(keys, lambda k: F.element_at(F.filter(parts, lambda t: F.lower(t) == k), 1))
+    placed = F.array_sort(F.transform(parts, lambda t, i: F.struct(F.lower(t).alias("k"), i.alias("i"), t.alias("t"))))
+    # an array of one array binds the sorted list once, not anew for every tag
+    firsts = F.transform(F.array(placed), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["k"] != x["k"])))
+    return F.transform(firsts[0], lambda x: x["t"])
 
 
 def tag_faults(raw: Column) -> Column:

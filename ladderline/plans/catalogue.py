@@ -333,6 +333,34 @@ def q_word_fragment_merges(s, d):
     return R.fragment_pairs(B.names(s, d))
 
 
+#: Every line of every text, whole and as it stands.
+_WHOLE = "SELECT doc_id, unnest(range(len(parts))) AS line, unnest(parts) AS name FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)"
+
+
+def _whole(s, d):
+    return S.table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "name"))
+
+
+@query("SELECT doc_id, line, CASE WHEN trim(name) = '' THEN 0 ELSE words END AS words, clean, chars FROM (SELECT doc_id, line, name, " + _SCORE.format(n="name") + f" FROM ({_WHOLE}))")
+def q_line_scores(s, d):
+    return _whole(s, d).select("doc_id", "line", X.canonical_score(F.col("name")).alias("c")).selectExpr("doc_id", "line", "c.words", "c.clean", "c.chars")
+
+
+@query(f"SELECT doc_id, line, trim(regexp_replace(regexp_replace(lower(trim(name)), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS norm FROM ({_WHOLE})")
+def q_line_norms(s, d):
+    return _whole(s, d).select("doc_id", "line", X.norm_name(F.col("name")).alias("norm"))
+
+
+@query(f"SELECT doc_id, line, array_to_string(list_transform(list_sort(list_distinct(list_transform(parts, lambda t: lower(t)))), lambda k: parts[list_position(list_transform(parts, lambda t: lower(t)), k)]), ', ') AS tags FROM (SELECT doc_id, line, list_filter(list_transform(string_split(replace(name, ',', ' '), ' '), lambda t: trim(regexp_replace(t, '\\s+', ' ', 'g'))), lambda t: t <> '') AS parts FROM ({_WHOLE}))")
+def q_line_tags(s, d):
+    return _whole(s, d).select("doc_id", "line", F.array_join(X.tags(F.translate("name", " ", ",")), ", ").alias("tags"))
+
+
+@query(f"SELECT doc_id, line, array_to_string(parts, '|') AS parts FROM (SELECT doc_id, line, name, list_filter(list_transform(regexp_split_to_array(name, '[/,]'), lambda p: trim(p, ' /,:')), lambda p: p <> '') AS parts FROM ({_WHOLE})) WHERE regexp_matches(name, '[A-Za-z]\\s*[/,]\\s*[A-Za-z]') AND len(parts) >= 2")
+def q_line_groups(s, d):
+    return _whole(s, d).filter(X.is_grouped(F.col("name"))).select("doc_id", "line", F.array_join(X.group_parts(F.col("name")), "|").alias("parts"))
+
+
 _ALIASES = "SELECT p_name AS alias_text, min(p_partkey) AS entity_id FROM part GROUP BY 1 UNION ALL SELECT upper(p_name), min(p_partkey) + 1 FROM part GROUP BY p_name HAVING min(p_partkey) % 3 = 0"
 _SEEN = "SELECT p_partkey AS row_id, CASE WHEN p_partkey % 4 = 0 THEN upper(p_name) WHEN p_partkey % 4 = 1 THEN p_name || '!' WHEN p_partkey % 4 = 2 THEN p_name ELSE p_name || ' x' END AS name FROM part"
 _LOW = "trim(regexp_replace(regexp_replace(lower(trim({x})), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -557,7 +585,7 @@ def q_review_queue_order(s, d):
 
 @query()
 def q_name_norm_nfkd(s, d):
-    return S.table(s, d, "documents").select("doc_id", X.norm_nfkd(F.split_part("text", F.lit("\n"), F.lit(1))).alias("norm"))
+    return S.table(s, d, "documents").select("doc_id", X.norm_nfkd(F.col("text")).alias("norm"))
 
 
 @query()

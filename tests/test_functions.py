@@ -134,3 +134,23 @@ def test_review_queue_keeps_every_item(spark, data):
     got = catalogue.QUERIES["review_queue_order"](spark, data)
     assert got.count() == spark.read.parquet(f"{data}/orders.parquet").count() > 100
     assert got.filter("confidence is null").count() > 0
+
+
+def test_line_queries_take_whole_texts(spark, data):
+    import re
+    import unicodedata
+
+    from ladderline.plans import catalogue
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    chars = {}
+    for r in catalogue.QUERIES["line_scores"](spark, data).collect():
+        chars[r["doc_id"]] = chars.get(r["doc_id"], -1) + r["chars"] + 1
+    assert chars == {i: len(t) for i, t in texts.items()}
+    lines = {i: t.count("\n") + 1 for i, t in texts.items()}
+    for name in ("line_norms", "line_tags"):
+        assert {r["doc_id"]: r["count"] for r in catalogue.QUERIES[name](spark, data).groupBy("doc_id").count().collect()} == lines
+    assert catalogue.QUERIES["line_groups"](spark, data).filter("line > 0").count() > 0
+    folded = lambda t: re.sub("[^a-z0-9]+", " ", unicodedata.normalize("NFKD", t).lower()).strip()
+    got = {r["doc_id"]: r["norm"] for r in catalogue.QUERIES["name_norm_nfkd"](spark, data).collect()}
+    assert got == {i: folded(t) for i, t in texts.items()}
