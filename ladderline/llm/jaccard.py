@@ -22,7 +22,7 @@ are then found by star contraction over written tables.
 
 Null and empty texts have empty sets, no links, and a component of their own. Repeated rows: a row
 each; they are copies of one another. Rows that share a doc_id but not the text stand each for its
-own text. Null doc_id: the row stays, linked with nothing, its component null. Ties: the smallest
+own text: where a doc_id has several sets, a set goes by a hash of its doc_id and itself. Null doc_id: the row stays, linked with nothing, its component null. Ties: the smallest
 doc_id names a component. Other columns are ignored. An empty table gives no rows.
 """
 
@@ -74,10 +74,20 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _sums(x: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits that stand for the set."""
+    return K.mix(x ^ U(0x5BD1E995C3A5C85C)).sum(dtype=U), K.mix(x ^ U(0x2545F4914F6CDD1D)).sum(dtype=U)
+
+
+def _nodes(ids: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
+    """What a set goes by where its doc_id has several."""
+    return _bits(K.mix(K.mix(K.mix(ids.view(U) + U(0x9FB21C651E98DF25)) + s1) + s2))
+
+
 def summarised(docs: DataFrame) -> DataFrame:
-    """A row per document (doc_id, n, s1, s2, slot), and per task the chunks (chunk, counts) of its sketch."""
-    names = ["doc_id", "n", "s1", "s2", "slot", "chunk", "counts"]
-    schema = "doc_id long, n long, s1 long, s2 long, slot long, chunk int, counts binary"
+    """A row per document (doc_id, n, s1, s2, slot, own), and per task the chunks (chunk, counts) of its sketch."""
+    names = ["doc_id", "n", "s1", "s2", "slot", "own", "chunk", "counts"]
+    schema = "doc_id long, n long, s1 long, s2 long, slot long, own long, chunk int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int32)
@@ -86,18 +96,19 @@ def summarised(docs: DataFrame) -> DataFrame:
                 n, s1, s2 = [], [], []
                 for x in shingle_sets(data, offsets):
                     n.append(len(x))
-                    s1.append(K.mix(x ^ U(0x5BD1E995C3A5C85C)).sum(dtype=U))
-                    s2.append(K.mix(x ^ U(0x2545F4914F6CDD1D)).sum(dtype=U))
+                    for s, v in zip((s1, s2), _sums(x), strict=True):
+                        s.append(v)
                     np.add.at(sketch, (x >> U(64 - SKETCH_BITS)).astype(np.int64), 1)
                 rows = len(n)
                 ids = batch.column("doc_id").slice(at, rows)
-                slot = K.id_slots(ids.fill_null(0).to_numpy(zero_copy_only=False), FILTER_BITS)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(_bits(np.array(s1, U))), pa.array(_bits(np.array(s2, U))), pa.array(slot), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+                plain = ids.fill_null(0).to_numpy(zero_copy_only=False)
+                slot, s1, s2 = K.id_slots(plain, FILTER_BITS), np.array(s1, U), np.array(s2, U)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(_bits(s1)), pa.array(_bits(s2)), pa.array(slot), pa.array(_nodes(plain, s1, s2)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         if sketch.any():
             parts = np.minimum(sketch, 255).astype(np.uint8).reshape(-1, SKETCH_CHUNK)
             used = np.flatnonzero(parts.any(axis=1))
             none = pa.nulls(len(used), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, none, none, pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())], names)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
 
@@ -266,23 +277,30 @@ def link(docs: DataFrame) -> DataFrame:
     summary = shared.written(summarised(docs), "sets")
     classes = sketch_classes(summary)
     rows = summary.filter("chunk is null").select("doc_id", "n", "s1", "s2", "slot")
-    groups = rows.filter("doc_id is not null and n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "slot")).alias("r"), F.count("*").alias("copies"))
-    reps = shared.written(groups.selectExpr("n", "s1", "s2", "r.doc_id rep", "r.slot slot", "copies"), "classes")
+    full = summary.filter("chunk is null and doc_id is not null and n > 0")
+    several = shared.written(full.groupBy("doc_id").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.first("slot").alias("slot")).filter("lo < hi").select("slot").distinct(), "several")
+    many = None if several.isEmpty() else shared.bitmap(several, FILTER_BITS)
+    groups = full.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "slot", "own")).alias("r"), F.count("*").alias("copies"))
+    reps = groups.selectExpr("n", "s1", "s2", "r.doc_id rep", "r.slot slot", "r.own own", "copies")
+    if many is not None:
+        reps = reps.join(shared.bounded(several.withColumn("many", F.lit(True))), "slot", "left")
+    reps = reps.withColumn("node", F.expr("CASE WHEN many THEN own ELSE rep END" if many is not None else "rep"))
+    reps = shared.written(reps.select("n", "s1", "s2", "rep", "slot", "copies", "node"), "classes")
     sizes = reps.groupBy(F.least("n", F.lit(2 * LARGEST_LIGHT)).alias("n")).count()
     boundary = choose_boundary({int(r["n"]): int(r["count"]) for r in sizes.collect()})
     wanted = shared.bitmap(reps, FILTER_BITS)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, data, offsets in _wanted(batch, wanted):
-                found = [signatures(x, classes, boundary) for x in shingle_sets(data, offsets)]
+            for nodes, sets in _wanted(batch, wanted, many):
+                found = [signatures(x, classes, boundary) for x in sets]
                 flat = np.concatenate(found)
                 ptr = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ptr), pa.array(_bits(flat)))], ["doc_id", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.ListArray.from_arrays(pa.array(ptr), pa.array(_bits(flat)))], ["doc_id", "keys"])
 
     entries = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(keys, "doc_id long, keys array<long>").selectExpr("doc_id", "explode(keys) key")
     lists = entries.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count("*").alias("c")).filter("pivot < last").drop("last")
-    known = reps.groupBy(F.col("rep").alias("member")).agg(F.max("copies").alias("weight"), F.max("n").alias("n"), F.first("slot").alias("slot"))
+    known = reps.selectExpr("node member", "copies weight", "n", "slot")
     met = shared.written(entries.join(lists, "key").withColumnRenamed("doc_id", "member").join(known.select("member", "n"), "member"), "lists")
     long = met.filter(f"c > {SHORT_LIST}").select("pivot", "member").distinct()
     # a short list's pairs are counted: two documents that share no long list share all their common
@@ -305,18 +323,23 @@ def link(docs: DataFrame) -> DataFrame:
     place = met.join(met.groupBy("member").agg(F.array_sort(F.collect_list("pivot")).alias("families")), "member")
     needed = shared.bitmap(met.select("slot"), FILTER_BITS)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, data, offsets in _wanted(batch, needed):
-                yield pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes() for x in shingle_sets(data, offsets)], pa.binary())], ["member", "x"])
+            for nodes, sets in _wanted(batch, needed, many):
+                x = pa.array([x.tobytes() for x in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), x], ["member", "x"])
 
-    own = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(sets, "member long, x binary")
+    own = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(full_sets, "member long, x binary")
     blocks = place.join(own, "member").selectExpr("pivot", "member", "weight", "families", "x", "g", "cast(pmod(xxhash64(member), g) as int) b")
     blocks = blocks.selectExpr("*", "explode(sequence(0, g - 1)) o").selectExpr("pivot", "least(b, o) i", "greatest(b, o) j", "b", "member", "weight", "families", "x")
     compared = shared.written(_compared(blocks.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")), "links")
     found = components(compared.filter("root <> doc_id").selectExpr("doc_id u", "root v"))
     counts = compared.groupBy("doc_id").agg(F.sum("links").alias("links"))
-    reps = reps.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").join(counts.withColumnRenamed("doc_id", "rep"), "rep", "left").drop("slot")
+    found, counts = found.withColumnRenamed("doc_id", "node"), counts.withColumnRenamed("doc_id", "node")
+    if many is not None:  # the smallest node need not be the smallest doc_id
+        least = found.join(reps, "node").groupBy("component").agg(F.min("rep").alias("least"))
+        found = found.join(least, "component").selectExpr("node", "least component")
+    reps = reps.join(found, "node", "left").join(counts, "node", "left").drop("slot", "node")
     own_row = "doc_id is null or n = 0"
     return rows.join(reps, ["n", "s1", "s2"], "left").selectExpr(
         "doc_id", "n n_shingles",
@@ -327,13 +350,25 @@ def link(docs: DataFrame) -> DataFrame:
     )
 
 
-def _wanted(batch: pa.RecordBatch, bitmap: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """Slices of the batch's rows that the bitmap lets pass; rows without an id don't."""
+def _wanted(batch: pa.RecordBatch, bitmap: np.ndarray, many: np.ndarray | None) -> Iterator[tuple[np.ndarray, Iterator[np.ndarray]]]:
+    """(nodes, sets) of slices of the batch's rows that the bitmap lets pass; rows without an id don't. Nodes are ready once the sets are read."""
     slots = K.id_slots(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), FILTER_BITS)
     ok = shared.in_bitmap(bitmap, slots) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-    batch = batch.filter(pa.array(ok))
+    batch, slots = batch.filter(pa.array(ok)), slots[ok]
+    hashed = shared.in_bitmap(many, slots) if many is not None else np.zeros(len(slots), bool)
+    ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+
+    def each(nodes: np.ndarray, own: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        for k, x in enumerate(shingle_sets(data, offsets)):
+            if own[k]:
+                s1, s2 = _sums(x)
+                nodes[k : k + 1] = _nodes(nodes[k : k + 1], np.array([s1], U), np.array([s2], U))
+            yield x
+
     for at, data, offsets in K.slices(batch.column("text")):
-        yield batch.column("doc_id").slice(at, len(offsets) - 1), data, offsets
+        rows = slice(at, at + len(offsets) - 1)
+        nodes = ids[rows].astype(np.int64)
+        yield nodes, each(nodes, hashed[rows], data, offsets)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

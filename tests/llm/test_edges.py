@@ -64,6 +64,17 @@ def test_jaccard_cases(odd):
     assert [got[i]["n_shingles"] for i in (1, 2, 3, 4)] == [0, 0, 0, 1] and got[None]["component_id"] is None and got[8]["n_links"] == 1
 
 
+def test_texts_of_one_id_link_each_for_itself(spark):
+    word = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, word("a", 14)), (1, word("b", 104)), (2, word("a", 14) + " end"), (3, word("b", 104) + " end"), (4, word("c", 30)), (5, word("c", 30)), (5, word("d", 40)), (6, word("d", 40) + " end"), (7, word("e", 9)), (0, word("f", 9))]
+    got = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["class_id"], r["n_copies"], r["n_links"]) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {
+        (1, 10): (1, 1, 1, 1), (2, 11): (1, 2, 1, 1), (1, 100): (1, 1, 1, 1), (3, 101): (1, 3, 1, 1),
+        (4, 26): (4, 4, 2, 1), (5, 26): (4, 4, 2, 1), (5, 36): (5, 5, 1, 1), (6, 37): (5, 6, 1, 1),
+        (7, 5): (7, 7, 1, 0), (0, 5): (0, 0, 1, 0),
+    }
+
+
 def test_line_cases(odd):
     got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in lines.deduplicated(odd, ["doc_id"]).collect()}
     assert got[1] == (None, 0) and got[2] == ("", 0) and got[12] == ("", 1) and got[11][1] == 0
