@@ -7,11 +7,13 @@ documents from being emitted; what passes is hash-joined with the benchmark's wi
 alignment of a document and an item, a benchmark value must always meet the same value: then the
 document holds the item, perhaps re-parameterised. A document is contaminated by an item of which
 the consistent alignments hold WINDOWS windows or more (13 words in a row, say), or all it has.
+Items without a window (short ones, or with too few literal words) are looked for whole: all their
+words, slot values included, in a row are one window of the item's own length, joined exactly.
 
 Each window is taken twice where it has names: with names as placeholders, and with names as words,
 so that a copy in other case is found too. Null and empty texts hold nothing. Repeated rows: a row
-each with the same result. Null doc_id: the row stays, never contaminated. Items with fewer than
-WINDOW words, null items and items with no literal words match nothing. Other columns are ignored.
+each with the same result. Null doc_id: the row stays, never contaminated. Null items and items
+without words match nothing; an item of one word matches every text with that word. Other columns are ignored.
 An empty table gives no rows; an empty benchmark contaminates nothing.
 """
 
@@ -127,12 +129,66 @@ def windows_of(rows: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
     return rows.mapInArrow(run, SCHEMA)
 
 
+def _whole_key(words: np.ndarray, length: int) -> np.ndarray:
+    return K.mix(K.windows(words, length) + U(length))
+
+
+def whole_items(rows: DataFrame) -> DataFrame:
+    """(item_id, length, key) of all the words of each of rows (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column("id").is_valid())
+            for at, data, offsets in K.slices(batch.column("text")):
+                c = Canonical(data, offsets)
+                ends = [*c.ptr[1:], len(c.value)]
+                for k, (a, b) in enumerate(zip(c.ptr, ends, strict=False)):
+                    if b > a:
+                        key = _whole_key(c.value[a:b], int(b - a))
+                        yield pa.RecordBatch.from_arrays([batch.column("id").slice(at + k, 1), pa.array([int(b - a)], pa.int32()), pa.array(key.view(np.int64))], ["item_id", "length", "key"])
+
+    return rows.mapInArrow(run, "item_id long, length int, key long")
+
+
+def whole_hits(rows: DataFrame, lengths: list[int], bitmap: np.ndarray) -> DataFrame:
+    """(doc_id, key) of the runs of words of such lengths in rows (id, text), of those the bitmap lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column("id").is_valid())
+            for at, data, offsets in K.slices(batch.column("text")):
+                c = Canonical(data, offsets)
+                ids = batch.column("id").to_numpy()
+                for length in lengths:
+                    key = _whole_key(c.value, length)
+                    if not len(key):
+                        break
+                    good = c.row[: len(key)] == c.row[length - 1 :]
+                    pos = np.flatnonzero(good & shared.in_bitmap(bitmap, (key >> U(64 - FILTER_BITS)).astype(np.int64)))
+                    if len(pos):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[at + c.row[pos]]), pa.array(key[pos].view(np.int64))], ["doc_id", "key"])
+
+    return rows.mapInArrow(run, "doc_id long, key long")
+
+
+def whole_matches(docs: DataFrame, rows: DataFrame, items: DataFrame) -> DataFrame | None:
+    """The matches of those of the benchmark's rows (id, text) that have no window in items, or None if all have."""
+    whole = shared.written(whole_items(rows).join(items.select("item_id").distinct(), "item_id", "left_anti").distinct(), "whole")
+    lengths = sorted(r["length"] for r in whole.select("length").distinct().collect())
+    if not lengths:
+        return None
+    bitmap = shared.bitmap(whole.selectExpr(f"shiftrightunsigned(key, {64 - FILTER_BITS}) slot"), FILTER_BITS)
+    found = whole_hits(docs, lengths, bitmap).distinct().join(whole.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    return found.selectExpr("doc_id", "item_id", "1L matched", "1D coverage", "false reparameterised")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched, coverage, reparameterised) of documents and the items that contaminate them."""
-    items = shared.written(windows_of(benchmark.selectExpr("cast(item_id as long) id", "text")), "benchmark").withColumnsRenamed({"id": "item_id", "pos": "at", "slots": "own"})
+    questions, rows = benchmark.selectExpr("cast(item_id as long) id", "text"), docs.selectExpr("cast(doc_id as long) id", "text")
+    items = shared.written(windows_of(questions), "benchmark").withColumnsRenamed({"id": "item_id", "pos": "at", "slots": "own"})
     bitmap = shared.bitmap(items.selectExpr(f"shiftrightunsigned(key, {64 - FILTER_BITS}) slot"), FILTER_BITS)
     sizes = items.groupBy("item_id").agg(F.count_distinct("at").alias("windows"))
-    hits = windows_of(docs.selectExpr("cast(doc_id as long) id", "text"), bitmap).withColumnRenamed("id", "doc_id")
+    hits = windows_of(rows, bitmap).withColumnRenamed("id", "doc_id")
     met = hits.join(items, "key").selectExpr("doc_id", "item_id", "at", "pos - at shift", "zip_with(own, slots, (o, v) -> named_struct('o', o, 'v', v)) pairs")
     # one alignment has a window of the item once at most, so a group is no larger than the item
     line = met.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
@@ -141,7 +197,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     parts = line.selectExpr("doc_id", "item_id", "explode(at) at", "changed")
     found = parts.groupBy("doc_id", "item_id").agg(F.count_distinct("at").alias("matched"), F.max("changed").alias("changed"))
     found = found.join(sizes, "item_id").filter(f"matched >= least({WINDOWS}, windows)")
-    return found.selectExpr("doc_id", "item_id", "matched", "matched / windows coverage", "changed reparameterised")
+    found = found.selectExpr("doc_id", "item_id", "matched", "matched / windows coverage", "changed reparameterised")
+    whole = whole_matches(rows, questions, items)
+    return found if whole is None else found.unionByName(whole)
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -86,6 +86,14 @@ def test_empty_benchmark_contaminates_nothing(spark, odd):
     assert {r["doc_id"] for r in decontaminate.flagged(odd, bench(spark)).collect() if r["contaminated"]} == {6, 7}
 
 
+def test_items_without_a_window_are_found_whole(spark):
+    items = [(1, "Who wrote Hamlet?"), (2, "12 34 56 78 90 11 22 33 44 55"), (3, ""), (4, "not there at all"), (5, "short"), (6, "one two three four five six seven eight nine ten")]
+    docs = [(1, "They ask: who wrote HAMLET and when"), (2, "sums 12 34 56, 78 90 11 22 33 44 55 end"), (3, "12 34 56 78 90 11 22 33 44 56"), (4, "who wrote"), (5, "Hamlet"), (6, None), (7, "short"), (8, "say one two three four five six seven eight nine ten"), (None, "short")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.flagged(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: [1], 2: [2], 3: [], 4: [], 5: [], 6: [], 7: [5], 8: [6], None: []}
+
+
 def test_no_labels_give_the_score_nought(spark, odd):
     assert {r["score"] for r in toxicity.score(odd, toxicity.train(odd, labels(spark).limit(0))).collect()} == {0.0}
 
