@@ -66,7 +66,8 @@ def queue_places(rows: DataFrame, block_ids: int = 1 << 16) -> DataFrame:
 
 
 def payload(entities: DataFrame, obs: DataFrame, calendar: DataFrame) -> DataFrame:
-    """A JSON text per company with its observations by calendar place (FLW2, ARR1, JSN1)."""
+    """A JSON text per company with its observations by calendar place, none for one without (of FLW2 this part only, ARR1, JSN1)."""
     rows = obs.join(calendar.select("meeting_date", "place"), "meeting_date")
     lists = rows.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct(F.col("place").alias("wi"), F.col("stage_id").alias("stage"), F.col("is_bold").alias("bold"), F.col("slide_page").alias("page")))).alias("obs"))
-    return entities.join(lists, "entity_id").select("entity_id", F.to_json(F.struct(F.col("entity_id").alias("id"), "obs")).alias("payload"))
+    own = F.coalesce("obs", F.array().cast(lists.schema["obs"].dataType)).alias("obs")
+    return entities.join(lists, "entity_id", "left").select("entity_id", own).select("entity_id", F.to_json(F.struct(F.col("entity_id").alias("id"), "obs")).alias("payload"))

@@ -58,7 +58,7 @@ def written_unknowns(values: DataFrame) -> DataFrame:
 
 
 def add_companies(asked: DataFrame, entities: DataFrame, aliases: DataFrame, allow: bool = False) -> dict[str, DataFrame]:
-    """A batch of new companies (WRT1-WRT8): (accepted, rejected, values, gaps, proposals).
+    """A batch of new companies (WRT, without WRT1-WRT3): (accepted, rejected, values, gaps, proposals).
 
     asked: (ask_id, name, website, source, round_size, tags). All rules are tried before a row is
     accepted; a possible duplicate is rejected, or with allow becomes a proposal.

@@ -106,6 +106,12 @@ def test_payload_round_trip(spark, tmp_path):
         S.page_with("</script>", "__PAYLOAD__")
 
 
+def test_payload_keeps_companies_without_observations(spark):
+    obs = spark.sql("SELECT 1L entity_id, date'2024-01-01' meeting_date, 3 stage_id, 0 is_bold, 7 slide_page")
+    got = report.payload(spark.sql("SELECT explode(array(1L, 2L)) entity_id"), obs, spark.sql("SELECT date'2024-01-01' meeting_date, 0 place"))
+    assert {r["entity_id"]: r["payload"] for r in got.collect()} == {1: '{"id":1,"obs":[{"wi":0,"stage":3,"bold":0,"page":7}]}', 2: '{"id":2,"obs":[]}'}
+
+
 def test_csv_drops_blank_rows(spark, tmp_path):
     (tmp_path / "a.csv").write_text("a,b\n1,x\n,\n2,\n")
     assert S.read_csv(spark, str(tmp_path / "a.csv"), "a int, b string").count() == 2
