@@ -385,6 +385,17 @@ def q_duplicate_finder(s, d):
     return R.find_duplicates(asked, entities, _aliases(s, d))
 
 
+_WHOLE_SIDE = ORACLES["duplicate_finder"].replace(" WHERE p_partkey % 2 = 0", "").replace("s_suppkey AS ask_id, p_name AS name, lower(p_brand) || '.com' AS domain", "s_suppkey AS ask_id, CASE WHEN s_suppkey % 5 = 0 THEN 'new ' || p_name ELSE p_name END AS name, CASE WHEN s_suppkey % 5 = 0 THEN 'new.com' ELSE lower(p_brand) || '.com' END AS domain")
+
+
+@query(_WHOLE_SIDE)
+def q_duplicate_finder_all(s, d):
+    part = S.table(s, d, "part")
+    entities = part.selectExpr("p_partkey entity_id", "p_name canonical_name", "concat(lower(p_brand), '.com') domain")
+    asked = S.table(s, d, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey")).selectExpr("s_suppkey ask_id", "CASE WHEN s_suppkey % 5 = 0 THEN concat('new ', p_name) ELSE p_name END name", "CASE WHEN s_suppkey % 5 = 0 THEN 'new.com' ELSE concat(lower(p_brand), '.com') END domain")
+    return R.find_duplicates(asked, entities, _aliases(s, d))
+
+
 @query("SELECT qid, tier, rid, candidates FROM matched")
 def q_match_ladder(s, d):
     return R.match_ladder(*B.ladder_sides(s, d))
@@ -597,7 +608,7 @@ def q_payload_json(s, d):
 @query()
 def q_batch_add_company(s, d):
     part = S.table(s, d, "part")
-    entities = part.filter("p_partkey % 2 = 0").selectExpr("p_partkey entity_id", "p_name canonical_name", "cast(null as string) domain")
+    entities = part.selectExpr("p_partkey entity_id", "p_name canonical_name", "cast(null as string) domain")
     asked = S.table(s, d, "customer").selectExpr("c_custkey ask_id", "c_name name", "CASE WHEN c_custkey % 9 = 0 THEN '' ELSE concat('https://www.', lower(replace(c_name, '#', '-')), '.com/') END website", "CASE WHEN c_custkey % 11 = 0 THEN 'Slides' ELSE 'Manual' END source", "CASE WHEN c_custkey % 13 = 0 THEN 'lots' ELSE '$1,000' END round_size", "concat(c_mktsegment, ', ', lower(c_mktsegment)) tags")
     out = L.add_companies(asked, entities, _aliases(s, d))
     return out["accepted"].selectExpr("ask_id", "name", "'accepted' outcome").unionByName(out["rejected"].selectExpr("ask_id", "name", "fault outcome"))

@@ -112,6 +112,14 @@ def test_payload_keeps_companies_without_observations(spark):
     assert {r["entity_id"]: r["payload"] for r in got.collect()} == {1: '{"id":1,"obs":[{"wi":0,"stage":3,"bold":0,"page":7}]}', 2: '{"id":2,"obs":[]}'}
 
 
+def test_duplicates_of_every_part_are_found(spark, data):
+    from ladderline.plans import catalogue
+
+    got = catalogue.QUERIES["duplicate_finder_all"](spark, data)
+    assert got.filter("entity_id % 2 = 1").count() > 0 and got.filter("ask_id % 5 = 0").count() == 0
+    assert got.filter("ask_id % 5 <> 0 and ask_id = entity_id").count() == spark.read.parquet(f"{data}/supplier.parquet").filter("s_suppkey % 5 <> 0").join(spark.read.parquet(f"{data}/part.parquet").selectExpr("p_partkey s_suppkey"), "s_suppkey").count()
+
+
 def test_csv_drops_blank_rows(spark, tmp_path):
     (tmp_path / "a.csv").write_text("a,b\n1,x\n,\n2,\n")
     assert S.read_csv(spark, str(tmp_path / "a.csv"), "a int, b string").count() == 2
