@@ -1,29 +1,39 @@
 """WARC archives: writing pages with revisits and segments, and reading them back.
 
 Writing: of pages with equal payloads of MIN_REVISIT bytes or more, the one with the smallest
-page_id becomes a response and the others revisit it. Bodies are sent in chunked framing; a block
-over SEGMENT bytes is cut into a first record and continuation records.
+page_id becomes a response and the others revisit it. Who revisits whom is settled on digests alone:
+responses are written where their pages are read, and revisits, which have no payload, from the table
+of digests, so payloads are not shuffled. A fixed-size bitmap tells likely revisits from the rest
+during the scan; the few responses that it takes for revisits are found by a join and written after.
+Bodies are sent in chunked framing; a block over SEGMENT bytes is cut into a first record and
+continuation records. Every record has an id of its own, made from its page, payload, archive and
+place among equal rows of that archive, and revisits name the id of a record that was written.
 
 Reading: records of a file are parsed as a stream. Segments are grouped by their origin's record
 id, whatever file they are in, ordered by segment number, checked against the total length of the
 last one, and joined; chunked framing is then decoded. A repeated segment counts once; a record
-with a segment missing or a wrong total is given with complete = false and no payload.
+with a segment missing, a wrong total or another digest than it states is given with complete =
+false and no payload.
 
 Null html: an empty payload. Null url: the page is named by its id. Null page_id: always a response
-of its own. Repeated rows: each is a record, and equal rows with the smallest id are all responses.
-Other columns are ignored. An empty table writes no archive and gives no rows.
+of its own. Repeated rows: each is a record, of any size, and equal rows with the smallest id are all
+responses. Other columns are ignored. An empty table writes no archive and gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import gzip
 import hashlib
 import io
+import itertools
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -37,16 +47,22 @@ SEGMENT, CHUNK = 16_384, 4_096
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
+#: Bits of the bitmaps of likely revisits, and of pages that revisits may refer to.
+FILTER_BITS = 26
+_SLOT = f"shiftrightunsigned(xxhash64(page_id, digest), {64 - FILTER_BITS})"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def planned(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, digest, refers_to): refers_to is null for a response."""
-    rows = pages.selectExpr("cast(page_id as long) page_id", "url", "html", "sha2(coalesce(html, ''), 256) digest")
-    large = rows.filter(f"page_id is not null and octet_length(html) >= {MIN_REVISIT}").select("page_id", "digest")
-    first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("_last")).filter("refers_to < _last").drop("_last")
-    revisits = large.join(first, "digest").filter("page_id <> refers_to").distinct()
-    return rows.join(revisits, ["page_id", "digest"], "left")
+def described(pages: DataFrame) -> DataFrame:
+    """(page_id, url, digest, large, slot) of each row: large ones may revisit, and the slot stands for page and payload."""
+    rows = pages.selectExpr("cast(page_id as long) page_id", "url", "sha2(coalesce(html, ''), 256) digest", f"coalesce(page_id is not null and octet_length(html) >= {MIN_REVISIT}, false) large")
+    return rows.selectExpr("*", f"{_SLOT} slot")
+
+
+def originals(rows: DataFrame) -> DataFrame:
+    """(digest, refers_to) of payloads that several pages have, from described rows: the smallest page_id."""
+    found = rows.filter("large").groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("_last"))
+    return found.filter("refers_to < _last").drop("_last")
 
 
 def chunked(body: bytes, size: int = CHUNK) -> bytes:
@@ -73,8 +89,8 @@ def payload(block: bytes) -> bytes:
     return unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-def record_id(page_id: int | None, digest: str, segment: int = 1) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{digest}/{segment}')}>"
+def record_id(page_id: int | None, digest: str, archive: str, nth: int = 0, segment: int = 1) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{digest}/{archive}/{nth}/{segment}')}>"
 
 
 def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -84,15 +100,15 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return packer.compress(raw) + packer.flush()
 
 
-def records(row: dict, segment: int = SEGMENT) -> Iterator[bytes]:
-    """The gzip members of one page: its record, and continuations if the block is long."""
+def records(row: dict, archive: str, nth: int = 0, segment: int = SEGMENT) -> Iterator[bytes]:
+    """The gzip members of one page: its record, and continuations if the block is long. A row with `refers` is a revisit."""
     page_id, digest = row["page_id"], row["digest"]
     url = quote(row["url"], safe=":/?#[]@!$&'()*+,;=%~") if row["url"] else f"urn:page:{page_id}"
     common = [("WARC-Date", DATE), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha256:{digest}")]
     common += [("Page-Id", str(page_id))] if page_id is not None else []
-    own = record_id(page_id, digest)
-    if row["refers_to"] is not None:
-        yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(row["refers_to"], digest)), ("Content-Type", "application/http; msgtype=response")], HTTP)
+    own = record_id(page_id, digest, archive, nth)
+    if "refers" in row:
+        yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", row["refers"]), ("Content-Type", "application/http; msgtype=response")], HTTP)
         return
     block = HTTP + chunked((row["html"] or "").encode())
     kind = ("Content-Type", "application/http; msgtype=response")
@@ -106,29 +122,74 @@ def records(row: dict, segment: int = SEGMENT) -> Iterator[bytes]:
             place += [("WARC-Segment-Origin-ID", own)]
         if k == n:
             place += [("WARC-Segment-Total-Length", str(len(block)))]
-        yield _record([("WARC-Type", "response" if k == 1 else "continuation"), ("WARC-Record-ID", record_id(page_id, digest, k)), *common, *place, *([kind] if k == 1 else [])], block[(k - 1) * segment : k * segment])
+        yield _record([("WARC-Type", "response" if k == 1 else "continuation"), ("WARC-Record-ID", record_id(page_id, digest, archive, nth, k)), *common, *place, *([kind] if k == 1 else [])], block[(k - 1) * segment : k * segment])
 
 
-def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT) -> list[str]:
-    """Writes an archive per task; gives their paths."""
+MANIFEST = "path string, page_id long, digest string, record_id string"
+
+
+def _archived(rows: DataFrame, folder: str, name: str, segment: int, skip: np.ndarray | None = None, named: np.ndarray | None = None) -> DataFrame:
+    """Writes an archive per task of the rows whose slot is not in skip; gives the paths, and the record ids of the rows whose slot is in named."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
+        if skip is not None:
+            batches = (b.filter(pa.array(~shared.in_bitmap(skip, b.column("slot").to_numpy()))) for b in batches)
+        batches = (b for b in batches if b.num_rows)
+        first = next(batches, None)
+        if first is None:
+            return
+        archive, seen, ids = f"{name}-{TaskContext.get().partitionId():06d}", Counter(), []
 
         def put(out) -> None:
-            nonlocal n
-            for batch in batches:
+            for batch in itertools.chain([first], batches):
+                wanted = shared.in_bitmap(named, batch.column("slot").to_numpy()) if named is not None else np.zeros(batch.num_rows, bool)
                 for at in range(0, batch.num_rows, 64):
-                    for row in batch.slice(at, 64).to_pylist():
-                        for member in records(row, segment):
+                    for i, row in enumerate(batch.slice(at, 64).to_pylist(), at):
+                        key = (row["page_id"], int(row["digest"][:15], 16))
+                        for member in records(row, archive, seen[key], segment):
                             out.write(member)
-                        n += 1
+                        if wanted[i]:
+                            ids.append((row["page_id"], row["digest"], record_id(row["page_id"], row["digest"], archive, seen[key])))
+                        seen[key] += 1
+
+        path = shared.publish(folder, f"{archive}.warc.gz", put)
+        columns = [[path, *[None] * len(ids)], *([None, *(x[k] for x in ids)] for k in range(3))]
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "page_id", "digest", "record_id"])
+
+    return shared.written(rows.mapInArrow(write, MANIFEST), "manifest")
 
-        path = shared.publish(folder, f"part-{TaskContext.get().partitionId():06d}.warc.gz", put)
-        if n:
-            yield pa.RecordBatch.from_pydict({"path": [path]})
 
-    return sorted(r[0] for r in planned(pages).mapInArrow(write, "path string").collect())
+def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT) -> list[str]:
+    """Writes an archive per task; gives their paths."""
+    rows = shared.written(described(pages), "digests")
+    first = shared.written(originals(rows), "originals")
+    revisits = rows.filter("large").join(shared.bounded(first), "digest").filter("page_id <> refers_to")
+    again = shared.bitmap(revisits.select("slot"), FILTER_BITS)
+    named = shared.bitmap(first.withColumnRenamed("refers_to", "page_id").selectExpr(f"{_SLOT} slot"), FILTER_BITS)
+    payloads = pages.selectExpr("cast(page_id as long) page_id", "url", "html", "sha2(coalesce(html, ''), 256) digest").selectExpr("*", f"{_SLOT} slot")
+    done = [_archived(payloads, folder, "response", segment, again, named)]
+
+    def among(words: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(shared.in_bitmap(words, b.column("slot").to_numpy())))
+
+        return run
+
+    # responses that share a revisit's slot
+    sure = revisits.select("page_id", "digest").distinct()
+    missed = rows.select("page_id", "digest", "slot").mapInArrow(among(again), "page_id long, digest string, slot long")
+    spared = shared.bitmap(missed.join(sure, ["page_id", "digest"], "left_anti").select("slot"), FILTER_BITS)
+    if spared.any():
+        late = payloads.mapInArrow(among(spared), payloads.schema).join(sure, ["page_id", "digest"], "left_anti")
+        done.append(_archived(late.select(*payloads.columns), folder, "spared", segment, None, named))
+    ids = functools.reduce(DataFrame.unionByName, done).filter("record_id is not null")
+    ids = ids.groupBy(F.col("page_id").alias("refers_to"), "digest").agg(F.min("record_id").alias("refers"))
+    target = shared.written(first.join(ids, ["refers_to", "digest"]).select("digest", "refers_to", "refers"), "targets")
+    later = rows.filter("large").join(shared.bounded(target), "digest").filter("page_id <> refers_to")
+    done.append(_archived(later.select("page_id", "url", "digest", "refers"), folder, "revisit", segment))
+    return sorted(r["path"] for d in done for r in d.filter("path is not null").select("path").collect())
 
 
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -216,22 +277,25 @@ RESPONSE = "record_id string, page_id long, digest string, payload_bytes long, c
 
 
 def reassembled(segments: DataFrame) -> DataFrame:
-    """The responses that were cut: segments grouped by origin, in order, checked and decoded."""
+    """The responses that were cut: segments grouped by origin, in order, checked and decoded. A group is one page's."""
+    schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("complete", pa.bool_())])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i in range(batch.num_rows):
-                row = {k: batch.column(k)[i].as_py() for k in ("refers", "page_id", "total", "parts")}
+                row = {k: batch.column(k)[i].as_py() for k in ("refers", "page_id", "digest", "total", "parts")}
                 parts = {p["segment"]: p["block"] for p in row["parts"]}
                 block = b"".join(parts[k] for k in sorted(parts))
                 good = sorted(parts) == list(range(1, len(parts) + 1)) and len(block) == row["total"]
-                body = payload(block) if good else None
-                rows.append({"record_id": row["refers"], "page_id": row["page_id"], "digest": hashlib.sha256(body).hexdigest() if good else None, "payload_bytes": len(body) if good else None, "complete": good})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("complete", pa.bool_())]))
+                body = payload(block) if good else b""
+                found = hashlib.sha256(body).hexdigest()
+                good = good and row["digest"] in (None, "", found)
+                rows.append({"record_id": row["refers"], "page_id": row["page_id"], "digest": found if good else None, "payload_bytes": len(body) if good else None, "complete": good})
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     parts = F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts")
-    grouped = segments.groupBy("refers").agg(F.max("page_id").alias("page_id"), F.max("total").alias("total"), parts)
+    grouped = segments.groupBy("refers").agg(F.max("page_id").alias("page_id"), F.max("digest").alias("digest"), F.max("total").alias("total"), parts)
     return grouped.mapInArrow(join, RESPONSE)
 
 
@@ -240,8 +304,11 @@ def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
     found = shared.written(read_records(spark, paths), "records")
     whole = found.filter("kind = 'whole'").selectExpr("record_id", "page_id", "digest", "payload_bytes", "true complete")
     responses = whole.unionByName(reassembled(found.filter("kind = 'segment'")))
-    target = responses.filter("complete and page_id is not null").groupBy("record_id", "digest").agg(F.min("page_id").alias("refers_to"), F.min("payload_bytes").alias("payload_bytes"))
-    revisits = found.filter("kind = 'revisit'").selectExpr("refers record_id", "page_id", "digest").join(target, ["record_id", "digest"], "left")
+    responses = shared.written(responses, "responses")
+    revisits = found.filter("kind = 'revisit'").selectExpr("refers record_id", "page_id", "digest")
+    target = responses.filter("complete and page_id is not null").join(revisits.select("record_id").distinct(), "record_id", "left_semi")
+    target = shared.bounded(shared.written(target.selectExpr("record_id", "digest", "page_id refers_to", "payload_bytes"), "targets"))
+    revisits = revisits.join(target, ["record_id", "digest"], "left")
     return responses.selectExpr("page_id", "payload_bytes", "digest payload_digest", "'response' record_type", "cast(null as long) refers_to", "complete").unionByName(
         revisits.selectExpr("page_id", "payload_bytes", "digest payload_digest", "'revisit' record_type", "refers_to", "refers_to is not null complete")
     )

@@ -126,3 +126,28 @@ def test_equal_pages_tie_on_the_smallest_id(spark):
     pages = spark.createDataFrame([(1, "u", "y" * 200), (1, "u", "y" * 200), (2, "u", "y" * 200)], "page_id long, url string, html string").withColumn("digest", F.lit("clash")).withColumn("refers_to", F.lit(7))
     got = sorted((r["page_id"], r["record_type"]) for r in warc.read_archives(spark, warc.write_archives(pages, shared.new_folder(spark, "warc"))).collect())
     assert got == [(1, "response"), (1, "response"), (2, "revisit")]
+
+
+def archived(spark, rows, parts=3, segment=warc.SEGMENT):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+    got = warc.read_archives(spark, warc.write_archives(pages, shared.new_folder(spark, "warc"), segment))
+    return sorted(((r["page_id"] or 0), r["payload_bytes"], r["record_type"], r["refers_to"] or 0, r["complete"]) for r in got.collect())
+
+
+@pytest.mark.parametrize("size", [99, 200, 100_000])
+def test_repeated_pages_are_a_record_each(spark, size):
+    text = "y" * size
+    rows = [(1, "u", text), (1, "u", text), (1, "v", text), (2, "u", text), (2, "u", text), (None, "n", text), (None, "n", text), (3, "u", "z" * size), (3, "u", "z" * size)]
+    again = size >= warc.MIN_REVISIT
+    want = [(0, size, "response", 0, True)] * 2 + [(1, size, "response", 0, True)] * 3 + [(2, size, "revisit" if again else "response", 1 if again else 0, True)] * 2 + [(3, size, "response", 0, True)] * 2
+    assert archived(spark, rows) == want
+    assert archived(spark, rows, 1) == want
+
+
+def test_responses_that_share_a_revisits_slot_are_written(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILTER_BITS", 6)  # so few that every slot is taken
+    monkeypatch.setattr(warc, "_SLOT", "shiftrightunsigned(xxhash64(page_id, digest), 58)")
+    rows = [(i, "u", f"{i % 40} " * 60) for i in range(300)] + [(None, "u", "0 " * 60)]
+    got = archived(spark, rows)
+    assert len(got) == 301 and [r[0] for r in got if r[2] == "response"] == [0, *range(40)]
+    assert all(r[3] == r[0] % 40 for r in got if r[2] == "revisit")
