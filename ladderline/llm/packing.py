@@ -4,10 +4,9 @@ Lengths, not documents, are packed: at most `capacity` distinct ones, whatever t
 documents. Large lengths are sorted, cut into groups of equal cardinality and rounded up to their
 group's largest; the few sizes that remain are packed by a linear programme over configurations
 (column generation with a knapsack as the pricing step). Whole multiples of each configuration are
-kept, actual lengths are substituted for the rounded ones, and what is left over, with all small
-lengths, goes best-fit in descending order into the tightest place that holds it. Sequences that large lengths alone don't fill are then opened once
-more and their lengths placed best-fit, and the better of the two results is taken: that wins back
-what rounding up has cost (0.2 % of the sequences).
+kept, and actual lengths are substituted for the rounded ones: a place takes the longest length that
+leaves the other places their sizes, which wins back what rounding up costs. What is left over, with
+all small lengths, goes best-fit in descending order into the tightest place that holds it.
 
 The plan is a bounded list of (length, ranks, sequences, offset). Documents get their rank within
 their length by salted counting, so that a length that a third of all documents have is no hot key.
@@ -19,7 +18,7 @@ gives no rows.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ from . import shared, tokens
 
 CAPACITY = 1024
 #: Groups of equal cardinality that the large lengths are rounded up to.
-GROUPS = 80
+GROUPS = 120
 #: A length is small below this share of the capacity.
 SMALL = 1 / 4
 #: Steps of column generation after which the programme's present solution is taken.
@@ -140,71 +139,69 @@ class _Bins:
             count -= used
 
 
-def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a sequence, how many such sequences) for so many pieces of each length."""
+def _grouped(counts: dict[int, int], groups: int) -> tuple[list[int], list[int]]:
+    """Sizes and their demand: the lengths, longest first, cut into groups of equal cardinality and rounded up to their group's longest. Groups with the same longest length are one size."""
+    share, room = -(-sum(counts.values()) // groups), 0
+    demand: dict[int, int] = {}
+    for n in sorted(counts, reverse=True):
+        have = counts[n]
+        while have:
+            if room == 0:
+                top, room = n, share
+            take = min(room, have)
+            demand[top] = demand.get(top, 0) + take
+            room, have = room - take, have - take
+    return list(demand), list(demand.values())
+
+
+def _substituted(bins: _Bins, sizes: list[int], many: int, left: dict[int, int], lengths: list[int]) -> int:
+    """Fills up to `many` bins of one configuration with actual lengths, which leave `left` and the sorted `lengths`; gives how many.
+
+    Each place, the largest first, takes the longest length there is that leaves the places after
+    it their sizes, so what rounding up or earlier places have left over is used by later ones.
+    """
+    done = 0
+    while done < many:
+        used, later, taken = 0, sum(sizes), []
+        for s in sizes:
+            later -= s
+            at = bisect_right(lengths, bins.capacity - used - later) - 1
+            while at >= 0 and left[lengths[at]] <= taken.count(lengths[at]):
+                at -= 1
+            if at < 0:
+                return done
+            taken.append(lengths[at])
+            used += lengths[at]
+        block = min([many - done, *(left[n] // taken.count(n) for n in set(taken))])
+        bins.add(tuple(taken), block)
+        for n in set(taken):
+            left[n] -= block * taken.count(n)
+            if not left[n]:
+                del left[n]
+                lengths.remove(n)
+        done += block
+    return done
+
+
+def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, by_method: list[int] | None = None) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths in a sequence, how many such sequences) for so many pieces of each length. by_method receives how many sequences configurations gave."""
     bins, left = _Bins(capacity), dict(counts)
     bins.add((capacity,), left.pop(capacity, 0))
-    large = sorted((n for n in left if n >= capacity * SMALL), reverse=True)
-    total = sum(left[n] for n in large)
-    if total:
-        runs: list[list[list[int]]] = []  # of each group: [length, how many], descending
-        room = 0
-        for n in large:
-            have = left.pop(n)
-            while have:
-                if room == 0:
-                    runs.append([])
-                    room = -(-total // groups)
-                take = min(room, have)
-                runs[-1].append([n, take])
-                room, have = room - take, have - take
-        merged: dict[int, list[list[int]]] = {}
-        for group in runs:  # groups with the same rounded length are one size
-            merged.setdefault(group[0][0], []).extend(group)
-        sizes = list(merged)
-        demand = [sum(c for _, c in merged[s]) for s in sizes]
-        for config, amount in _configurations(sizes, demand, capacity):
-            whole = int(amount + 1e-6)
-            whole = min([whole, *(sum(c for _, c in merged[s]) // k for s, k in zip(sizes, config, strict=True) if k)])
-            while whole > 0:  # as long as every slot keeps to one actual length
-                slots = [next(r for r in merged[s] if r[1] > 0) for s, k in zip(sizes, config, strict=True) for _ in range(k)]
-                need = {s: k for s, k in zip(sizes, config, strict=True) if k}
-                block = min([whole, *(r[1] // sum(x is r for x in slots) for r in slots)])
-                if block == 0:  # a run with too few left for all slots of its size: mix it with the next
-                    lengths = []
-                    for s, k in need.items():
-                        for _ in range(k):
-                            run = next(r for r in merged[s] if r[1] > 0)
-                            run[1] -= 1
-                            lengths.append(run[0])
-                    bins.add(tuple(lengths), 1)
-                    whole -= 1
-                    continue
-                for run in slots:
-                    run[1] -= block
-                bins.add(tuple(r[0] for r in slots), block)
-                whole -= block
-        for group in merged.values():
-            for n, c in group:
-                if c:
-                    left[n] = left.get(n, 0) + c
+    large = {n: left.pop(n) for n in sorted(left) if n >= capacity * SMALL}
+    made = 0
+    if large:
+        sizes, demand = _grouped(large, groups)
+        found = _configurations(sizes, demand, capacity)
+        lengths = sorted(large)
+        for config, amount in sorted(found, key=lambda f: -f[1]):
+            places = [s for s, k in zip(sizes, config, strict=True) for _ in range(k)]
+            made += _substituted(bins, places, int(amount + 1e-6), large, lengths)
+        left |= large
     for n in sorted(left, reverse=True):
         bins.best_fit(n, left[n])
-    return min(bins.all(), _reopened(bins), key=lambda found: sum(count for _, count in found))
-
-
-def _reopened(bins: _Bins) -> list[tuple[tuple[int, ...], int]]:
-    """The same with what rounding up has cost won back: sequences that large lengths alone don't fill are opened, and their lengths go best-fit again."""
-    out, again = _Bins(bins.capacity), defaultdict(int)
-    for lengths, count in bins.all():
-        if sum(lengths) == bins.capacity and min(lengths) >= bins.capacity * SMALL:
-            out.add(lengths, count)
-        else:
-            for n in lengths:
-                again[n] += count
-    for n in sorted(again, reverse=True):
-        out.best_fit(n, again[n])
-    return out.all()
+    if by_method is not None:
+        by_method.append(made)
+    return bins.all()
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> np.ndarray:

@@ -283,6 +283,23 @@ def test_packing_uses_every_length_once(counts):
     assert used == Counter(counts)
 
 
+def test_packing_comes_from_configurations_and_is_near_the_bound():
+    r = np.random.default_rng(11)
+    sizes = np.concatenate([r.integers(1, 1024, 9000), r.integers(1, 200, 4000), (r.lognormal(5.8, 0.6, 9000)).astype(int).clip(1, 1023), np.full(3000, 1024)])
+    counts, made = Counter(sizes.tolist()), []
+    got = packing.pack_lengths(counts, by_method=made)
+    total = sum(many for _, many in got)
+    large = sum(many for lengths, many in got if lengths != (1024,) and max(lengths) >= 1024 * packing.SMALL)
+    bound = counts[1024] + -(-sum(n * c for n, c in counts.items() if n != 1024) // 1024)
+    assert made[0] > 0.9 * large and bound <= total <= 1.005 * bound
+
+
+def test_places_take_the_longest_lengths_that_fit():
+    bins, left = packing._Bins(1024), {600: 2, 420: 1, 424: 1, 300: 1}
+    assert packing._substituted(bins, [610, 410], 5, left, sorted(left)) == 2
+    assert sorted(bins.all()) == [((600, 420), 1), ((600, 424), 1)] and left == {300: 1}
+
+
 def test_sequences_hold_their_pieces(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, "d e")], "doc_id long, text string")
     parts = shared.written(packing.pieces(df, queries.vocabulary("byte_bpe_50k.json"), 2, with_ids=True), "pieces")
