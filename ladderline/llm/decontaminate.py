@@ -2,17 +2,18 @@
 
 Words lose case and punctuation; numbers, names and units become typed placeholders, with the word
 that stood there as the slot's value. Windows of WINDOW canonical words, LITERALS of them or more
-literal, are hashed. A fixed-size bitmap of the benchmark's windows keeps other windows of the
+literal, are hashed; an item with fewer words is one window of its own length. A fixed-size bitmap of the benchmark's windows keeps other windows of the
 documents from being emitted; what passes is hash-joined with the benchmark's windows. Along one
 alignment of a document and an item, a benchmark value must always meet the same value: then the
 document holds the item, perhaps re-parameterised. A document is contaminated by an item of which
 the consistent alignments hold WINDOWS windows or more (13 words in a row, say), or all it has.
-Items without a window (short ones, or with too few literal words) are looked for whole: all their
-words, slot values included, in a row are one window of the item's own length, joined exactly.
+Items without a window (those with too few literal words) are looked for whole: all their words, slot
+values included, in a row are one key of the item's own length, joined exactly.
 
 Each window is taken twice where it has names: with names as placeholders, and with names as words,
-so that a copy in other case is found too. Null and empty texts hold nothing. Repeated rows: a row
-each with the same result. Null doc_id: the row stays, never contaminated. Null items and items
+so that a copy in other case is found too. Null and empty texts hold nothing. Rows that share a
+doc_id are one document, whatever their texts: a row each, with the items of all of them together;
+so are items that share an item_id. Null doc_id: the row stays, never contaminated. Null items and items
 without words match nothing; an item of one word matches every text with that word. Other columns are ignored.
 An empty table gives no rows; an empty benchmark contaminates nothing.
 """
@@ -84,34 +85,38 @@ class Canonical:
         self.ptr = np.searchsorted(row, np.arange(len(offsets)))
         self.row = row
 
-    def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(first word, key, slot flags of the words) of all windows: typed ones, and plain ones where they differ."""
-        n = len(self.value) - WINDOW + 1
+    def windows(self, size: int = WINDOW, whole: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(first word, key, slot flags of the words) of all windows, or only of those that are a whole text: typed ones, and plain ones where they differ."""
+        n = len(self.value) - size + 1
         if n <= 0:
             return
-        one_row = self.row[:n] == self.row[WINDOW - 1 :]
-        count = lambda flag: (c := np.concatenate([[0], np.cumsum(flag)]))[WINDOW:] - c[:-WINDOW]
+        one_row = self.row[:n] == self.row[size - 1 :]
+        if whole:
+            one_row &= np.diff(np.append(self.ptr, len(self.value)))[self.row[:n]] == size
+        count = lambda flag: (c := np.concatenate([[0], np.cumsum(flag)]))[size:] - c[:-size]
         for words, slots, extra in ((self.typed, self.slot_typed, True), (self.plain, self.slot_plain, False)):
-            good = one_row & (count(slots) <= WINDOW - LITERALS)
+            good = one_row & (count(slots) <= size - LITERALS)
             if not extra:
                 good &= count(self.name) > 0
             pos = np.flatnonzero(good)
-            yield pos, K.windows(words, WINDOW)[pos], slots
+            key = K.windows(words, size)[pos]
+            yield pos, key if size == WINDOW else K.mix(key + U(size)), slots
 
 
-def _rows(c: Canonical, pos: np.ndarray, slots: np.ndarray) -> pa.Array:
+def _rows(c: Canonical, pos: np.ndarray, slots: np.ndarray, size: int) -> pa.Array:
     """The slot values of each window."""
-    flags = np.lib.stride_tricks.sliding_window_view(slots, WINDOW)[pos] if len(pos) else np.zeros((0, WINDOW), bool)
-    values = np.lib.stride_tricks.sliding_window_view(c.value, WINDOW)[pos] if len(pos) else np.zeros((0, WINDOW), U)
+    flags = np.lib.stride_tricks.sliding_window_view(slots, size)[pos] if len(pos) else np.zeros((0, size), bool)
+    values = np.lib.stride_tricks.sliding_window_view(c.value, size)[pos] if len(pos) else np.zeros((0, size), U)
     ptr = np.concatenate([[0], np.cumsum(flags.sum(axis=1))]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ptr), pa.array(values[flags].view(np.int64)))
 
 
-SCHEMA = "id long, pos long, key long, slots array<long>"
+SCHEMA = "id long, pos long, size int, key long, slots array<long>"
 
 
-def windows_of(rows: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
-    """(id, pos, key, slots) of the windows of rows (id, text), of those the bitmap lets pass."""
+def windows_of(rows: DataFrame, bitmap: np.ndarray | None = None, sizes: list[int] | None = None) -> DataFrame:
+    """(id, pos, size, key, slots) of the windows of rows (id, text): those of such sizes that the bitmap lets pass, or an item's own."""
+    wanted = [(k, False) for k in sizes] if sizes is not None else [(WINDOW, False), *((k, True) for k in range(LITERALS, WINDOW))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,12 +124,13 @@ def windows_of(rows: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
             for at, data, offsets in K.slices(batch.column("text")):
                 c = Canonical(data, offsets)
                 ids = batch.column("id").to_numpy()
-                for pos, key, slots in c.windows():
-                    if bitmap is not None:
-                        there = shared.in_bitmap(bitmap, (key >> U(64 - FILTER_BITS)).astype(np.int64))
-                        pos, key = pos[there], key[there]
-                    if len(pos):
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[at + c.row[pos]]), pa.array(pos - c.ptr[c.row[pos]]), pa.array(key.view(np.int64)), _rows(c, pos, slots)], ["id", "pos", "key", "slots"])
+                for size, whole in wanted:
+                    for pos, key, slots in c.windows(size, whole):
+                        if bitmap is not None:
+                            there = shared.in_bitmap(bitmap, (key >> U(64 - FILTER_BITS)).astype(np.int64))
+                            pos, key = pos[there], key[there]
+                        if len(pos):
+                            yield pa.RecordBatch.from_arrays([pa.array(ids[at + c.row[pos]]), pa.array(pos - c.ptr[c.row[pos]]), pa.array(np.full(len(pos), size, np.int32)), pa.array(key.view(np.int64)), _rows(c, pos, slots, size)], ["id", "pos", "size", "key", "slots"])
 
     return rows.mapInArrow(run, SCHEMA)
 
@@ -187,17 +193,19 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     questions, rows = benchmark.selectExpr("cast(item_id as long) id", "text"), docs.selectExpr("cast(doc_id as long) id", "text")
     items = shared.written(windows_of(questions), "benchmark").withColumnsRenamed({"id": "item_id", "pos": "at", "slots": "own"})
     bitmap = shared.bitmap(items.selectExpr(f"shiftrightunsigned(key, {64 - FILTER_BITS}) slot"), FILTER_BITS)
-    sizes = items.groupBy("item_id").agg(F.count_distinct("at").alias("windows"))
-    hits = windows_of(rows, bitmap).withColumnRenamed("id", "doc_id")
-    met = hits.join(items, "key").selectExpr("doc_id", "item_id", "at", "pos - at shift", "zip_with(own, slots, (o, v) -> named_struct('o', o, 'v', v)) pairs")
+    # an item of several rows may have windows of several sizes
+    sizes = items.groupBy("item_id", "size").agg(F.count_distinct("at").alias("windows"))
+    lengths = sorted(r["size"] for r in sizes.select("size").distinct().collect())
+    hits = windows_of(rows, bitmap, lengths).withColumnRenamed("id", "doc_id")
+    met = hits.join(items, ["key", "size"]).selectExpr("doc_id", "item_id", "size", "at", "pos - at shift", "zip_with(own, slots, (o, v) -> named_struct('o', o, 'v', v)) pairs")
     # one alignment has a window of the item once at most, so a group is no larger than the item
-    line = met.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    line = met.groupBy("doc_id", "item_id", "size", "shift").agg(F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     line = line.filter(f"size(pairs) = 0 or size(array_distinct(pairs.o)) >= {CONSISTENT} * size(pairs)")
-    line = line.selectExpr("doc_id", "item_id", "at", "exists(pairs, p -> p.o <> p.v) changed")
-    parts = line.selectExpr("doc_id", "item_id", "explode(at) at", "changed")
-    found = parts.groupBy("doc_id", "item_id").agg(F.count_distinct("at").alias("matched"), F.max("changed").alias("changed"))
-    found = found.join(sizes, "item_id").filter(f"matched >= least({WINDOWS}, windows)")
-    found = found.selectExpr("doc_id", "item_id", "matched", "matched / windows coverage", "changed reparameterised")
+    line = line.selectExpr("doc_id", "item_id", "size", "at", "exists(pairs, p -> p.o <> p.v) changed")
+    parts = line.selectExpr("doc_id", "item_id", "size", "explode(at) at", "changed")
+    found = parts.groupBy("doc_id", "item_id", "size").agg(F.count_distinct("at").alias("matched"), F.max("changed").alias("changed"))
+    found = found.join(sizes, ["item_id", "size"]).filter(f"matched >= least({WINDOWS}, windows)")
+    found = found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max(F.expr("matched / windows")).alias("coverage"), F.min("changed").alias("reparameterised"))
     whole = whole_matches(rows, questions, items)
     return found if whole is None else found.unionByName(whole)
 

@@ -94,6 +94,20 @@ def test_items_without_a_window_are_found_whole(spark):
     assert got == {1: [1], 2: [2], 3: [], 4: [], 5: [], 6: [], 7: [5], 8: [6], None: []}
 
 
+def test_short_items_are_found_with_other_values(spark):
+    items = spark.createDataFrame([(1, "How many apples cost 12 dollars?"), (2, "Name the capital of Peru"), (3, "Solve 3 for x")], "item_id long, text string")
+    docs = [(1, "quiz: how many apples cost 99 dollars, please"), (2, "how many pears cost 12 dollars"), (3, "so name the capital of Chile"), (4, "solve 4 for x"), (5, "solve 3 for x now"), (6, "how many apples cost")]
+    got = {r["doc_id"]: (r["item_ids"], r["reparameterised"]) for r in decontaminate.flagged(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {1: ([1], True), 2: ([], False), 3: ([2], True), 4: ([], False), 5: ([3], False), 6: ([], False)}
+
+
+def test_rows_of_one_id_are_one_document_for_items(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (1, "another wording of item one stands here in full")], "item_id long, text string")
+    docs = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (1, "clean"), (2, "say another wording of item one stands here in full"), (3, "clean")]
+    got = sorted((r["doc_id"], r["contaminated"]) for r in decontaminate.flagged(spark.createDataFrame(docs, "doc_id long, text string"), items).collect())
+    assert got == [(1, True), (1, True), (2, False), (3, False)]  # item one has three windows, and the second row two of them
+
+
 def test_no_labels_give_the_score_nought(spark, odd):
     assert {r["score"] for r in toxicity.score(odd, toxicity.train(odd, labels(spark).limit(0))).collect()} == {0.0}
 
@@ -103,6 +117,12 @@ def test_no_languages_accept_nothing(odd):
     assert not any(r["accepted"] for r in out.collect())
 
 
+def test_markup_gives_text_and_declared_language(spark):
+    rows = [(1, "http://a.example.de/x", '<!DOCTYPE html><HTML class="a" lang=\'de-AT\'><script>var t="</p>";</script><p>Guten&nbsp;Tag</p><!-- no -->'), (2, None, None), (3, "u", ""), (4, "u", '<html><meta http-equiv="content-language" content="fr"><body>Bonjour'), (5, "u", "no markup at all"), (6, "u", '<html xml:lang="es">')]
+    got = {r["page_id"]: (" ".join(r["text"].split()) if r["text"] is not None else None, r["declared"]) for r in langid.of_markup(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    assert got == {1: ("Guten Tag", "de"), 2: (None, None), 3: ("", None), 4: ("Bonjour", "fr"), 5: ("no markup at all", None), 6: ("", "es")}
+
+
 def test_empty_texts_are_not_accepted(odd):
     got = {r["doc_id"]: r["accepted"] for r in langid.classify(odd, ["doc_id"]).collect()}
     assert not (got[1] or got[2] or got[3]) and got[4]
