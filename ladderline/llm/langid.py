@@ -1,13 +1,14 @@
 """Language identification by fusion of evidence.
 
 The posterior of a language joins four parts: the likelihood of the text under byte-trigram models,
-the declared language (P(declared | language)), the suffix of the address (P(suffix | language)),
-and the prior of the host, smoothed towards its suffix and that towards the whole. All counts behind
-the last three come from one grouped aggregation over every document, by what the text alone says;
-a host with a third of all rows is aggregated before the shuffle like any other.
+the language that the markup declares (P(declared | language)), the suffix of the address
+(P(suffix | language)), and the prior of the host, smoothed towards its suffix and that towards the
+whole. All counts behind the last three come from one grouped aggregation over every row, by what
+the text alone says; a host with a third of all rows is aggregated before the shuffle like any other.
 
 The trigram models are fitted on labelled rows, those with the smallest hash of their id, TRAIN_ROWS
-at most. A document is accepted if it has letters and its best language is likely enough.
+at most. Labels train and are never fused: the declared language must be another column, or none.
+A row is accepted if it has letters and its best language is likely enough.
 
 Null or empty text: no letters, so not accepted; its language is the best by the other evidence, or
 null if there is no model. Null declared language, address or host: no evidence of that kind.
@@ -77,7 +78,7 @@ def posterior(log_p: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> TextModel:
-    """Fits the trigram models on rows (doc_id, text, lang)."""
+    """Fits the trigram models on rows (doc_id, text, lang): TRAIN_ROWS labelled ones at most."""
     labelled = docs.selectExpr("doc_id", "lower(regexp_extract(lang, '^[A-Za-z]{2,3}', 0)) y").filter("doc_id is not null and y <> ''")
     sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
 
@@ -105,6 +106,17 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> TextModel:
     return TextModel(languages, np.log(counts / counts.sum(axis=0)) if languages else counts)
 
 
+#: Where markup states its language, tried in this order.
+_STATED = (r"(?is)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*[\x22']?\s*([a-z]{2,3})", r"(?is)<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\x22']?\s*([a-z]{2,3})")
+_UNSEEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>|&#?[a-z0-9]+;"
+
+
+def of_markup(pages: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns of keep, with the visible text of the column html, the language it declares, and its url."""
+    stated = [F.nullif(F.lower(F.regexp_extract("html", p, 1)), F.lit("")) for p in _STATED]
+    return pages.select(*keep, F.regexp_replace("html", _UNSEEN, " ").alias("text"), F.coalesce(*stated).alias("declared"), "url")
+
+
 def suffix_of(address: Column) -> Column:
     """The last label of an address' host, if it has one that looks like a suffix."""
     host = F.regexp_replace(F.lower(address), "^[a-z][a-z0-9+.-]*://|[/?#:].*$", "")
@@ -173,18 +185,22 @@ def gather(rows: DataFrame, model: TextModel) -> Evidence:
     return Evidence(*tables, prior, shared.written(hosts.mapInArrow(smooth, "host string, host_prior array<double>"), "hosts"))
 
 
-def classify(docs: DataFrame, keep: list[str], declared: str = "lang", address: str = "source", host: str = "source", accepted_only: bool = False) -> DataFrame:
-    """The columns of keep, with declared_lang, text_lang, language, confidence and accepted; or the accepted rows' keep alone."""
+def classify(docs: DataFrame, keep: list[str], model: TextModel | None = None, declared: str | None = None, address: str | None = "source", host: str | None = "source", accepted_only: bool = False) -> DataFrame:
+    """The columns of keep, with declared_lang, text_lang, language, confidence and accepted; or the accepted rows' keep alone.
+
+    Without a model, one is trained on the column lang, which then must not be the declared one too.
+    """
     result = [] if accepted_only else ["declared_lang", "text_lang", "language", "confidence", "accepted"]
     keep = [c for c in keep if c not in result]
+    none = F.lit(None).cast("string")
     rows = docs.select(
         *(F.col(c).alias(f"keep_{c}") for c in keep),
         F.col("text").alias("text"),
-        F.nullif(F.lower(F.regexp_extract(declared, "^[A-Za-z]{2,3}", 0)), F.lit("")).alias("declared"),
-        suffix_of(F.col(address)).alias("suffix"),
-        F.lower(F.regexp_replace(host, "^[a-z][a-z0-9+.-]*://|[/?#:].*$", "")).alias("host"),
+        (F.nullif(F.lower(F.regexp_extract(declared, "^[A-Za-z]{2,3}", 0)), F.lit("")) if declared else none).alias("declared"),
+        (suffix_of(F.col(address)) if address else none).alias("suffix"),
+        (F.nullif(F.lower(F.regexp_replace(host, "^[A-Za-z][A-Za-z0-9+.-]*://|[/?#:].*$", "")), F.lit("")) if host else none).alias("host"),
     )
-    model = train(docs.selectExpr("cast(doc_id as long) doc_id", "text", f"{declared} lang"))
+    model = train(docs.selectExpr("cast(doc_id as long) doc_id", "text", "lang")) if model is None else model
     kinds = {"declared_lang": "string", "text_lang": "string", "language": "string", "confidence": "double", "accepted": "boolean"}
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields] + [f"{k} {kinds[k]}" for k in result]
     if not model.languages:

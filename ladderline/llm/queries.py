@@ -41,7 +41,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.classify(table(spark, sf_dir, "documents"), ["doc_id"])
+    """Documents (page_id null) by text and source, and pages (doc_id null) by all four evidences; the labels of documents train the text models of both."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.selectExpr("cast(doc_id as long) doc_id", "text", "lang"))
+    pages = langid.of_markup(table(spark, sf_dir, "pages"), ["page_id"])
+    pages = langid.classify(pages, ["page_id"], model, declared="declared", address="url", host="url")
+    docs = langid.classify(docs, ["doc_id"], model)
+    return docs.unionByName(pages, allowMissingColumns=True)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

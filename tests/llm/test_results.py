@@ -256,16 +256,53 @@ def test_toxicity_on_the_held_out_third(spark):
     assert np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) > 0.9
 
 
-def test_languages_agree_with_the_labels(spark, documents):
-    rows = langid.classify(documents, ["doc_id"]).collect()
-    assert np.mean([r["language"] == r["declared_lang"] for r in rows]) > 0.98
-    assert np.mean([r["accepted"] for r in rows]) > 0.98
-
-
-def test_text_outweighs_a_wrong_declaration(spark, documents):
-    wrong = documents.selectExpr("doc_id", "text", "CASE WHEN doc_id % 10 = 0 AND lang = 'fr' THEN 'de' ELSE lang END lang", "source", "lang truth", "n_chars").filter("n_chars > 300")
-    rows = langid.classify(wrong, ["truth"]).collect()
-    assert np.mean([r["language"] == r["truth"] for r in rows]) > 0.97
+@pytest.fixture(scope="module")
+def more(spark):
+    return {t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "pages")}
+
+
+def test_languages_of_documents_that_did_not_train(spark, more):
+    docs = more["documents"].withColumn("truth", F.col("lang"))
+    model = langid.train(docs.filter("doc_id % 3 = 0").select("doc_id", "text", "lang"))
+    rows = langid.classify(docs.filter("doc_id % 3 <> 0").drop("lang"), ["truth"], model).collect()
+    assert np.mean([r["language"] == r["truth"] for r in rows]) > 0.98 and np.mean([r["accepted"] for r in rows]) > 0.98
+    assert all(r["declared_lang"] is None for r in rows)
+
+
+def stated_otherwise(pages, share):
+    """Pages whose markup states another language on some rows, with the one it stated before."""
+    truth = F.regexp_extract("html", '<html lang="([a-z]+)"', 1)
+    wrong = F.when(truth == "de", "fr").otherwise("de")
+    other = F.expr(f"pmod(xxhash64(page_id), 100) < {100 * share}")
+    html = F.when(other, F.regexp_replace("html", F.lit('<html lang="[a-z]+"'), F.concat(F.lit('<html lang="'), wrong, F.lit('"')))).otherwise(F.col("html"))
+    return pages.select("page_id", "url", truth.alias("truth"), html.alias("html"))
+
+
+@pytest.mark.parametrize("case", ["as stated", "a third wrong", "none stated", "hosts unseen"])
+def test_languages_of_pages(spark, more, case):
+    model = langid.train(more["documents"].select("doc_id", "text", "lang"))
+    pages = stated_otherwise(more["pages"], 0.33 if case == "a third wrong" else 0)
+    if case == "none stated":
+        pages = pages.withColumn("html", F.regexp_replace("html", '<html lang="[a-z]+"', "<html"))
+    if case == "hosts unseen":
+        pages = pages.withColumn("url", F.concat(F.lit("http://h"), "page_id", F.lit(".example.com/x")))
+    rows = langid.classify(langid.of_markup(pages, ["page_id", "truth"]), ["truth"], model, "declared", "url", "url").collect()
+    assert np.mean([r["language"] == r["truth"] for r in rows]) > 0.95
+    if case == "a third wrong":
+        assert np.mean([r["declared_lang"] == r["truth"] for r in rows]) < 0.75
+
+
+def test_other_evidence_decides_where_the_text_is_short(spark, more):
+    """Twelve pages of one German host and suffix, one of them with a single ambiguous word."""
+    docs = more["documents"]
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    german = [r["text"][:400] for r in docs.filter("lang = 'de'").limit(40).collect()]
+    english = [r["text"][:400] for r in docs.filter("lang = 'en'").limit(40).collect()]
+    rows = [(f"http://a{k % 4}.firm.de/{k}", f'<html lang="de">{t}') for k, t in enumerate(german)] + [(f"http://b{k % 4}.firm.uk/{k}", f'<html lang="en">{t}') for k, t in enumerate(english)]
+    rows += [("http://a1.firm.de/short", '<html lang="de">in'), ("http://b1.firm.uk/short", '<html lang="en">in')]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["language"] for r in langid.classify(langid.of_markup(df, ["page_id"]), ["page_id"], model, "declared", "url", "url").collect()}
+    assert (got[80], got[81]) == ("de", "en")
 
 
 def test_archives_round_trip(spark, tmp_path):
