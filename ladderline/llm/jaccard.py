@@ -22,8 +22,9 @@ are then found by star contraction over written tables.
 
 Null and empty texts have empty sets, no links, and a component of their own. Repeated rows: a row
 each; they are copies of one another. Rows that share a doc_id but not the text stand each for its
-own text: where a doc_id has several sets, a set goes by a hash of its doc_id and itself. Null doc_id: the row stays, linked with nothing, its component null. Ties: the smallest
-doc_id names a component. Other columns are ignored. An empty table gives no rows.
+own text: where a doc_id has several sets, a set goes by a hash of its doc_id and itself. Null
+doc_id: the row stays, linked with nothing, its component null. Ties: the smallest doc_id names a
+component. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -47,8 +48,9 @@ U = np.uint64
 SKETCH_BITS, SKETCH_CHUNK = 22, 4096
 #: Bits of the bitmaps that spare work on documents that cannot matter (joins decide exactly).
 FILTER_BITS = 26
-#: Sets of a block at most, by expectation, and shingles of a block.
+#: Sets of a block at most, by expectation, and shingles of a block; a family is cut into FEW blocks if each has LEAST_SETS.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
+FEW, LEAST_SETS = 8, 256
 #: Documents of a list up to which its pairs are counted one by one; longer lists make families at once.
 SHORT_LIST = 8
 #: No boundary beyond this size is tried: a set of 16 has some thousand subsets.
@@ -57,16 +59,26 @@ LARGEST_LIGHT = 16
 COMPARE = 0.25
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-    """The sorted set of each text."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted sets of all texts end to end, and where each begins."""
     words = K.Words(data, offsets)
     h = words.hashes()
     grams = K.windows(h, WORDS)
-    for a, b in itertools.pairwise(words.ptr):
-        if b - a >= WORDS:
-            yield np.unique(grams[a : b - WORDS + 1])
-        else:
-            yield K.windows(h[a:b], b - a) if b > a else np.zeros(0, U)
+    n = np.diff(words.ptr)
+    size = np.where(n >= WORDS, n - WORDS + 1, np.minimum(n, 1))
+    ptr = np.concatenate([[0], np.cumsum(size)])
+    flat = np.empty(ptr[-1], U)
+    for a, k, at, end in zip(words.ptr.tolist(), n.tolist(), ptr.tolist(), ptr[1:].tolist(), strict=False):
+        if k >= WORDS:
+            own = flat[at:end]
+            own[:] = grams[a : a + k - WORDS + 1]
+            own.sort()
+        elif k:
+            flat[at] = K.windows(h[a : a + k], k)[0]
+    fresh = np.ones(len(flat), bool)
+    fresh[1:] = flat[1:] != flat[:-1]
+    fresh[ptr[:-1][size > 0]] = True
+    return flat[fresh], np.concatenate([[0], np.cumsum(fresh)])[ptr]
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -74,9 +86,12 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _sums(x: np.ndarray) -> tuple[np.uint64, np.uint64]:
-    """128 bits that stand for the set."""
-    return K.mix(x ^ U(0x5BD1E995C3A5C85C)).sum(dtype=U), K.mix(x ^ U(0x2545F4914F6CDD1D)).sum(dtype=U)
+def _sums(flat: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that stand for each set."""
+    total = np.zeros((2, len(flat) + 1), U)
+    for k, seed in enumerate((0x5BD1E995C3A5C85C, 0x2545F4914F6CDD1D)):
+        np.cumsum(K.mix(flat ^ U(seed)), out=total[k, 1:])
+    return total[0, ptr[1:]] - total[0, ptr[:-1]], total[1, ptr[1:]] - total[1, ptr[:-1]]
 
 
 def _nodes(ids: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
@@ -93,16 +108,13 @@ def summarised(docs: DataFrame) -> DataFrame:
         sketch = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             for at, data, offsets in K.slices(batch.column("text")):
-                n, s1, s2 = [], [], []
-                for x in shingle_sets(data, offsets):
-                    n.append(len(x))
-                    for s, v in zip((s1, s2), _sums(x), strict=True):
-                        s.append(v)
-                    np.add.at(sketch, (x >> U(64 - SKETCH_BITS)).astype(np.int64), 1)
-                rows = len(n)
+                flat, ptr = shingle_sets(data, offsets)
+                np.add.at(sketch, (flat >> U(64 - SKETCH_BITS)).astype(np.int64), 1)
+                n, rows = np.diff(ptr), len(ptr) - 1
+                s1, s2 = _sums(flat, ptr)
                 ids = batch.column("doc_id").slice(at, rows)
                 plain = ids.fill_null(0).to_numpy(zero_copy_only=False)
-                slot, s1, s2 = K.id_slots(plain, FILTER_BITS), np.array(s1, U), np.array(s2, U)
+                slot = K.id_slots(plain, FILTER_BITS)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(_bits(s1)), pa.array(_bits(s2)), pa.array(slot), pa.array(_nodes(plain, s1, s2)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         if sketch.any():
             parts = np.minimum(sketch, 255).astype(np.uint8).reshape(-1, SKETCH_CHUNK)
@@ -162,18 +174,24 @@ def _subsets(n: int, k: int) -> np.ndarray:
     return np.array(list(itertools.combinations(range(n), k)), np.int64).reshape(-1, k)
 
 
-def signatures(x: np.ndarray, classes: np.ndarray, boundary: int) -> np.ndarray:
-    """The keys under which a set meets every set it links with."""
-    n, out = len(x), []
-    if 0 < n <= boundary:
-        spread = K.mix(x ^ U(0x9FB21C651E98DF25))
-        for m in partners(n, boundary):
-            lo, hi = min(n, m), max(n, m)
-            out.append(K.mix(spread[_subsets(n, least_overlap(n, m))].sum(axis=1, dtype=U) + U(lo * 1000 + hi)))
-    if n and 5 * n >= 4 * (boundary + 1):
-        order = np.lexsort((x, classes[(x >> U(64 - SKETCH_BITS)).astype(np.int64)]))
-        out.append(x[order[: prefix_length(n)]])
-    return np.concatenate(out) if out else np.zeros(0, U)
+def signatures(flat: np.ndarray, ptr: np.ndarray, classes: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, row): the keys under which each set meets every set it links with."""
+    n = np.diff(ptr)
+    row = np.repeat(np.arange(len(n)), n)
+    keys, rows = [], []
+    for i in np.flatnonzero((n > 0) & (n <= boundary)):
+        size = int(n[i])
+        spread = K.mix(flat[ptr[i] : ptr[i + 1]] ^ U(0x9FB21C651E98DF25))
+        for m in partners(size, boundary):
+            lo, hi = min(size, m), max(size, m)
+            keys.append(K.mix(spread[_subsets(size, least_overlap(size, m))].sum(axis=1, dtype=U) + U(lo * 1000 + hi)))
+            rows.append(np.full(len(keys[-1]), i))
+    heavy = (n > 0) & (5 * n >= 4 * (boundary + 1))
+    # sets are sorted, so a stable sort by row and rarity leaves ties in order of their hashes
+    order = np.argsort(row * 256 + classes[(flat >> U(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
+    place = np.arange(len(flat)) - ptr[:-1][row]
+    use = heavy[row] & (place < (n - (4 * n + 4) // 5 + 1)[row])
+    return np.concatenate([*keys, flat[order[use]]]), np.concatenate([*rows, row[use]]).astype(np.int64)
 
 
 def compare_block(pivot: int, same: bool, ids: np.ndarray, left: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, families: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -271,12 +289,12 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """A row per document of (doc_id, text): n_shingles, component_id, class_id, n_copies and n_links."""
+def _linked(docs: DataFrame) -> DataFrame:
+    """The rows of link(), each with a hash of its set, and a name for its component that no other one has."""
     docs = docs.select("doc_id", "text")
     summary = shared.written(summarised(docs), "sets")
     classes = sketch_classes(summary)
-    rows = summary.filter("chunk is null").select("doc_id", "n", "s1", "s2", "slot")
+    rows = summary.filter("chunk is null").select("doc_id", "n", "s1", "s2")
     full = summary.filter("chunk is null and doc_id is not null and n > 0")
     several = shared.written(full.groupBy("doc_id").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.first("slot").alias("slot")).filter("lo < hi").select("slot").distinct(), "several")
     many = None if several.isEmpty() else shared.bitmap(several, FILTER_BITS)
@@ -292,13 +310,15 @@ def link(docs: DataFrame) -> DataFrame:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for nodes, sets in _wanted(batch, wanted, many):
-                found = [signatures(x, classes, boundary) for x in sets]
-                flat = np.concatenate(found)
-                ptr = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.ListArray.from_arrays(pa.array(ptr), pa.array(_bits(flat)))], ["doc_id", "keys"])
-
-    entries = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(keys, "doc_id long, keys array<long>").selectExpr("doc_id", "explode(keys) key")
+            for nodes, flat, ptr in _wanted(batch, wanted, many):
+                found, row = signatures(flat, ptr, classes, boundary)
+                order = np.argsort(row, kind="stable")
+                at = np.searchsorted(row[order], np.arange(len(ptr))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.ListArray.from_arrays(pa.array(at), pa.array(_bits(found[order])))], ["doc_id", "keys"])
+
+    # written once: it is read for the lists' sizes and again for their members
+    entries = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(keys, "doc_id long, keys array<long>")
+    entries = shared.written(entries, "signatures").selectExpr("doc_id", "explode(keys) key")
     lists = entries.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count("*").alias("c")).filter("pivot < last").drop("last")
     known = reps.selectExpr("node member", "copies weight", "n", "slot")
     met = shared.written(entries.join(lists, "key").withColumnRenamed("doc_id", "member").join(known.select("member", "n"), "member"), "lists")
@@ -318,15 +338,15 @@ def link(docs: DataFrame) -> DataFrame:
     met = shared.written(met.select("pivot", "member", "weight", "n", "slot"), "families")
     kept = met.groupBy("pivot").agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     # two documents whose sizes lie too far apart cannot link
-    kept = kept.filter("c > 2 or c = 2 and 5 * lo >= 4 * hi").selectExpr("pivot", f"cast(greatest(ceil(c / {BLOCK_SETS}), ceil(total / {BLOCK_SHINGLES})) as int) g")
+    kept = kept.filter("c > 2 or c = 2 and 5 * lo >= 4 * hi").selectExpr("pivot", f"cast(greatest(ceil(c / {BLOCK_SETS}), least({FEW}, ceil(c / {LEAST_SETS})), ceil(total / {BLOCK_SHINGLES})) as int) g")
     met = shared.written(met.join(kept, "pivot"), "families")
     place = met.join(met.groupBy("member").agg(F.array_sort(F.collect_list("pivot")).alias("families")), "member")
     needed = shared.bitmap(met.select("slot"), FILTER_BITS)
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for nodes, sets in _wanted(batch, needed, many):
-                x = pa.array([x.tobytes() for x in sets], pa.binary())
+            for nodes, flat, ptr in _wanted(batch, needed, many):
+                x = pa.Array.from_buffers(pa.large_binary(), len(nodes), [None, pa.py_buffer((8 * ptr).astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), x], ["member", "x"])
 
     own = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(full_sets, "member long, x binary")
@@ -335,11 +355,13 @@ def link(docs: DataFrame) -> DataFrame:
     compared = shared.written(_compared(blocks.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")), "links")
     found = components(compared.filter("root <> doc_id").selectExpr("doc_id u", "root v"))
     counts = compared.groupBy("doc_id").agg(F.sum("links").alias("links"))
-    found, counts = found.withColumnRenamed("doc_id", "node"), counts.withColumnRenamed("doc_id", "node")
-    if many is not None:  # the smallest node need not be the smallest doc_id
-        least = found.join(reps, "node").groupBy("component").agg(F.min("rep").alias("least"))
-        found = found.join(least, "component").selectExpr("node", "least component")
-    reps = reps.join(found, "node", "left").join(counts, "node", "left").drop("slot", "node")
+    found, counts = found.withColumnRenamed("doc_id", "node").withColumnRenamed("component", "group"), counts.withColumnRenamed("doc_id", "node")
+    if many is None:
+        found = found.withColumn("component", F.col("group"))
+    else:  # the smallest node need not be the smallest doc_id
+        least = found.join(reps, "node").groupBy("group").agg(F.min("rep").alias("component"))
+        found = found.join(least, "group")
+    reps = reps.join(found, "node", "left").join(counts, "node", "left").withColumn("group", F.coalesce("group", "node")).drop("slot", "node")
     own_row = "doc_id is null or n = 0"
     return rows.join(reps, ["n", "s1", "s2"], "left").selectExpr(
         "doc_id", "n n_shingles",
@@ -347,38 +369,61 @@ def link(docs: DataFrame) -> DataFrame:
         f"CASE WHEN {own_row} THEN doc_id ELSE rep END class_id",
         f"CASE WHEN {own_row} THEN 1L ELSE copies END n_copies",
         f"CASE WHEN {own_row} THEN 0L ELSE coalesce(links, 0L) + copies - 1 END n_links",
+        "s1", f"CASE WHEN {own_row} THEN null ELSE `group` END group",
     )
 
 
-def _wanted(batch: pa.RecordBatch, bitmap: np.ndarray, many: np.ndarray | None) -> Iterator[tuple[np.ndarray, Iterator[np.ndarray]]]:
-    """(nodes, sets) of slices of the batch's rows that the bitmap lets pass; rows without an id don't. Nodes are ready once the sets are read."""
+def link(docs: DataFrame) -> DataFrame:
+    """A row per document of (doc_id, text): n_shingles, component_id, class_id, n_copies and n_links."""
+    return _linked(docs).drop("s1", "group")
+
+
+def _wanted(batch: pa.RecordBatch, bitmap: np.ndarray, many: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(nodes, sets end to end, where each begins) of slices of the batch's rows that the bitmap lets pass; rows without an id don't."""
     slots = K.id_slots(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), FILTER_BITS)
     ok = shared.in_bitmap(bitmap, slots) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
     batch, slots = batch.filter(pa.array(ok)), slots[ok]
     hashed = shared.in_bitmap(many, slots) if many is not None else np.zeros(len(slots), bool)
     ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-
-    def each(nodes: np.ndarray, own: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-        for k, x in enumerate(shingle_sets(data, offsets)):
-            if own[k]:
-                s1, s2 = _sums(x)
-                nodes[k : k + 1] = _nodes(nodes[k : k + 1], np.array([s1], U), np.array([s2], U))
-            yield x
-
     for at, data, offsets in K.slices(batch.column("text")):
         rows = slice(at, at + len(offsets) - 1)
-        nodes = ids[rows].astype(np.int64)
-        yield nodes, each(nodes, hashed[rows], data, offsets)
+        flat, ptr = shingle_sets(data, offsets)
+        nodes, own = ids[rows].astype(np.int64), hashed[rows]
+        if own.any():
+            s1, s2 = _sums(flat, ptr)
+            nodes[own] = _nodes(nodes[own], s1[own], s2[own])
+        yield nodes, flat, ptr
+
+
+def _with_sets(docs: DataFrame, size: str, of: str) -> DataFrame:
+    """The documents with the size of each text's set, and the hash that _linked gives as s1."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, data, offsets in K.slices(batch.column("text")):
+                flat, ptr = shingle_sets(data, offsets)
+                part = batch.slice(at, len(ptr) - 1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(ptr)), pa.array(_bits(_sums(flat, ptr)[0]))], [*part.schema.names, size, of])
+
+    return docs.mapInArrow(run, f"{fields}, `{size}` long, `{of}` long")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents themselves, with one of each component: the one with the smallest doc_id. Rows without an id stay."""
-    found = shared.written(link(docs).select("doc_id", "component_id"), "components").filter("doc_id is not null")
-    own = shared.fresh(docs, "_id")
-    # rows that share an id: gone only if none of them names its component
+    """The documents themselves, with one row of each component: that of its smallest doc_id (of several texts of that id, the one with the smallest hash).
+
+    Rows without an id stay, and so do rows without words, which are linked with nothing.
+    """
+    found = shared.written(_linked(docs).select("doc_id", "n_shingles", "component_id", "s1", "group"), "components").filter("doc_id is not null")
+    own, size, of = (shared.fresh(docs, c) for c in ("_id", "_size", "_set"))
     ids = found.groupBy(F.col("doc_id").alias(own)).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("names"), F.count("*").alias("c"))
     ids = shared.written(ids.filter("not names or c > 1"), "duplicates")
     same = F.col("doc_id") == F.col(own)
     rest = docs.join(shared.bounded(ids.select(own)), same, "left_anti")
-    again = docs.join(shared.bounded(ids.filter("names").select(own)), same, "left_semi").dropDuplicates(["doc_id"])
+    # rows that share an id are told apart by their sets
+    kept = found.filter("n_shingles > 0 and doc_id = component_id").join(ids.filter("c > 1").select(own), same, "left_semi")
+    kept = kept.groupBy("doc_id", "group").agg(F.min("s1").alias(of)).select(F.col("doc_id").alias(own), of).distinct()
+    several = shared.written(_with_sets(docs.join(shared.bounded(ids.filter("c > 1").select(own)), same, "left_semi"), size, of), "several")
+    again = several.join(shared.bounded(shared.written(kept, "kept")).withColumnRenamed(of, f"{of}_"), same & (F.col(of) == F.col(f"{of}_")), "left_semi").filter(f"`{size}` > 0")
+    again = again.dropDuplicates(["doc_id", of]).unionByName(several.filter(f"`{size}` = 0")).drop(size, of)
     return rest.unionByName(again)

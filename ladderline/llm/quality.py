@@ -1,30 +1,37 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule has a cost and a selectivity, both estimated on a bounded sample; the rules run in
-descending order of rejection per cost, and a document that one rule rejects is not shown to the
-next. The order changes the work only: a document is kept if no rule rejects it.
+Each rule has a cost and a selectivity, both estimated on a sample: the rows of the SAMPLE_ROWS
+smallest hashes of a doc_id, wherever they stand, of which those count that the base rule lets pass.
+Costs are in fixed units for a text's bytes, words and lines, so they are the same in every run. The
+rules run in descending order of rejection per cost, and a document that one rule rejects is not
+shown to the next. The order changes the work, and which of several rules is named: a document is
+kept if no rule rejects it.
 
 Null and empty texts have no words and fail the base rule. Repeated rows get a row each; a null
-doc_id stays null. Other columns of the input are ignored. An empty table gives no rows.
+doc_id stays null, and is in no sample. Rows that share an id are in the sample together. Other
+columns of the input are ignored. An empty table gives no rows; without a sample the rules run as
+given.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import kernel as K
 
-#: Rows of the sample on which cost and selectivity are estimated.
+#: Ids of the sample on which cost and selectivity are estimated.
 SAMPLE_ROWS = 512
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 WINDOW = 8
+_SAME = np.arange(256, dtype=np.uint8)
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
 
 
@@ -39,26 +46,42 @@ class Texts:
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
-    def share(self, i: int, table: np.ndarray, of: np.ndarray | None = None) -> float:
-        b = self.data[self.offsets[i] : self.offsets[i + 1]]
-        return table[b].sum() / max(1, len(b) if of is None else of[b].sum())
+    def count(self, table: np.ndarray) -> np.ndarray:
+        """How many bytes of each text are in the table."""
+        return K.per_row(table[self.data], self.offsets)
 
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return self.words.hashes(_SAME)
+
+    @cached_property
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """How many lines with a word each text has, and how many of them repeat an earlier one."""
+        total, dup = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
+        for i in range(self.n):
+            found = [x for x in self.text(i).split(b"\n") if x.strip(b" \t\n\x0b\x0c\r")]
+            total[i], dup[i] = len(found), len(found) - len(set(found))
+        return total, dup
+
+    @cached_property
     def base(self) -> dict[str, np.ndarray]:
         point = self.words.inside & ((self.data & 0xC0) != 0x80)
-        dup, rep = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
-        hashes = K.windows(self.words.hashes(np.arange(256, dtype=np.uint8)), WINDOW)
-        for i in range(self.n):
-            lines = [x for x in self.text(i).split(b"\n") if x.strip(b" \t\n\x0b\x0c\r")]
-            dup[i] = len(lines) - len(set(lines))
+        rep = np.zeros(self.n, np.int64)
+        hashes = K.windows(self.hashes, WINDOW)
+        for i in np.flatnonzero(self.n_words > WINDOW):
             a, b = self.words.ptr[i], self.words.ptr[i + 1]
-            if b - a > WINDOW:
-                _, back, count = np.unique(hashes[a : b - WINDOW + 1], return_inverse=True, return_counts=True)
-                if len(count) < len(back):
-                    at, edges = np.flatnonzero(count[back] > 1), np.zeros(b - a + 1, np.int64)
-                    edges[at] += 1
-                    edges[at + WINDOW] -= 1
-                    rep[i] = np.count_nonzero(np.cumsum(edges))
-        return {"word_chars": K.per_row(point, self.offsets), "n_symbols": K.per_row(SYMBOLS[self.data], self.offsets), "n_dup_lines": dup, "n_repeat_words": rep}
+            _, back, count = np.unique(hashes[a : b - WINDOW + 1], return_inverse=True, return_counts=True)
+            if len(count) < len(back):
+                at, edges = np.flatnonzero(count[back] > 1), np.zeros(b - a + 1, np.int64)
+                edges[at] += 1
+                edges[at + WINDOW] -= 1
+                rep[i] = np.count_nonzero(np.cumsum(edges))
+        return {"word_chars": K.per_row(point, self.offsets), "n_symbols": self.count(SYMBOLS), "n_dup_lines": self.lines[1], "n_repeat_words": rep}
+
+    @cached_property
+    def failed(self) -> np.ndarray:
+        """The base rule."""
+        return (self.n_words < 20) | (100 * self.base["n_repeat_words"] > 30 * self.n_words)
 
 
 def _table(values: bytes | range) -> np.ndarray:
@@ -71,90 +94,94 @@ _UPPER, _LETTER, _LOUD = _table(range(65, 91)), _table([*range(65, 91), *range(9
 _WORDY = _LETTER | _table(range(128, 256))
 
 
-def _alphabetic(x: Texts, i: int) -> float:
-    """The share of words with a letter."""
-    a, b = x.words.ptr[i], x.words.ptr[i + 1]
-    if a == b:
-        return 0.0
-    has = np.add.reduceat(_WORDY[x.data[x.words.start[a] : x.words.end[b - 1]]], x.words.start[a:b] - x.words.start[a])
-    return np.count_nonzero(has) / (b - a)
-
+def _no_letters(x: Texts, rows: np.ndarray) -> np.ndarray:
+    """The share of words without a letter."""
+    total = np.concatenate([[0], np.cumsum(_WORDY[x.data])])
+    has = total[x.words.end] > total[x.words.start]
+    return 1 - np.bincount(x.words.row[has], minlength=x.n)[rows] / np.maximum(1, x.n_words[rows])
 
-def _top_word(x: Texts, i: int) -> float:
-    words = x.text(i).split()
-    if not words:
-        return 0.0
-    count: dict[bytes, int] = {}
-    for w in words:
-        count[w] = count.get(w, 0) + 1
-    return max(count.values()) / len(words)
 
-
-def _dup_lines(x: Texts, i: int) -> float:
-    lines = [y for y in x.text(i).split(b"\n") if y.strip()]
-    return 1 - len(set(lines)) / len(lines) if lines else 0.0
+def _top_word(x: Texts, rows: np.ndarray) -> np.ndarray:
+    """The share of the most frequent word."""
+    out = np.zeros(len(rows))
+    for k, i in enumerate(rows):
+        h = np.sort(x.hashes[x.words.ptr[i] : x.words.ptr[i + 1]])
+        if len(h):
+            edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+            out[k] = np.diff(edges).max() / len(h)
+    return out
 
 
-def _word_length(x: Texts, i: int) -> float:
-    a, b = x.words.ptr[i], x.words.ptr[i + 1]
-    return float((x.words.end[a:b] - x.words.start[a:b]).mean()) if b > a else 0.0
+def _word_length(x: Texts, rows: np.ndarray) -> np.ndarray:
+    return x.count(~K.SPACE)[rows] / np.maximum(1, x.n_words[rows])
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects a text whose value is over the limit."""
+    """Rejects the texts whose value is over the limit. Costs: units for a byte, a word and a line (about a nanosecond each)."""
 
     name: str
-    value: Callable[[Texts, int], float]
+    value: Callable[[Texts, np.ndarray], np.ndarray]
     limit: float
+    per_byte: float = 0.0
+    per_word: float = 0.0
+    per_line: float = 0.0
 
 
 #: The production rules. Limits are wide: prose passes all of them.
 RULES = (
-    Rule("symbols", lambda x, i: SYMBOLS[x.data[x.offsets[i] : x.offsets[i + 1]]].sum() / max(1, x.n_words[i]), 0.5),
-    Rule("capitals", lambda x, i: x.share(i, _UPPER, _LETTER), 0.6),
-    Rule("exclamations", lambda x, i: _LOUD[x.data[x.offsets[i] : x.offsets[i + 1]]].sum() / max(1, x.n_words[i]), 0.5),
-    Rule("no_letters", lambda x, i: 1 - _alphabetic(x, i), 0.4),
-    Rule("long_words", _word_length, 40),
-    Rule("one_word", _top_word, 0.3),
-    Rule("duplicate_lines", _dup_lines, 0.5),
+    Rule("symbols", lambda x, rows: x.count(SYMBOLS)[rows] / np.maximum(1, x.n_words[rows]), 0.5, per_byte=3),
+    Rule("capitals", lambda x, rows: x.count(_UPPER)[rows] / np.maximum(1, x.count(_LETTER)[rows]), 0.6, per_byte=6),
+    Rule("exclamations", lambda x, rows: x.count(_LOUD)[rows] / np.maximum(1, x.n_words[rows]), 0.5, per_byte=3),
+    Rule("no_letters", _no_letters, 0.4, per_byte=3, per_word=10),
+    Rule("long_words", _word_length, 40, per_byte=3),
+    Rule("one_word", _top_word, 0.3, per_word=40),
+    Rule("duplicate_lines", lambda x, rows: x.lines[1][rows] / np.maximum(1, x.lines[0][rows]), 0.5, per_byte=1, per_line=100),
 )
 
 
-def cascade_order(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[tuple[str, float, float]]:
-    """(rule, seconds a text, share rejected) in the order in which the cascade runs; ties keep the given order."""
-    column = pa.array([t or "" for t in texts], pa.large_string())
-    found = []
-    for rule in rules:
-        began, bad, n = time.perf_counter(), 0, 0
-        for _, data, offsets in K.slices(column):
-            x = Texts(data, offsets)
-            n += x.n
-            bad += sum(rule.value(x, i) > rule.limit for i in range(x.n))
-        found.append((rule.name, (time.perf_counter() - began) / max(1, n), bad / max(1, n)))
+def estimates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
+    """(rule, cost of a text, share rejected) on the sample, in the order in which the cascade runs; ties keep the given order. Sums alone leave the executors."""
+    top = docs.filter("doc_id is not null").select(F.xxhash64(F.col("doc_id").cast("long")).alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    schema = "n long, bytes long, words long, lines long, " + ", ".join(f"bad{k} long" for k in range(len(rules)))
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in K.slices(batch.column("text")):
+                x = Texts(data, offsets)
+                rows = np.flatnonzero(~x.failed)
+                if len(rows):
+                    sums = [len(rows), np.diff(offsets)[rows].sum(), x.n_words[rows].sum(), x.lines[0][rows].sum(), *(np.count_nonzero(r.value(x, rows) > r.limit) for r in rules)]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(v)], pa.int64()) for v in sums], names)
+
+    if top is None:
+        return [(r.name, 0.0, 0.0) for r in rules]
+    sample = docs.filter(F.xxhash64(F.col("doc_id").cast("long")) <= top).select("text")
+    got = sample.mapInArrow(run, schema).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).first()
+    n = max(1, got["n"])
+    found = [(r.name, (r.per_byte * got["bytes"] + r.per_word * got["words"] + r.per_line * got["lines"]) / n, got[f"bad{k}"] / n) for k, r in enumerate(rules)]
     return sorted(found, key=lambda f: -f[2] / max(f[1], 1e-9))
 
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """A row per document of (doc_id, text): base counts, base verdict, the cascade's verdict and the rule that rejected it."""
-    order = [name for name, _, _ in cascade_order([r[0] for r in docs.select("text").head(sample_rows)], rules)]
-    ordered = sorted(rules, key=lambda r: order.index(r.name))
+    by_name = {r.name: r for r in rules}
+    ordered = [by_name[name] for name, _, _ in estimates(docs, rules, sample_rows)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in K.slices(batch.column("text")):
                 x = Texts(data, offsets)
-                base, n = x.base(), x.n_words
-                failed = (n < 20) | (100 * base["n_repeat_words"] > 30 * n)
-                why: list[str | None] = [None] * x.n
-                alive = np.flatnonzero(~failed)
+                why, alive = np.full(x.n, None, object), np.flatnonzero(~x.failed)
                 for rule in ordered:
-                    out = np.array([rule.value(x, i) > rule.limit for i in alive], bool)
-                    for i in alive[out]:
-                        why[i] = rule.name
+                    if not len(alive):
+                        break
+                    out = rule.value(x, alive) > rule.limit
+                    why[alive[out]] = rule.name
                     alive = alive[~out]
                 kept = np.zeros(x.n, bool)
                 kept[alive] = True
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(at, x.n), "n_words": n.astype(np.int64), **base, "base_failed": failed, "kept": kept, "rejected_by": pa.array(why, pa.string())})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(at, x.n), "n_words": x.n_words.astype(np.int64), **x.base, "base_failed": x.failed, "kept": kept, "rejected_by": pa.array(why, pa.string())})
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)

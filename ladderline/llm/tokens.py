@@ -7,12 +7,13 @@ Latin-1, or that could hold a special token, go through the library's full pipel
 another kind than the two known here always does.
 
 A token file holds sequences of one fixed length as fixed-size lists of ids with fixed-size lists
-of mask bits beside them, uncompressed, so that any sequence of any batch can be read from a memory
-map without a copy. Documents lie end to end in ascending doc_id; only the last sequence of a file
+of mask bytes beside them, uncompressed, so that any sequence of any batch and its mask can be read
+from a memory map without a copy. Documents lie end to end in ascending doc_id; only the last sequence of a file
 is padded (mask false). A second Arrow file beside it gives each document's place.
 
 Null text: as an empty text, so the end id alone. Null doc_id: kept, before all others. Repeated
-rows and tied ids: each row is a document; ties are ordered by text. Other columns are ignored. An
+rows and tied ids: each row is a document; ties stand in any order, and so many of them that they
+make more than a part are dealt to several. Other columns are ignored. An
 empty table writes no files and gives no rows.
 """
 
@@ -168,7 +169,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
 
     top = max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) - 1, end_id)
     width, kind = (2, pa.uint16()) if top < 1 << 16 else (4, pa.uint32())
-    schema = pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.bool_(), sequence))], {"end_id": str(end_id), "sequence": str(sequence), "batch": str(batch)})
+    schema = pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.uint8(), sequence))], {"end_id": str(end_id), "sequence": str(sequence), "batch": str(batch)})
     end = end_id.to_bytes(width, "little")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +184,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
 
                 def flush(upto: int) -> None:
                     ids = np.frombuffer(bytes(held[:upto]), f"<u{width}")
-                    mask = np.ones(-(-len(ids) // sequence) * sequence, bool)
-                    mask[len(ids) :] = False
+                    mask = np.ones(-(-len(ids) // sequence) * sequence, np.uint8)
+                    mask[len(ids) :] = 0
                     ids = np.concatenate([ids, np.zeros(len(mask) - len(ids), ids.dtype)])
                     sink.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(ids, kind), sequence), pa.FixedSizeListArray.from_arrays(pa.array(mask), sequence)], schema=schema))
                     del held[:upto]
@@ -217,7 +218,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         shared.publish(folder, f"part-{part:06d}.index.arrow", put_index)
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "n_docs": [len(doc_ids)], "n_tokens": [sum(sizes)]})
 
-    ordered = docs.selectExpr("cast(doc_id as long) doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    salted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.rand(7).alias("salt"))  # the same in a repeated task
+    ordered = salted.repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt").drop("salt")
     return sorted((r.asDict() for r in ordered.mapInArrow(write, MANIFEST).collect()), key=lambda r: r["part"])
 
 
@@ -246,7 +248,7 @@ class TokenFile:
         """The ids and the mask of sequence i."""
         b = self.reader.get_batch(i * self.sequence // self.per_batch)
         row = i % (self.per_batch // self.sequence)
-        return b.column(0)[row].values.to_numpy(zero_copy_only=True), b.column(1)[row].values.to_numpy(zero_copy_only=False)
+        return b.column(0)[row].values.to_numpy(zero_copy_only=True), b.column(1)[row].values.to_numpy(zero_copy_only=True)
 
     def tokens(self, start: int, end: int) -> np.ndarray:
         parts = []
@@ -259,7 +261,7 @@ class TokenFile:
 
     def filled(self) -> int:
         """How many ids the masks mark."""
-        return sum(int(np.count_nonzero(self.reader.get_batch(k).column(1).flatten().to_numpy(zero_copy_only=False))) for k in range(self.reader.num_record_batches))
+        return sum(int(np.count_nonzero(self.reader.get_batch(k).column(1).flatten().to_numpy(zero_copy_only=True))) for k in range(self.reader.num_record_batches))
 
 
 def read_token_files(spark, manifest: list[dict]) -> DataFrame:

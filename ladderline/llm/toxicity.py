@@ -7,7 +7,8 @@ Labels come from rows outside the held-out third (crc32 of the id, modulo 3, is
 most TRAIN_ROWS of them, those with the smallest hash of their id; their features are gathered, and
 the model is fitted in the driver. Labels, language, source and id are no inputs of a score.
 
-Null and empty texts score as texts without words. Repeated rows get the same score each; a null
+Null and empty texts score as texts without words. Repeated rows get the same score each, and train as
+one row (rows that share an id but not the text: the one with the smallest features); a null
 doc_id is scored too, and is not held out. Other columns are ignored. An empty table gives no rows;
 with no labels of both kinds to learn from, every score is 0.
 """
@@ -190,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
 
     # the sample has a proven bound, so the texts stay where they are
-    joined = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y")
+    joined = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,9 +214,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             y = batch.column("y").to_numpy()
             for at, data, offsets in K.slices(batch.column("text")):
                 own = y[at : at + len(offsets) - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(list(features(data, offsets, lexicon, own)), pa.list_(pa.float64()))], ["y", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(own)), pa.array(own), pa.array(list(features(data, offsets, lexicon, own)), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    got = joined.mapInArrow(run, "y double, x array<double>").toArrow()
+    # a row for each label, however many rows have its id
+    got = joined.mapInArrow(run, "doc_id long, y double, x array<double>").groupBy("doc_id", "y").agg(F.min("x").alias("x")).select("y", "x").toArrow()
     y = got["y"].to_numpy()
     if len(np.unique(y)) < 2:
         return Model(None, None, lexicon)

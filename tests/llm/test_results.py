@@ -81,8 +81,8 @@ def test_every_linked_pair_shares_a_signature(boundary):
         b = np.unique(np.concatenate([b, r.integers(0, 2**63, int(r.integers(0, 3))).astype(np.uint64)]))
         same = len(np.intersect1d(a, b))
         if len(b) and 9 * same >= 4 * (len(a) + len(b)):
-            keys = [set(jaccard.signatures(x, classes, boundary).tolist()) for x in (a, b)]
-            assert keys[0] & keys[1]
+            keys, row = jaccard.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), classes, boundary)
+            assert set(keys[row == 0].tolist()) & set(keys[row == 1].tolist())
 
 
 def test_components_of_a_path(spark):
@@ -97,6 +97,16 @@ def test_one_of_each(spark):
     assert sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 1, 3, 4, 5]
 
 
+def test_one_of_each_tells_texts_of_one_id_apart(spark):
+    word = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, word("a", 30)), (1, word("b", 40)), (1, word("b", 40)), (2, word("a", 30) + " end"), (2, word("c", 20)), (3, word("c", 20)), (3, word("c", 20) + " end"), (4, ""), (4, None), (4, word("d", 9)), (5, word("d", 9)), (None, word("a", 30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_set", F.lit("clash"))
+    out = jaccard.one_of_each(df)
+    got = sorted(((r["doc_id"] or 0), (r["text"] or "")[:2], len((r["text"] or "").split())) for r in out.collect())
+    assert out.columns == df.columns
+    assert got == [(0, "a0", 30), (1, "a0", 30), (1, "b0", 40), (2, "c0", 20), (4, "", 0), (4, "", 0), (4, "d0", 9)]
+
+
 def mask(s):
     return tuple("*" if re.search("[0-9]", w) else lower(w) for w in re.findall(WORD, s))
 
@@ -425,7 +435,34 @@ def test_quality_keeps_good_documents(spark):
     assert np.mean([kept[i] for i, q in labels if q == 1]) > 0.95 and np.mean([kept[i] for i, q in labels if q == 0]) < 0.1
 
 
-def test_cascade_puts_cheap_rejecting_rules_first():
-    slow = quality.Rule("slow", lambda x, i: sum(range(20_000)) * 0.0 + 1, 0.5)
-    fast, never = quality.Rule("fast", lambda x, i: 1.0, 0.5), quality.Rule("never", lambda x, i: 0.0, 0.5)
-    assert [n for n, _, _ in quality.cascade_order(["a b"] * 50, (never, slow, fast))] == ["fast", "slow", "never"]
+def test_cascade_puts_cheap_rejecting_rules_first(spark):
+    every, none = lambda x, rows: np.ones(len(rows)), lambda x, rows: np.zeros(len(rows))
+    rules = (quality.Rule("never", none, 0.5, per_byte=1), quality.Rule("slow", every, 0.5, per_byte=9), quality.Rule("fast", every, 0.5, per_byte=2))
+    text = " ".join(f"word{'abcdefghijklmnopqrstuvwxyz'[k]}" for k in range(26))
+    docs = spark.createDataFrame([(i, text) for i in range(50)] + [(None, text), (99, "too short")], "doc_id long, text string")
+    got = quality.estimates(docs, rules)
+    assert [n for n, _, _ in got] == ["fast", "slow", "never"] and [s for _, _, s in got] == [1.0, 1.0, 0.0] and got[0][1] == 2 * len(text)
+    assert [n for n, _, _ in quality.estimates(docs.limit(0), rules)] == ["never", "slow", "fast"]
+
+
+def test_cascade_equals_every_rule_for_itself(documents, texts):
+    share = lambda n, d: n / max(1, d)
+
+    def verdicts(t):
+        w, lines_ = re.findall(WORD, t), [s for s in t.split("\n") if re.search(WORD, s)]
+        size = lambda v: len(v.encode())
+        yield "symbols", share(sum(c in "#*$%&|<>" for c in t), len(w)) > 0.5
+        yield "capitals", share(sum("A" <= c <= "Z" for c in t), sum(c.isascii() and c.isalpha() for c in t)) > 0.6
+        yield "exclamations", share(t.count("!"), len(w)) > 0.5
+        yield "no_letters", 1 - share(sum(any(c.isascii() and c.isalpha() or ord(c) > 127 for c in v) for v in w), len(w)) > 0.4
+        yield "long_words", share(sum(map(size, w)), len(w)) > 40
+        yield "one_word", share(max(Counter(w).values(), default=0), len(w)) > 0.3
+        yield "duplicate_lines", share(len(lines_) - len(set(lines_)), len(lines_)) > 0.5
+
+    seen = Counter()
+    for r in quality.apply_rules(documents).collect():
+        bad = {n for n, v in verdicts(texts[r["doc_id"]]) if v}
+        assert r["kept"] == (not r["base_failed"] and not bad)
+        assert r["rejected_by"] in bad if not r["kept"] and not r["base_failed"] else r["rejected_by"] is None
+        seen[r["rejected_by"]] += 1
+    assert [r["rejected_by"] for r in quality.apply_rules(documents).collect()] == [r["rejected_by"] for r in quality.apply_rules(documents).collect()]
