@@ -256,6 +256,77 @@ def test_added_spans_and_redaction(spark):
     assert "[PHONE]" in clean[1] and "555" not in clean[1] and clean[2] == "order 12345678 of 2024-01-02"
 
 
+def planted(n):
+    """Sentences of another make than the training templates, each with its kind and the value in it, and sentences without any."""
+    r = np.random.default_rng(23)
+    num = lambda k: "".join(str(x) for x in r.integers(0, 10, k))
+    pick = lambda *v: v[int(r.integers(len(v)))]
+    word = lambda: pick("river", "Haus", "petite", "mañana", "under", "Straße", "bonjour", "lumière", "calle", "winter")
+    code = lambda k, a="abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789": "".join(a[int(x)] for x in r.integers(0, len(a), k))
+    out = []
+    for _ in range(n):
+        out += [
+            ("email", v := f"{word().lower()}{num(2)} (at) {pick('posteo', 'orange', 'web')} (dot) {pick('de', 'com', 'org')}".replace("ñ", "n").replace("ß", "ss").replace("è", "e"), f"Please get in touch with us: {v}, {word()}."),
+            ("phone", v := f"({num(3)}) {num(3)}-{num(4)}", f"{word()} {word()}, give her a ring on {v} tonight"),
+            ("phone", v := f"{num(3)}-{num(3)}-{num(4)}", f"You can call our office: {v}."),
+            ("id_number", v := f"{num(3)}-{num(2)}-{num(4)}", f"His SSN, {v}, was printed on the {word()}"),
+            ("iban", v := f"{pick('DE', 'NL', 'FR')}{num(2)} {num(4)} {num(4)} {num(4)} {num(4)} {num(2)}", f"Überweisung an {v} bis Montag"),
+            ("secret", v := f'token = "{code(40, "0123456789abcdef")}', f'{word()} {word()} {v}" {word()}'),
+            ("secret", v := f"api_key={code(32)}", f"export {v} && run {word()}"),
+            ("ipv6", v := ":".join(code(4, "0123456789abcdef") for _ in range(8)), f"{word()} reached {v} after {num(2)} ms"),
+            (None, "", f"{word()} on {pick('12', '03')}/{num(2)}/20{num(2)} and again {word()}"),
+            (None, "", f"{word()} sold {num(9)} units of article {num(12)}"),
+            (None, "", f"{word()} met {word()} at the {word()} . {word()}"),
+            (None, "", f"see ISBN {num(3)}-{num(1)}-{num(4)}-{num(4)}-{num(1)} for {word()}"),
+        ]
+    return out
+
+
+def test_added_spans_on_sentences_of_another_make(spark):
+    rows = planted(60)
+    df = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: [s.split(":") for s in r["spans"].split(",") if s] for r in pii.find_spans(df).collect()}
+    hit, every, false = Counter(), Counter(), 0
+    for i, (kind, value, text) in enumerate(rows):
+        if kind is None:
+            false += bool({":".join(x) for x in got[i]} - set(base_spans(text)))  # base spans are fixed: one in ten numbers passes as a card
+            continue
+        every[kind] += 1
+        start = text.index(value)
+        hit[kind] += any(int(a) <= start and int(b) >= start + len(value.strip()) - 1 for k, a, b in got[i])
+    recall = {k: hit[k] / every[k] for k in every}
+    print("recall", recall, "false", false)
+    assert min(recall.values()) >= 0.9, recall
+    assert false <= 0.03 * sum(k is None for k, _, _ in rows)
+
+
+def test_many_matches_and_overlaps(spark):
+    """More than a run of matches, and base spans that overlap one another and candidates."""
+    r = np.random.default_rng(3)
+    parts = []
+    for k in range(1500):
+        parts.append(("a%d@b.co" % k, "1.2.3.%d" % (k % 300), "bob@1.2.3.4", "+1 (766) 555-2373", "4111 1111 1111 1111", "phone (212) 555-1234", "+4111111111111111", "é😀 x", "ssn 123-45-6789")[int(r.integers(9))])
+    text = " ".join(parts)
+    row = pii.find_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = base_spans(text)
+    assert row["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest() and len(want) > 2 * pii.RUN
+    added = sorted((int(a), int(b)) for k, a, b in (s.split(":") for s in set(row["spans"].split(",")) - set(want)))
+    assert len(added) == row["n_added"] >= parts.count("phone (212) 555-1234") + parts.count("ssn 123-45-6789")
+    every = sorted([*((int(a), int(b), 0) for _, a, b in (s.split(":") for s in want)), *((a, b, 1) for a, b in added)])
+    end, kind = 0, 0
+    for a, b, mine in every:
+        assert a >= end or not (mine or kind)
+        end, kind = max(end, b), mine
+    clean = pii.redacted(spark.createDataFrame([(1, text, row["spans"])], "doc_id long, text string, spans string")).first()["text"]
+    assert "@" not in clean and "😀" in clean and "123-45" not in clean
+
+
+def test_redaction_of_overlapping_spans(spark):
+    df = spark.createDataFrame([(1, "write bob@1.2.3.4 now please"), (2, None), (3, "1.2.3.4")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.redacted(df.join(pii.find_spans(df), "doc_id")).collect()}
+    assert got == {1: "write [EMAIL] now please", 2: "", 3: "[IP]"}
+
+
 def test_toxicity_on_the_held_out_third(spark):
     folder = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in queries.op5_toxicity(spark, folder).collect()}
