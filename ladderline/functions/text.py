@@ -21,7 +21,7 @@ def squeeze(x: Column) -> Column:
 
 def norm_name(x: Column) -> Column:
     """Case and punctuation folded, Unicode letters kept (STR1)."""
-    return squeeze(F.regexp_replace(F.lower(F.trim(x)), r"[^\p{L}\p{N}_\s]", " "))
+    return squeeze(F.regexp_replace(fold(F.trim(x)), r"[^\p{L}\p{N}_\s]", " "))
 
 
 def norm_ascii(x: Column) -> Column:
@@ -42,6 +42,20 @@ def casefolded(s: pd.Series) -> pd.Series:
     return s.str.casefold()
 
 
+#: Characters whose full case folding is not their lower case, by rule; a capital sigma's lower case depends on its place.
+_FOLDED = "[" + "".join(chr(c) for c in range(0x80, 0x1F000) if chr(c).casefold() != chr(c).lower()) + "Σ]"
+
+
+def fold(x: Column) -> Column:
+    """Full case folding (T2): lower(), and the vectorised UDF sees only texts for which that is not enough."""
+    return F.coalesce(casefolded(F.when(x.rlike(_FOLDED), x)), F.lower(x))
+
+
+def match_key(x: Column) -> Column:
+    """The join key of any name (STR2): the built-in for ASCII names; the vectorised UDF sees only the others."""
+    return F.coalesce(norm_nfkd(F.when(x.rlike(r"[^\x00-\x7F]"), x)), norm_ascii(x))
+
+
 def stem(key: Column) -> Column:
     """The key without corporate and descriptor tokens, or itself if none are left (STR3)."""
     left = F.array_join(F.filter(F.split(key, " "), lambda t: ~t.isin(SUFFIX_TOKENS)), " ")
@@ -85,9 +99,10 @@ def is_grouped(name: Column) -> Column:
 
 
 def tags(raw: Column) -> Column:
-    """Canonical tag list: squeezed, one spelling for each lower-case form (the first), sorted by that form (STR10, SET6)."""
-    parts = F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), ","), squeeze), lambda t: t != "")
-    placed = F.array_sort(F.transform(parts, lambda t, i: F.struct(F.lower(t).alias("k"), i.alias("i"), t.alias("t"))))
+    """Canonical tag list: squeezed, one spelling for each case-folded form (the first), sorted by that form (STR10, SET6)."""
+    text = F.coalesce(raw, F.lit(""))
+    parts = F.transform(F.arrays_zip(F.split(text, ","), F.split(fold(text), ",")), lambda x: F.struct(squeeze(x["1"]).alias("k"), squeeze(x["0"]).alias("t")))
+    placed = F.array_sort(F.transform(F.filter(parts, lambda x: x["t"] != ""), lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["t"].alias("t"))))
     # an array of one array binds the sorted list once, not anew for every tag
     firsts = F.transform(F.array(placed), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["k"] != x["k"])))
     return F.transform(firsts[0], lambda x: x["t"])
@@ -103,6 +118,12 @@ def percent(n: Column, d: Column) -> Column:
     return F.when(d == 0, None).otherwise(F.bround(n / d * 100, 0).cast("long"))
 
 
+def coverage_text(present: Column, total: Column) -> Column:
+    """'x/y (z.z%)', 0.0 % without a denominator (AGG8)."""
+    share = F.when(total == 0, 0.0).otherwise(present / total)
+    return F.format_string("%d/%d (%.1f%%)", present, total, F.bround(share * 100, 1))
+
+
 def share_text(n: Column, d: Column, what: str) -> Column:
     """'n of d what (p%)', n/a without a denominator."""
     return F.when(d == 0, F.format_string(f"%d of %d {what} (n/a)", n, d)).otherwise(F.format_string(f"%d of %d {what} (%d%%)", n, d, percent(n, d)))

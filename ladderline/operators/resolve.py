@@ -48,7 +48,12 @@ def resolve_aliases(seen: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def find_duplicates(asked: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Live entities that a new name or domain may double: by name, alias, domain, the best reason of each (JN12). asked: (ask_id, name, domain)."""
+    """Live entities that a new name or domain may double: by name, alias, domain, the best reason of each (JN12). asked: (ask_id, name, domain).
+
+    Entities that have merged_into count only where it is null.
+    """
+    if "merged_into" in entities.columns:
+        entities = entities.filter("merged_into is null")
     key = lambda c: F.lower(F.trim(F.col(c)))
     q = asked.withColumn("k", key("name"))
     by_name = q.join(entities.select("entity_id", key("canonical_name").alias("k")), "k").select("ask_id", "entity_id", F.lit(1).alias("prio"))
@@ -60,38 +65,63 @@ def find_duplicates(asked: DataFrame, entities: DataFrame, aliases: DataFrame) -
 
 def target_keys(target: DataFrame) -> DataFrame:
     """One record for each key: canonical names before aliases, then the first written (FLW6). target: (rid, name, canonical, seq)."""
-    keyed = target.withColumn("key", X.norm_ascii(F.col("name"))).filter("key <> ''")
-    w = Window.partitionBy("key").orderBy(F.desc("canonical"), "seq")
-    best = keyed.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "seq")
-    return best.withColumn("stem", X.stem(F.col("key")))
+    keyed = target.withColumn("key", X.match_key(F.col("name"))).filter("key <> ''")
+    best = keyed.groupBy("key").agg(F.min(F.struct((~F.col("canonical")).alias("alias"), "seq", "rid", "name")).alias("r"))
+    return best.select("r.rid", "r.name", (~F.col("r.alias")).alias("canonical"), "key", X.stem(F.col("key")).alias("stem"))
+
+
+_TIERS = {1: "exact", 2: "alias", 3: "suffix", 4: "prefix"}
+
+
+def _probes(rows: DataFrame, forward: str, backward: str) -> DataFrame:
+    """What a key is looked up by: itself, its stem, and for the prefix tier its beginnings in one direction and itself in the other."""
+    begins = f"CASE WHEN length(key) >= {MIN_PREFIX} THEN transform(sequence({MIN_PREFIX}, length(key)), n -> named_struct('kind', '{forward}', 'probe', left(key, n))) END"
+    own = "named_struct('kind', 'key', 'probe', key), named_struct('kind', 'stem', 'probe', stem)"
+    whole = f"CASE WHEN length(key) >= {MIN_PREFIX} THEN array(named_struct('kind', '{backward}', 'probe', key)) END"
+    none = "cast(array() as array<struct<kind: string, probe: string>>)"
+    return rows.withColumn("x", F.explode(F.expr(f"concat(array({own}), coalesce({begins}, {none}), coalesce({whole}, {none}))"))).select("*", "x.kind", "x.probe").drop("x", "stem")
 
 
 def match_ladder(query: DataFrame, target: DataFrame) -> DataFrame:
     """(qid, tier, rid, candidates): exact, alias, suffix, prefix, ambiguous or none (JN15, T11, T12). query: (qid, pos, name).
 
-    Every tier is an equality join, and sees only what earlier tiers left. Ambiguity counts keys.
+    All tiers are one equality join: a key meets keys, stems, and keys that are beginnings of one
+    another, which are looked up among exploded beginnings. A query keeps its least tier; ambiguity
+    counts keys.
+    """
+    keys = target_keys(target).withColumnsRenamed({"key": "other"}).selectExpr("rid", "name", "canonical", "other", "other key", "stem")
+    q = query.withColumn("key", X.match_key(F.col("name"))).filter("key <> ''")
+    q = q.withColumn("first", F.col("pos") == F.min("pos").over(Window.partitionBy("qid"))).select("qid", "pos", "first", "key", X.stem(F.col("key")).alias("stem"))
+    met = _probes(q, "begins", "begun").drop("key").join(_probes(keys, "begun", "begins").drop("key"), ["kind", "probe"])
+    tier = F.when(F.col("kind") == "stem", 3).when(F.col("kind") != "key", 4).when(F.col("first") & F.col("canonical"), 1).otherwise(2)
+    found = met.select("qid", tier.alias("t"), "pos", "rid", "name", "other")
+    every = query.selectExpr("qid", "9 t", "cast(null as int) pos", "cast(null as long) rid", "cast(null as string) name", "cast(null as string) other")
+    every = found.unionByName(every.select(F.col("qid"), "t", F.col("pos").cast(found.schema["pos"].dataType).alias("pos"), F.col("rid").cast(found.schema["rid"].dataType).alias("rid"), "name", "other"))
+    # both groupings are served by one shuffle on qid
+    g = every.repartition("qid").groupBy("qid", "t").agg(F.collect_set("other").alias("others"), F.min_by("rid", "pos").alias("near"), F.array_sort(F.collect_set("name")).alias("names"))
+    best = g.groupBy("qid").agg(F.min(F.struct("t", F.size("others").alias("n"), "near", "names")).alias("b"))
+    one = (F.col("b.t") < 3) | (F.col("b.n") == 1)
+    named = F.create_map(*(F.lit(x) for kv in _TIERS.items() for x in kv))
+    verdict = F.when(F.col("b.t") == 9, "none").when(one, named[F.col("b.t")]).otherwise("ambiguous")
+    return best.select("qid", verdict.alias("tier"), F.when(one, F.col("b.near")).alias("rid"), F.when((F.col("b.t") < 9) & ~one, F.array_join("b.names", "|")).alias("candidates"))
+
+
+def reach(folders: DataFrame, companies: DataFrame, records: DataFrame) -> dict[str, DataFrame]:
+    """Folders against both sides, and back (FLW4, JN15-JN17, AGG27).
+
+    folders: (qid, name); companies and records: (rid, name, canonical, seq). Gives the verdicts of both
+    sides with segments (rows), tiers of each side, segments, counts, and the companies' own verdicts:
+    the same ladder with sides swapped, a company's canonical name first (back).
     """
-    keys = target_keys(target)
-    q = query.withColumn("key", X.norm_ascii(F.col("name"))).filter("key <> ''").select("qid", "pos", "key")
-    first = q.groupBy("qid").agg(F.min_by("key", "pos").alias("key"))
-    exact = first.join(keys.filter("canonical"), "key").select("qid", F.lit("exact").alias("tier"), "rid")
-    rest = q.join(exact, "qid", "left_anti")
-    alias = rest.join(keys, "key").groupBy("qid").agg(F.min_by("rid", "pos").alias("rid")).select("qid", F.lit("alias").alias("tier"), "rid")
-    rest = rest.join(alias, "qid", "left_anti")
-
-    def decide(pairs: DataFrame, tier: str) -> DataFrame:
-        g = pairs.groupBy("qid").agg(F.count_distinct("other").alias("n"), F.min("rid").alias("rid"), F.array_sort(F.collect_set("name")).alias("names"))
-        one = F.col("n") == 1
-        return g.select("qid", F.when(one, tier).otherwise("ambiguous").alias("tier"), F.when(one, F.col("rid")).alias("rid"), F.when(~one, F.array_join("names", "|")).alias("candidates"))
-
-    suffix = decide(rest.withColumn("stem", X.stem(F.col("key"))).select("qid", "stem").join(keys.select("stem", F.col("key").alias("other"), "rid", "name"), "stem"), "suffix")
-    rest = rest.join(suffix, "qid", "left_anti")
-    block = lambda df: df.filter(F.length("key") >= MIN_PREFIX).withColumn("block", F.substring("key", 1, MIN_PREFIX))
-    near = block(rest).select("qid", "block", F.col("key").alias("k")).join(block(keys).select("block", F.col("key").alias("other"), "rid", "name"), "block")
-    prefix = decide(near.filter(F.col("k").startswith(F.col("other")) | F.col("other").startswith(F.col("k"))), "prefix")
-    found = exact.unionByName(alias).withColumn("candidates", F.lit(None).cast("string")).unionByName(suffix).unionByName(prefix)
-    none = query.select("qid").distinct().join(found, "qid", "left_anti").selectExpr("qid", "'none' tier", "cast(null as long) rid", "cast(null as string) candidates")
-    return found.unionByName(none)
+    names = folders.select("qid", F.lit(0).alias("pos"), "name")
+    slides, crm = match_ladder(names, companies), match_ladder(names, records)
+    rows = segments(folders.select("qid"), slides.select("qid", "tier"), crm.select("qid", "tier"))
+    own = companies.select(F.col("rid").alias("qid"), F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("canonical"), "seq")).alias("pos"), "name")
+    back = match_ladder(own, folders.selectExpr("qid rid", "name", "true canonical", "qid seq"))
+    tiers = lambda df: df.groupBy("tier").agg(F.count("*").alias("n"))
+    hit = lambda c: F.col(c).isin(*_TIERS.values())
+    counts = rows.agg(F.count_if(hit("a")).alias("slides"), F.count_if(hit("b")).alias("crm"), F.count_if(hit("a") | hit("b")).alias("either"), F.count_if(~(hit("a") | hit("b"))).alias("neither"))
+    return {"rows": rows, "slide_tiers": tiers(slides), "crm_tiers": tiers(crm), "segments": rows.groupBy("segment").agg(F.count("*").alias("n")), "counts": counts, "back": back, "back_tiers": tiers(back)}
 
 
 def segments(ids: DataFrame, one: DataFrame, other: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,10 +38,11 @@ CTE = {
     "names": "SELECT DISTINCT name FROM (SELECT p_name AS name FROM part UNION ALL SELECT unnest(string_split(p_name, ' ')) FROM part)",
     "pk": "SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY 1",
     "query_side": "SELECT id AS qid, 0 AS pos, CASE WHEN id % 4 = 0 THEN name || ' labs' WHEN id % 4 = 1 THEN split_part(name, ' ', 1) ELSE name END AS name FROM pk UNION ALL SELECT id, 1, name FROM pk WHERE id % 5 = 0",
-    "target_side": "SELECT id AS rid, CASE WHEN id % 2 = 0 THEN name || ' Inc' ELSE name END AS name, true AS canonical, id AS seq FROM pk WHERE id % 3 <> 0 UNION ALL SELECT id, name || ' holdings', false, id + 1000000 FROM pk WHERE id % 7 = 0",
+    "target_side": "SELECT id AS rid, CASE WHEN id % 3 = 0 THEN 'old ' || name WHEN id % 2 = 0 THEN name || ' Inc' ELSE name END AS name, true AS canonical, id AS seq FROM pk UNION ALL SELECT id, name || ' holdings', false, id + 1000000 FROM pk WHERE id % 7 = 0",
 }
 _STEM = "CASE WHEN len(list_filter(string_split({k}, ' '), lambda t: NOT list_contains([" + ", ".join(f"'{t}'" for t in X.SUFFIX_TOKENS) + "], t))) = 0 THEN {k} ELSE array_to_string(list_filter(string_split({k}, ' '), lambda t: NOT list_contains([" + ", ".join(f"'{t}'" for t in X.SUFFIX_TOKENS) + "], t)), ' ') END"
-_NORM = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+#: A decomposed accent is a gap, as it is no letter or digit.
+_NORM = "trim(regexp_replace(strip_accents(regexp_replace(lower({x}), '([àâäáãåçèéêëìíîïñòóôöõùúûüýÿ])', '\\1 ', 'g')), '[^a-z0-9]+', ' ', 'g'))"
 CTE |= {
     "tk": "SELECT rid, name, canonical, key, " + _STEM.format(k="key") + " AS stem FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY canonical DESC, seq) AS n FROM (SELECT *, " + _NORM.format(x="name") + " AS key FROM target_side)) WHERE n = 1 AND key <> ''",
     "qk": "SELECT qid, pos, " + _NORM.format(x="name") + " AS key FROM query_side",
@@ -50,7 +52,8 @@ CTE |= {
     "q2": "SELECT * FROM q1 WHERE qid NOT IN (SELECT qid FROM t_alias)",
     "t_suffix": "SELECT qid, CASE WHEN count(DISTINCT other) = 1 THEN 'suffix' ELSE 'ambiguous' END AS tier, CASE WHEN count(DISTINCT other) = 1 THEN min(rid) END AS rid, CASE WHEN count(DISTINCT other) > 1 THEN array_to_string(list_sort(list_distinct(list(name))), '|') END AS candidates FROM (SELECT q.qid, t.key AS other, t.rid, t.name FROM (SELECT qid, " + _STEM.format(k="key") + " AS stem FROM q2) q JOIN tk t USING (stem)) GROUP BY 1",
     "q3": "SELECT * FROM q2 WHERE qid NOT IN (SELECT qid FROM t_suffix)",
-    "t_prefix": "SELECT qid, CASE WHEN count(DISTINCT other) = 1 THEN 'prefix' ELSE 'ambiguous' END AS tier, CASE WHEN count(DISTINCT other) = 1 THEN min(rid) END AS rid, CASE WHEN count(DISTINCT other) > 1 THEN array_to_string(list_sort(list_distinct(list(name))), '|') END AS candidates FROM (SELECT q.qid, t.key AS other, t.rid, t.name FROM q3 q JOIN tk t ON least(length(q.key), length(t.key)) >= 8 AND (starts_with(q.key, t.key) OR starts_with(t.key, q.key))) GROUP BY 1",
+    "near": "SELECT q.qid, t.key AS other, t.rid, t.name FROM (SELECT qid, left(key, CAST(n AS INT)) AS begun FROM (SELECT qid, key, unnest(range(8, length(key) + 1)) AS n FROM q3 WHERE length(key) >= 8)) q JOIN tk t ON t.key = q.begun UNION SELECT q.qid, t.key, t.rid, t.name FROM q3 q JOIN (SELECT key, rid, name, left(key, CAST(n AS INT)) AS begun FROM (SELECT *, unnest(range(8, length(key) + 1)) AS n FROM tk WHERE length(key) >= 8)) t ON q.key = t.begun",
+    "t_prefix": "SELECT qid, CASE WHEN count(DISTINCT other) = 1 THEN 'prefix' ELSE 'ambiguous' END AS tier, CASE WHEN count(DISTINCT other) = 1 THEN min(rid) END AS rid, CASE WHEN count(DISTINCT other) > 1 THEN array_to_string(list_sort(list_distinct(list(name))), '|') END AS candidates FROM near GROUP BY 1",
     "ladder": "SELECT * FROM t_exact UNION ALL SELECT * FROM t_alias UNION ALL SELECT * FROM t_suffix UNION ALL SELECT * FROM t_prefix",
     "matched": "SELECT * FROM ladder UNION ALL SELECT DISTINCT qid, 'none', CAST(NULL AS BIGINT), NULL FROM qk WHERE qid NOT IN (SELECT qid FROM ladder)",
     "cohort": "SELECT DISTINCT entity_id FROM obs WHERE stage_id = 7",
@@ -62,8 +65,6 @@ CTE |= {
 
 def _with(sql: str) -> str:
     """The SQL with the bindings it names, and those they name, before it."""
-    import re
-
     needed: list[str] = []
 
     def need(text: str) -> None:
@@ -292,42 +293,11 @@ def q_domain_families(s, d):
 
 
 _SCORE = "CASE WHEN length({n}) - length(replace({n}, '(', '')) <> length({n}) - length(replace({n}, ')', '')) OR length({n}) - length(replace({n}, '[', '')) <> length({n}) - length(replace({n}, ']', '')) OR regexp_matches(rtrim({n}), '[/:,-]$') OR regexp_matches({n}, '[A-Za-z]\\s*[/,:]\\s*[A-Za-z]') THEN 0 ELSE 1 END AS clean, len(regexp_split_to_array(trim({n}), '\\s+')) AS words, length({n}) AS chars"
-_LINE = "CASE WHEN doc_id % 3 = 0 THEN split_part(text, chr(10), 1) WHEN doc_id % 3 = 1 THEN substr(text, 1, 40) || ' / ' || lang ELSE substr(text, 1, 30) || ' (' || source END"
-_LINE_SPARK = "CASE WHEN doc_id % 3 = 0 THEN split_part(text, '\\n', 1) WHEN doc_id % 3 = 1 THEN concat(substr(text, 1, 40), ' / ', lang) ELSE concat(substr(text, 1, 30), ' (', source) END"
-#: ASCII input, where SQL's patterns and case agree with Spark's.
-_PLAIN = "SELECT doc_id, regexp_replace(" + _LINE + ", '[^ -~]', '', 'g') AS name FROM documents"
-
-
-def _plain(s, d):
-    return S.table(s, d, "documents").select("doc_id", F.regexp_replace(F.expr(_LINE_SPARK), "[^ -~]", "").alias("name"))
-
-
-@query("SELECT doc_id, CASE WHEN trim(name) = '' THEN 0 ELSE words END AS words, clean, chars FROM (SELECT doc_id, name, " + _SCORE.format(n="name") + f" FROM ({_PLAIN}))")
-def q_canonical_scores(s, d):
-    return _plain(s, d).select("doc_id", X.canonical_score(F.col("name")).alias("c")).selectExpr("doc_id", "c.words", "c.clean", "c.chars")
-
-
 @query("SELECT p.page_id AS entity_id, k.target_id, p.domain, 0.95::DOUBLE AS confidence FROM dom p JOIN (SELECT domain, arg_max(page_id, (clean, words, chars, -page_id)) AS target_id FROM (SELECT page_id, domain, " + _SCORE.format(n="url") + " FROM dom) WHERE domain IS NOT NULL GROUP BY 1 HAVING count(*) > 1) k USING (domain) WHERE p.page_id <> k.target_id")
 def q_domain_merge_pairs(s, d):
     return R.domain_pairs(B.page_domains(s, d).selectExpr("page_id entity_id", "url name", "domain"))
 
 
-@query(f"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(trim(name)), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS norm FROM ({_PLAIN})")
-def q_name_norm(s, d):
-    return _plain(s, d).select("doc_id", X.norm_name(F.col("name")).alias("norm"))
-
-
-@query(f"SELECT doc_id, array_to_string(list_transform(list_sort(list_distinct(list_transform(parts, lambda t: lower(t)))), lambda k: list_filter(parts, lambda t: lower(t) = k)[1]), ', ') AS tags FROM (SELECT doc_id, list_filter(string_split(replace(name, ',', ''), ' '), lambda t: t <> '') AS parts FROM ({_PLAIN}))")
-def q_tag_canonical(s, d):
-    words = F.translate(F.replace("name", F.lit(","), F.lit("")), " ", ",")
-    return _plain(s, d).select("doc_id", F.array_join(X.tags(words), ", ").alias("tags"))
-
-
-@query(f"SELECT doc_id, array_to_string(parts, '|') AS parts FROM (SELECT doc_id, name, list_filter(list_transform(regexp_split_to_array(name, '[/,]'), lambda p: trim(p, ' /,:')), lambda p: p <> '') AS parts FROM ({_PLAIN})) WHERE regexp_matches(name, '[A-Za-z]\\s*[/,]\\s*[A-Za-z]') AND len(parts) >= 2")
-def q_group_split(s, d):
-    return _plain(s, d).filter(X.is_grouped(F.col("name"))).select("doc_id", F.array_join(X.group_parts(F.col("name")), "|").alias("parts"))
-
-
 @query("SELECT a.name, b.name AS full_name, CASE WHEN starts_with(b.name, a.name || ' ') THEN 'prefix' ELSE 'suffix' END AS rule, CASE WHEN contains(a.name, ' ') THEN 0.6::DOUBLE ELSE 0.75::DOUBLE END AS confidence FROM names a JOIN names b ON length(b.name) > length(a.name) AND (starts_with(b.name, a.name || ' ') OR ends_with(b.name, ' ' || a.name))")
 def q_word_fragment_merges(s, d):
     return R.fragment_pairs(B.names(s, d))
@@ -342,22 +312,22 @@ def _whole(s, d):
 
 
 @query("SELECT doc_id, line, CASE WHEN trim(name) = '' THEN 0 ELSE words END AS words, clean, chars FROM (SELECT doc_id, line, name, " + _SCORE.format(n="name") + f" FROM ({_WHOLE}))")
-def q_line_scores(s, d):
+def q_canonical_scores(s, d):
     return _whole(s, d).select("doc_id", "line", X.canonical_score(F.col("name")).alias("c")).selectExpr("doc_id", "line", "c.words", "c.clean", "c.chars")
 
 
-@query(f"SELECT doc_id, line, trim(regexp_replace(regexp_replace(lower(trim(name)), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS norm FROM ({_WHOLE})")
-def q_line_norms(s, d):
+@query(f"SELECT doc_id, line, trim(regexp_replace(regexp_replace(replace(lower(trim(name)), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS norm FROM ({_WHOLE})")
+def q_name_norm(s, d):
     return _whole(s, d).select("doc_id", "line", X.norm_name(F.col("name")).alias("norm"))
 
 
-@query(f"SELECT doc_id, line, array_to_string(list_transform(list_sort(list_distinct(list_transform(parts, lambda t: lower(t)))), lambda k: parts[list_position(list_transform(parts, lambda t: lower(t)), k)]), ', ') AS tags FROM (SELECT doc_id, line, list_filter(list_transform(string_split(replace(name, ',', ' '), ' '), lambda t: trim(regexp_replace(t, '\\s+', ' ', 'g'))), lambda t: t <> '') AS parts FROM ({_WHOLE}))")
-def q_line_tags(s, d):
+@query(f"SELECT doc_id, line, array_to_string(list_transform(list_sort(list_distinct(list_transform(parts, lambda t: replace(lower(t), 'ß', 'ss')))), lambda k: parts[list_position(list_transform(parts, lambda t: replace(lower(t), 'ß', 'ss')), k)]), ', ') AS tags FROM (SELECT doc_id, line, list_filter(list_transform(string_split(replace(name, ',', ' '), ' '), lambda t: trim(regexp_replace(t, '\\s+', ' ', 'g'))), lambda t: t <> '') AS parts FROM ({_WHOLE}))")
+def q_tag_canonical(s, d):
     return _whole(s, d).select("doc_id", "line", F.array_join(X.tags(F.translate("name", " ", ",")), ", ").alias("tags"))
 
 
 @query(f"SELECT doc_id, line, array_to_string(parts, '|') AS parts FROM (SELECT doc_id, line, name, list_filter(list_transform(regexp_split_to_array(name, '[/,]'), lambda p: trim(p, ' /,:')), lambda p: p <> '') AS parts FROM ({_WHOLE})) WHERE regexp_matches(name, '[A-Za-z]\\s*[/,]\\s*[A-Za-z]') AND len(parts) >= 2")
-def q_line_groups(s, d):
+def q_group_split(s, d):
     return _whole(s, d).filter(X.is_grouped(F.col("name"))).select("doc_id", "line", F.array_join(X.group_parts(F.col("name")), "|").alias("parts"))
 
 
@@ -377,21 +347,13 @@ def q_alias_resolution(s, d):
     return R.resolve_aliases(seen, _aliases(s, d))
 
 
-@query(f"WITH al AS ({_ALIASES}), en AS (SELECT p_partkey AS entity_id, p_name AS canonical_name, lower(p_brand) || '.com' AS domain FROM part WHERE p_partkey % 2 = 0), asked AS (SELECT s_suppkey AS ask_id, p_name AS name, lower(p_brand) || '.com' AS domain FROM supplier JOIN part ON p_partkey = s_suppkey), hits AS (SELECT ask_id, entity_id, 1 AS prio FROM asked JOIN en ON lower(trim(canonical_name)) = lower(trim(name)) UNION ALL SELECT ask_id, al.entity_id, 2 FROM asked JOIN al ON lower(trim(alias_text)) = lower(trim(name)) JOIN en USING (entity_id) UNION ALL SELECT ask_id, entity_id, 3 FROM asked JOIN en USING (domain)) SELECT ask_id, entity_id, CASE min(prio) WHEN 1 THEN 'name' WHEN 2 THEN 'alias' ELSE 'domain' END AS matched_on FROM hits GROUP BY 1, 2")
-def q_duplicate_finder(s, d):
-    part = S.table(s, d, "part")
-    entities = part.filter("p_partkey % 2 = 0").selectExpr("p_partkey entity_id", "p_name canonical_name", "concat(lower(p_brand), '.com') domain")
-    asked = S.table(s, d, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey")).selectExpr("s_suppkey ask_id", "p_name name", "concat(lower(p_brand), '.com') domain")
-    return R.find_duplicates(asked, entities, _aliases(s, d))
+_DOUBLES = f"WITH al AS ({_ALIASES}), en AS (SELECT p_partkey AS entity_id, p_name AS canonical_name, lower(p_brand) || '.com' AS domain FROM part WHERE p_size <> 50), asked AS (SELECT s_suppkey AS ask_id, CASE WHEN s_suppkey % 5 = 0 THEN 'new ' || p_name ELSE p_name END AS name, CASE WHEN s_suppkey % 5 = 0 THEN 'new.com' ELSE lower(p_brand) || '.com' END AS domain FROM supplier JOIN part ON p_partkey = s_suppkey), hits AS (SELECT ask_id, entity_id, 1 AS prio FROM asked JOIN en ON lower(trim(canonical_name)) = lower(trim(name)) UNION ALL SELECT ask_id, al.entity_id, 2 FROM asked JOIN al ON lower(trim(alias_text)) = lower(trim(name)) JOIN en USING (entity_id) UNION ALL SELECT ask_id, entity_id, 3 FROM asked JOIN en USING (domain)) SELECT ask_id, entity_id, CASE min(prio) WHEN 1 THEN 'name' WHEN 2 THEN 'alias' ELSE 'domain' END AS matched_on FROM hits GROUP BY 1, 2"
 
 
-_WHOLE_SIDE = ORACLES["duplicate_finder"].replace(" WHERE p_partkey % 2 = 0", "").replace("s_suppkey AS ask_id, p_name AS name, lower(p_brand) || '.com' AS domain", "s_suppkey AS ask_id, CASE WHEN s_suppkey % 5 = 0 THEN 'new ' || p_name ELSE p_name END AS name, CASE WHEN s_suppkey % 5 = 0 THEN 'new.com' ELSE lower(p_brand) || '.com' END AS domain")
-
-
-@query(_WHOLE_SIDE)
-def q_duplicate_finder_all(s, d):
+@query(_DOUBLES)
+def q_duplicate_finder(s, d):
     part = S.table(s, d, "part")
-    entities = part.selectExpr("p_partkey entity_id", "p_name canonical_name", "concat(lower(p_brand), '.com') domain")
+    entities = part.selectExpr("p_partkey entity_id", "p_name canonical_name", "concat(lower(p_brand), '.com') domain", "CASE WHEN p_size = 50 THEN 1L END merged_into")
     asked = S.table(s, d, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey")).selectExpr("s_suppkey ask_id", "CASE WHEN s_suppkey % 5 = 0 THEN concat('new ', p_name) ELSE p_name END name", "CASE WHEN s_suppkey % 5 = 0 THEN 'new.com' ELSE concat(lower(p_brand), '.com') END domain")
     return R.find_duplicates(asked, entities, _aliases(s, d))
 
@@ -401,6 +363,27 @@ def q_match_ladder(s, d):
     return R.match_ladder(*B.ladder_sides(s, d))
 
 
+#: Names with accents, one for every two neighbouring words of any text.
+CTE["pairs"] = "SELECT name, min(id) AS id FROM (SELECT doc_id * 1000000 + i AS id, w[i] || ' ' || w[i + 1] AS name FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))) GROUP BY 1"
+CTE["query_side_w"] = "SELECT id AS qid, 0 AS pos, CASE WHEN id % 4 = 0 THEN '(' || name || ')' WHEN id % 4 = 1 THEN name || ' labs' WHEN id % 4 = 2 THEN name || 'ing' ELSE 'new ' || name END AS name FROM pairs"
+CTE["target_side_w"] = "SELECT id AS rid, CASE WHEN id % 5 = 0 THEN name || ' Inc' WHEN id % 5 = 1 THEN name || ' Group' ELSE name END AS name, true AS canonical, id AS seq FROM pairs"
+for _c in ("tk", "qk", "t_exact", "q1", "t_alias", "q2", "t_suffix", "q3", "near", "t_prefix", "ladder", "matched"):
+    _sql = CTE[_c]
+    for _n in ("target_side", "query_side", "tk", "qk", "t_exact", "q1", "t_alias", "q2", "t_suffix", "q3", "near", "t_prefix", "ladder", "matched"):
+        _sql = re.sub(rf"\b(FROM|JOIN) {_n}\b", rf"\1 {_n}_w", _sql)
+    CTE[f"{_c}_w"] = _sql
+
+
+@query("SELECT qid, tier, rid, candidates FROM matched_w")
+def q_match_ladder_wide(s, d):
+    w = S.table(s, d, "documents").select("doc_id", F.split("text", " ").alias("w")).filter("size(w) > 1")
+    pairs = w.select("doc_id", F.posexplode(F.expr("transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i]))")).alias("i", "name"))
+    pairs = pairs.groupBy("name").agg(F.min(F.expr("doc_id * 1000000 + i + 1")).alias("id"))
+    query = pairs.selectExpr("id qid", "0 pos", "CASE WHEN id % 4 = 0 THEN concat('(', name, ')') WHEN id % 4 = 1 THEN concat(name, ' labs') WHEN id % 4 = 2 THEN concat(name, 'ing') ELSE concat('new ', name) END name")
+    target = pairs.selectExpr("id rid", "CASE WHEN id % 5 = 0 THEN concat(name, ' Inc') WHEN id % 5 = 1 THEN concat(name, ' Group') ELSE name END name", "true canonical", "id seq")
+    return R.match_ladder(query, target)
+
+
 @query("SELECT tier, count(*) AS n, count(rid) AS with_record FROM matched GROUP BY 1")
 def q_match_tiers(s, d):
     return q_match_ladder(s, d).groupBy("tier").agg(F.count("*").alias("n"), F.count("rid").alias("with_record"))
@@ -581,20 +564,13 @@ def q_text_formats(s, d):
     return S.table(s, d, "supplier").select("s_suppkey", X.public_id(n).alias("public_id"), X.entity_of(X.public_id(n)).alias("parsed"), X.owner(F.concat("s_name", F.lit(" <mail>"))).alias("owner"), X.bar(n % 5).alias("bar"), X.share_text(n % 8, F.lit(16).cast("long"), "firms").alias("share"))
 
 
-@query("SELECT review_id, confidence, place FROM (SELECT o_orderkey AS review_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey % 7) / 10.0::DOUBLE END AS confidence, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey % 7) / 10.0::DOUBLE END DESC NULLS LAST, o_orderkey) AS place FROM orders) WHERE place <= 100")
-def q_review_order(s, d):
-    rows = S.table(s, d, "orders").selectExpr("o_orderkey review_id", "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 7 / 10D END confidence")
-    top = rows.orderBy(F.desc_nulls_last("confidence"), "review_id").limit(100)  # the feature: the head of the queue
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("confidence"), "review_id")).cast("long"))
-
-
 @query("SELECT o_orderkey AS review_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey % 7) / 10.0::DOUBLE END AS confidence, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey % 7) / 10.0::DOUBLE END DESC NULLS LAST, o_orderkey) AS place FROM orders")
-def q_review_queue_order(s, d):
+def q_review_order(s, d):
     rows = S.table(s, d, "orders").selectExpr("o_orderkey review_id", "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 7 / 10D END confidence")
     return P.queue_places(rows)
 
 
-@query()
+@query(f"SELECT doc_id, {_NORM.format(x='text')} AS norm FROM documents")
 def q_name_norm_nfkd(s, d):
     return S.table(s, d, "documents").select("doc_id", X.norm_nfkd(F.col("text")).alias("norm"))
 

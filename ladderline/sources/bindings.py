@@ -52,7 +52,7 @@ def ladder_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A query side (qid, pos, name) and a target side (rid, name, canonical, seq) for the match ladder."""
     p = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
     query = p.selectExpr("id qid", "0 pos", "CASE WHEN id % 4 = 0 THEN concat(name, ' labs') WHEN id % 4 = 1 THEN split_part(name, ' ', 1) ELSE name END name").unionByName(p.filter("id % 5 = 0").selectExpr("id qid", "1 pos", "name"))
-    main = p.filter("id % 3 <> 0").selectExpr("id rid", "CASE WHEN id % 2 = 0 THEN concat(name, ' Inc') ELSE name END name", "true canonical", "id seq")
+    main = p.selectExpr("id rid", "CASE WHEN id % 3 = 0 THEN concat('old ', name) WHEN id % 2 = 0 THEN concat(name, ' Inc') ELSE name END name", "true canonical", "id seq")
     return query, main.unionByName(p.filter("id % 7 = 0").selectExpr("id rid", "concat(name, ' holdings') name", "false canonical", "id + 1000000 seq"))
 
 

@@ -19,7 +19,8 @@ def test_domains(spark):
 
 
 def test_names_keep_unicode_letters(spark):
-    assert _map(spark, X.norm_name, ["  Zürich-Bio,  Inc. ", "A_b"]) == ["zürich bio inc", "a_b"]
+    assert _map(spark, X.norm_name, ["  Zürich-Bio,  Inc. ", "A_b", "Große STRASSE ΑΣ", None]) == ["zürich bio inc", "a_b", "grosse strasse ασ", None]
+    assert _map(spark, X.match_key, ["Müller  Optik", "Plain & Co", None, "ﬁne"]) == ["mu ller optik", "plain co", None, "fine"]
     assert _map(spark, X.norm_nfkd, ["Zürich", "ﬁne Co", None]) == ["zu rich", "fine co", None]
     assert _map(spark, X.casefolded, ["Straße"]) == ["strasse"]
 
@@ -33,7 +34,7 @@ def test_scores_prefer_whole_names(spark):
     assert [g["clean"] for g in got] == [1, 0, 0, 0] and got[0]["words"] == 3
 
 
-@pytest.mark.parametrize("raw,want", [(" a,B ,b,, c  d ", ["a", "B", "c d"]), (None, []), ("Zeta, alpha", ["alpha", "Zeta"])])
+@pytest.mark.parametrize("raw,want", [(" a,B ,b,, c  d ", ["a", "B", "c d"]), (None, []), ("Zeta, alpha", ["alpha", "Zeta"]), ("Straße, STRASSE,x", ["Straße", "x"])])
 def test_tags(spark, raw, want):
     assert _map(spark, X.tags, [raw]) == [want]
 
@@ -115,9 +116,9 @@ def test_payload_keeps_companies_without_observations(spark):
 def test_duplicates_of_every_part_are_found(spark, data):
     from ladderline.plans import catalogue
 
-    got = catalogue.QUERIES["duplicate_finder_all"](spark, data)
+    got = catalogue.QUERIES["duplicate_finder"](spark, data)
     assert got.filter("entity_id % 2 = 1").count() > 0 and got.filter("ask_id % 5 = 0").count() == 0
-    assert got.filter("ask_id % 5 <> 0 and ask_id = entity_id").count() == spark.read.parquet(f"{data}/supplier.parquet").filter("s_suppkey % 5 <> 0").join(spark.read.parquet(f"{data}/part.parquet").selectExpr("p_partkey s_suppkey"), "s_suppkey").count()
+    assert got.filter("ask_id % 5 <> 0 and ask_id = entity_id").count() == spark.read.parquet(f"{data}/supplier.parquet").filter("s_suppkey % 5 <> 0").join(spark.read.parquet(f"{data}/part.parquet").filter("p_size <> 50").selectExpr("p_partkey s_suppkey"), "s_suppkey").count()
 
 
 def test_csv_drops_blank_rows(spark, tmp_path):
@@ -145,7 +146,7 @@ def test_review_queue_keeps_every_item(spark, data):
     df = spark.createDataFrame(rows, "review_id long, confidence double")
     for block in (8, 1 << 16):
         assert {r["review_id"]: r["place"] for r in report.queue_places(df, block).collect()} == want
-    got = catalogue.QUERIES["review_queue_order"](spark, data)
+    got = catalogue.QUERIES["review_order"](spark, data)
     assert got.count() == spark.read.parquet(f"{data}/orders.parquet").count() > 100
     assert got.filter("confidence is null").count() > 0
 
@@ -158,13 +159,13 @@ def test_line_queries_take_whole_texts(spark, data):
 
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
     chars = {}
-    for r in catalogue.QUERIES["line_scores"](spark, data).collect():
+    for r in catalogue.QUERIES["canonical_scores"](spark, data).collect():
         chars[r["doc_id"]] = chars.get(r["doc_id"], -1) + r["chars"] + 1
     assert chars == {i: len(t) for i, t in texts.items()}
     lines = {i: t.count("\n") + 1 for i, t in texts.items()}
-    for name in ("line_norms", "line_tags"):
+    for name in ("name_norm", "tag_canonical"):
         assert {r["doc_id"]: r["count"] for r in catalogue.QUERIES[name](spark, data).groupBy("doc_id").count().collect()} == lines
-    assert catalogue.QUERIES["line_groups"](spark, data).filter("line > 0").count() > 0
+    assert catalogue.QUERIES["group_split"](spark, data).filter("line > 0").count() > 0
     folded = lambda t: re.sub("[^a-z0-9]+", " ", unicodedata.normalize("NFKD", t).lower()).strip()
     got = {r["doc_id"]: r["norm"] for r in catalogue.QUERIES["name_norm_nfkd"](spark, data).collect()}
     assert got == {i: folded(t) for i, t in texts.items()}
