@@ -72,16 +72,36 @@ def monthly_volume(obs: DataFrame, floor: int = 4) -> DataFrame:
     return bold.join(monthly_intake(obs, floor).filter("month is not null"), "month", "full").select("month", F.coalesce("discussed", F.lit(0)).alias("discussed"), F.coalesce("entities", F.lit(0)).alias("intake"))
 
 
-def field_coverage(entities: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
-    """Entities with a value for each field, of all in the group (AGG8-AGG10, JN1, FLT2). entities: (entity_id, by...)."""
+def field_coverage(entities: DataFrame, values: DataFrame, by: list[str], fields: list[str] | None = None) -> DataFrame:
+    """Entities with a value for each field, of all in the group (AGG8-AGG10, JN1, FLT2). entities: (entity_id, by...). Without a list, the fields are those that any entity has."""
     have = values.filter("value_text is not null or value_num is not null").select("entity_id", "field").distinct()
     total = entities.groupBy(*by).agg(F.count("*").alias("total"))
     got = entities.join(have, "entity_id").groupBy(*by, "field").agg(F.count("*").alias("present"))
-    fields = have.agg(F.collect_set("field").alias("fields"))  # one row
-    every = total.crossJoin(F.broadcast(fields)).withColumn("field", F.explode("fields")).drop("fields")
+    if fields is not None:
+        every = total.withColumn("field", F.explode(F.array(*map(F.lit, fields))))
+    else:
+        seen = have.agg(F.collect_set("field").alias("fields"))  # one row
+        every = total.crossJoin(F.broadcast(seen)).withColumn("field", F.explode("fields")).drop("fields")
     return every.join(got, [*by, "field"], "left").withColumn("present", F.coalesce("present", F.lit(0)))
 
 
+def coverage_report(entities: DataFrame, values: DataFrame, fields: list[str], cohorts: dict[str, tuple[str, DataFrame]]) -> DataFrame:
+    """Every field over all entities, and one field in each cohort, as (name, present, total, missing, coverage) (AGG8, AGG10, FLT4).
+
+    cohorts: a label to the field and the entity ids. An entity has a flag for each field and cohort, so all lines come from one aggregation.
+    """
+    have = values.filter(F.col("field").isin(fields) & (F.col("value_text").isNotNull() | F.col("value_num").isNotNull())).groupBy("entity_id").agg(F.collect_set("field").alias("have"))
+    rows = entities.select("entity_id").join(have, "entity_id", "left").withColumn("have", F.coalesce("have", F.array().cast("array<string>")))
+    for k, (_, ids) in enumerate(cohorts.values()):
+        rows = rows.join(ids.select("entity_id").distinct().withColumn(f"in{k}", F.lit(True)), "entity_id", "left")
+    has = lambda f: F.array_contains("have", f)
+    line = lambda name, member, f: F.struct(F.lit(name).alias("name"), F.count_if(member & has(f)).alias("present"), F.count_if(member).alias("total"))
+    inside = lambda k: F.coalesce(F.col(f"in{k}"), F.lit(False))
+    lines = [line(f, F.lit(True), f) for f in fields] + [line(f"{f} @ {label} cohort", inside(k), f) for k, (label, (f, _)) in enumerate(cohorts.items())]
+    out = rows.agg(*(x.alias(f"x{i}") for i, x in enumerate(lines))).select(F.inline(F.array(*(f"x{i}" for i in range(len(lines))))))
+    return out.select("name", "present", "total", (F.col("total") - F.col("present")).alias("missing"), X.coverage_text(F.col("present"), F.col("total")).alias("coverage"))
+
+
 def gap_counts(entities: DataFrame, values: DataFrame, fields: list[str]) -> DataFrame:
     """How many of the fields each entity lacks, also those with none (AGG11, FLT3)."""
     have = values.filter(F.col("field").isin(fields)).filter("value_text is not null or value_num is not null").groupBy("entity_id").agg(F.count_distinct("field").alias("n"))
@@ -101,6 +121,7 @@ def reconciliation(obs: DataFrame, entities: DataFrame, meetings: DataFrame) ->
     f = V.entity_funnel(obs)
     sizes = f.agg(F.count("*").alias("funnel"), F.sum("reached_deep").alias("r"), F.sum("observed_deep").alias("o"), F.count("furthest").alias("placed")).crossJoin(F.broadcast(entities.agg(F.count("*").alias("entities"))))
     checks = sizes.selectExpr("stack(3, 'distribution', abs(funnel - placed), 'more in the funnel than entities', greatest(funnel - entities, 0), 'observed over reached', greatest(o - r, 0)) as (check, n)")
-    orphans = f.join(entities, "entity_id", "left_anti").agg(F.lit("funnel rows without an entity").alias("check"), F.count("*").alias("n"))
+    kept = entities.filter("merged_into is null") if "merged_into" in entities.columns else entities
+    orphans = f.join(kept, "entity_id", "left_anti").agg(F.lit("funnel rows without an entity").alias("check"), F.count("*").alias("n"))
     ghosts = obs.join(meetings.filter("status <> 'held'"), "meeting_date").agg(F.lit("observations at meetings not held").alias("check"), F.count("*").alias("n"))
     return checks.unionByName(orphans).unionByName(ghosts).filter("n > 0")

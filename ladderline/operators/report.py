@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import funnel as V
 
 RECENT_DAYS, SMALL_SAMPLE, LOW_COVERAGE = 56, 20, 0.3
 
@@ -17,11 +18,29 @@ def frequency(rows: DataFrame, column: str, entity: str = "entity_id") -> DataFr
     return counts.crossJoin(F.broadcast(sizes)).select("value", "n", "first_entity", X.percent(F.col("n"), F.col("every")).alias("pct_of_all"), X.percent(F.col("n"), F.col("covered")).alias("pct_of_covered"))
 
 
-def crosstab(rows: DataFrame, row: str, stage: str, stages: list[int]) -> DataFrame:
-    """Rows by stage with a total and the share at Deep or beyond (AGG20, SRT6)."""
-    out = rows.groupBy(row).pivot(stage, stages).count().na.fill(0)
-    named = out.select(row, *(F.col(str(s)).alias(f"s{s}") for s in stages))
-    return named.withColumn("total", sum((F.col(f"s{s}") for s in stages[1:]), F.col(f"s{stages[0]}")))
+def by_frequency(counts: DataFrame, n: str = "n", first: str = "first_entity") -> DataFrame:
+    """Most frequent first, ties by who came first (SRT5, SRT6, T9)."""
+    return counts.orderBy(F.desc(n), first)
+
+
+def domain_order(rows: DataFrame, column: str, known: list[str]) -> DataFrame:
+    """Known categories in their own order, then the others by name, null last (SRT7)."""
+    place = F.nullif(F.array_position(F.array(*map(F.lit, known)), F.col(column)), F.lit(0))
+    return rows.orderBy(F.asc_nulls_last(place), F.asc_nulls_last(column))
+
+
+def nocase(name: Column) -> Column:
+    """The order of names without regard to case, which folds ASCII only (SRT2)."""
+    return F.translate(name, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def crosstab(rows: DataFrame, row: str, stage: str, stages: list[int], high: int = 5) -> DataFrame:
+    """Rows by stage with a total, the count at Deep or beyond and its share, and who came first if there is an entity_id (AGG20)."""
+    first = [F.min("entity_id").alias("first_entity")] if "entity_id" in rows.columns else []
+    out = rows.groupBy(row).agg(*(F.count_if(F.col(stage) == s).alias(f"s{s}") for s in stages), *first)
+    out = out.withColumn("total", sum((F.col(f"s{s}") for s in stages[1:]), F.col(f"s{stages[0]}")))
+    deep = sum((F.col(f"s{s}") for s in stages if s >= high), F.lit(0))
+    return out.withColumn("deep", deep.cast("long")).withColumn("deep_share", X.percent(F.col("deep"), F.col("total")))
 
 
 def split_table(rows: DataFrame, value: str, furthest: str, high: int = 5) -> DataFrame:
@@ -29,7 +48,37 @@ def split_table(rows: DataFrame, value: str, furthest: str, high: int = 5) -> Da
     r = rows.select(F.coalesce(value, F.lit("_no value_")).alias("value"), (F.col(furthest) >= high).alias("deep"))
     size = r.agg(F.count_if("deep").alias("deep_total"), F.count_if(~F.col("deep")).alias("rest_total"))
     out = r.groupBy("value").agg(F.count_if("deep").alias("deep"), F.count_if(~F.col("deep")).alias("rest")).crossJoin(F.broadcast(size))
-    return out.withColumn("small_sample", (F.least("deep_total", "rest_total") < SMALL_SAMPLE).cast("int"))
+    small = (F.least("deep_total", "rest_total") < SMALL_SAMPLE).cast("int")
+    covered = F.sum(F.when(F.col("value") != "_no value_", F.col("deep") + F.col("rest")).otherwise(0)).over(Window.partitionBy("deep_total", "rest_total"))  # a row for each value
+    return out.withColumn("small_sample", small).withColumn("low_coverage", (covered < LOW_COVERAGE * (F.col("deep_total") + F.col("rest_total"))).cast("int"))
+
+
+def advancement(rows: DataFrame, values: list[str], furthest: str) -> DataFrame:
+    """The split tables of several values in one, each with its name (RPTA, RPTB)."""
+    parts = [split_table(rows, v, furthest).withColumn("split", F.lit(v)) for v in values]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def early_status(rows: DataFrame, early: list[str], high: int = 5) -> DataFrame:
+    """Companies whose status is an early one although they went deep (DET14). rows: (entity_id, status, furthest)."""
+    return rows.filter(F.col("status").isin(early) & (F.coalesce("furthest", F.lit(0)) >= high))
+
+
+def contradiction_order(rows: DataFrame) -> DataFrame:
+    """Consistent ones last, the furthest first, of those the longest unseen first (SRT8). rows: (entity_id, why, furthest, last)."""
+    return rows.orderBy((F.col("why") == "consistent").cast("int"), F.desc_nulls_last("furthest"), F.asc_nulls_last("last"), "entity_id")
+
+
+def without_folder(rows: DataFrame) -> DataFrame:
+    """Companies no folder was found for, the furthest first, then by name (SRT11). rows: (entity_id, name, furthest, tier)."""
+    return rows.filter(F.col("tier").isin("none", "ambiguous")).orderBy(F.desc_nulls_last("furthest"), "name", "entity_id")
+
+
+#: What the report leaves out, and why (RPTN).
+EXCLUSIONS = [("round size", "too few values to split by"), ("score fields", "free text marks, not a scale"), ("region", "follows from the country"), ("causes", "counts show what went together, not why")]
 
 
 def contradictions(rows: DataFrame, end: str, days: int = RECENT_DAYS) -> DataFrame:
@@ -65,9 +114,67 @@ def queue_places(rows: DataFrame, block_ids: int = 1 << 16) -> DataFrame:
     return out.withColumn("place", F.col("_before") + F.col("_r")).drop("_b", "_c", "_cb", "_n", "_before", "_r")
 
 
-def payload(entities: DataFrame, obs: DataFrame, calendar: DataFrame) -> DataFrame:
-    """A JSON text per company with its observations by calendar place, none for one without (of FLW2 this part only, ARR1, JSN1)."""
-    rows = obs.join(calendar.select("meeting_date", "place"), "meeting_date")
-    lists = rows.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct(F.col("place").alias("wi"), F.col("stage_id").alias("stage"), F.col("is_bold").alias("bold"), F.col("slide_page").alias("page")))).alias("obs"))
-    own = F.coalesce("obs", F.array().cast(lists.schema["obs"].dataType)).alias("obs")
-    return entities.join(lists, "entity_id", "left").select("entity_id", own).select("entity_id", F.to_json(F.struct(F.col("entity_id").alias("id"), "obs")).alias("payload"))
+#: Names that cut all of them into blocks for numbering.
+CUTS = 64
+
+
+def name_places(rows: DataFrame, name: str, key: str) -> DataFrame:
+    """The rows with their place in the order of names without regard to case, ties by key (SRT2).
+
+    A bounded number of names cuts the rest into blocks; ranks are taken inside a block, and what stands before it follows from counts.
+    """
+    r = rows.withColumn("_k", nocase(F.col(name)))
+    cuts = sorted(x[0] for x in r.filter("_k is not null").select("_k").distinct().orderBy(F.xxhash64("_k"), "_k").limit(CUTS).collect())
+    r = r.withColumn("_b", F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<string>"), lambda c: c <= F.col("_k"))), F.lit(-1)))
+    n = r.groupBy("_b").agg(F.count("*").alias("_n")).withColumnRenamed("_b", "_nb")
+    before = n.withColumn("_before", F.sum("_n").over(Window.orderBy("_nb")) - F.col("_n")).drop("_n")  # a row for each block
+    inside = r.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(F.asc_nulls_first("_k"), key)))
+    return inside.join(F.broadcast(before), F.col("_b") == F.col("_nb")).withColumn("place", F.col("_r") + F.col("_before")).drop("_k", "_b", "_nb", "_r", "_before")
+
+
+def field_map(fields: DataFrame) -> DataFrame:
+    """(entity_id, values): each company's fields as a map; the last one of a field wins (MAP1). fields: (entity_id, field, value, value_id)."""
+    last = fields.groupBy("entity_id", "field").agg(F.max_by("value", "value_id").alias("value"))
+    return last.groupBy("entity_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("values"))
+
+
+def payload(entities: DataFrame, obs: DataFrame, calendar: DataFrame, fields: DataFrame, gap_states: DataFrame, worklist: DataFrame, aliases: DataFrame, gap_fields: list[str]) -> DataFrame:
+    """(entity_id, name, payload): a JSON text per company with all that a page shows of it (FLW2, ARR1, JSN1, MAP1).
+
+    entities: (entity_id, name, domain, is_phantom); fields: current values (entity_id, field, value, source, citation, user);
+    gap_states: (entity_id, field, state); worklist: (entity_id, gaps, priority); aliases: (entity_id, alias_text).
+    Everything is aggregated to a row per company before it is joined.
+    """
+    seen = V.entity_funnel(obs).select("entity_id", "furthest", "appearances", "first_seen", "last_seen", "observed_deep", "observed_legal", "reached_deep")
+    talk = V.entity_discussion(obs).select("entity_id", "discussed", "times")
+    latest = V.latest(obs).select("entity_id", F.col("stage_id").alias("latest"))
+    entry = F.array(F.col("place"), F.col("stage_id"), F.col("is_bold"), F.col("slide_page"))
+    rows = obs.join(F.broadcast(calendar.select("meeting_date", "place")), "meeting_date")
+    lists = rows.groupBy("entity_id").agg(F.array_sort(F.collect_list(entry)).alias("obs"))
+    own = fields.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("field", "value", "source", "citation", "user"))).alias("fields"), F.collect_set(F.when(F.col("value").isNotNull(), F.col("field"))).alias("have"))
+    states = gap_states.groupBy("entity_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "state")))).alias("gapState"))
+    called = aliases.groupBy("entity_id").agg(F.array_sort(F.collect_list("alias_text")).alias("aliases"))
+    out = entities
+    for part in (seen, talk, latest, lists, own, states, called, worklist.select("entity_id", "gaps", "priority")):
+        out = out.join(part, "entity_id", "left")
+    flag = lambda c: F.coalesce(F.col(c) == 1, F.lit(False))
+    empty = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind))
+    missing = F.array_except(F.array(*map(F.lit, gap_fields)), empty("have", "array<string>"))
+    company = F.struct(
+        F.col("entity_id").alias("id"), "name", "domain", F.col("is_phantom").alias("phantom"), "furthest", "latest", F.coalesce("appearances", F.lit(0)).alias("appearances"),
+        F.col("first_seen").alias("first"), F.col("last_seen").alias("last"), flag("observed_deep").alias("observedDeep"), flag("observed_legal").alias("observedLegal"), flag("reached_deep").alias("reachedDeep"),
+        flag("discussed").alias("discussed"), F.coalesce("times", F.lit(0)).alias("times"), "priority", F.coalesce("gaps", F.lit(0)).alias("gaps"), missing.alias("missing"),
+        F.coalesce("gapState", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("gapState"),
+        F.coalesce("obs", F.array().cast(lists.schema["obs"].dataType)).alias("obs"), F.coalesce("fields", F.array().cast(own.schema["fields"].dataType)).alias("fields"), empty("aliases", "array<string>").alias("aliases"),
+    )
+    return out.select("entity_id", "name", F.to_json(company, {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def payload_totals(entities: DataFrame, obs: DataFrame, meetings: DataFrame, review: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The payload's totals in one row (AGG32)."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    held = meetings.agg(F.count_if(F.col("status") == "held").alias("meetings_held"), F.count_if(F.col("status") != "held").alias("meetings_missing"))
+    out = count(entities, "entities")
+    for part in (count(obs, "observations"), held, count(review.filter("state = 'open'"), "review_open"), count(aliases, "aliases")):
+        out = out.crossJoin(F.broadcast(part))  # one row each
+    return out

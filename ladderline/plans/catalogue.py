@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -251,10 +251,10 @@ def _values(s, d):
     return rows.unionByName(docs.filter("n_chars > 2000").selectExpr("doc_id entity_id", "'long' field", "double(n_chars) value_num")).withColumn("value_text", F.lit(None).cast("string"))
 
 
-@query(f"SELECT t.lang, f.field, t.total, coalesce(g.present, 0) AS present, CASE WHEN t.total = 0 THEN NULL ELSE CAST(round_even(coalesce(g.present, 0) / t.total * 100, 0) AS BIGINT) END AS pct FROM (SELECT lang, count(*) AS total FROM documents GROUP BY 1) t CROSS JOIN (SELECT DISTINCT field FROM ({_VALUES})) f LEFT JOIN (SELECT lang, field, count(DISTINCT entity_id) AS present FROM ({_VALUES}) v JOIN documents d ON d.doc_id = v.entity_id GROUP BY 1, 2) g ON g.lang = t.lang AND g.field = f.field")
+@query(f"SELECT t.lang, f.field, t.total, coalesce(g.present, 0) AS present, CASE WHEN t.total = 0 THEN NULL ELSE CAST(round_even(coalesce(g.present, 0) / t.total * 100, 0) AS BIGINT) END AS pct FROM (SELECT lang, count(*) AS total FROM documents GROUP BY 1) t CROSS JOIN (SELECT unnest(['quality', 'toxic', 'long', 'owner']) AS field) f LEFT JOIN (SELECT lang, field, count(DISTINCT entity_id) AS present FROM ({_VALUES}) v JOIN documents d ON d.doc_id = v.entity_id GROUP BY 1, 2) g ON g.lang = t.lang AND g.field = f.field")
 def q_coverage_by_cohort(s, d):
     docs = S.table(s, d, "documents").selectExpr("doc_id entity_id", "lang")
-    return M.field_coverage(docs, _values(s, d), ["lang"]).withColumn("pct", X.percent(F.col("present"), F.col("total"))).select("lang", "field", "total", "present", "pct")
+    return M.field_coverage(docs, _values(s, d), ["lang"], ["quality", "toxic", "long", "owner"]).withColumn("pct", X.percent(F.col("present"), F.col("total"))).select("lang", "field", "total", "present", "pct")
 
 
 _GAPS = f"SELECT d.doc_id AS entity_id, 3 - count(DISTINCT v.field) AS gaps FROM documents d LEFT JOIN ({_VALUES}) v ON v.entity_id = d.doc_id GROUP BY 1"
@@ -452,7 +452,7 @@ def q_amount_parsing(s, d):
     return S.table(s, d, "orders").select("o_orderkey", X.amount(raw).alias("m")).selectExpr("o_orderkey", "m.value", "cast(m.is_zero as int) is_zero", "m.fault")
 
 
-@query("SELECT c_mktsegment AS segment, " + ", ".join(f"count(*) FILTER (WHERE top = {k}) AS s{k}" for k in range(1, 6)) + ", count(*) AS total FROM customer JOIN (SELECT entity_id, max(stage_id) AS top FROM obs_o GROUP BY 1) ON entity_id = c_custkey GROUP BY 1")
+@query("SELECT c_mktsegment AS segment, " + ", ".join(f"count(*) FILTER (WHERE top = {k}) AS s{k}" for k in range(1, 6)) + ", count(*) AS total, min(c_custkey) AS first_entity, count(*) FILTER (WHERE top = 5) AS deep, CAST(round_even(count(*) FILTER (WHERE top = 5) / count(*) * 100, 0) AS BIGINT) AS deep_share FROM customer JOIN (SELECT entity_id, max(stage_id) AS top FROM obs_o GROUP BY 1) ON entity_id = c_custkey GROUP BY 1")
 def q_crosstab(s, d):
     return P.crosstab(_placed(s, d).withColumnRenamed("c_mktsegment", "segment"), "segment", "furthest", [1, 2, 3, 4, 5])
 
@@ -465,7 +465,7 @@ def _placed(s, d):
 _PLACED = "SELECT c.*, f.* FROM customer c JOIN (SELECT entity_id, max(stage_id) AS furthest, max(meeting_date) AS last FROM obs_o GROUP BY 1) f ON f.entity_id = c.c_custkey"
 
 
-@query(f"SELECT coalesce(CASE WHEN c_nationkey % 4 = 0 THEN NULL ELSE c_mktsegment END, '_no value_') AS value, count(*) FILTER (WHERE furthest >= 5) AS deep, count(*) FILTER (WHERE furthest < 5) AS rest, (SELECT count(*) FROM ({_PLACED}) WHERE furthest >= 5) AS deep_total, (SELECT count(*) FROM ({_PLACED}) WHERE furthest < 5) AS rest_total, CASE WHEN least((SELECT count(*) FROM ({_PLACED}) WHERE furthest >= 5), (SELECT count(*) FROM ({_PLACED}) WHERE furthest < 5)) < 20 THEN 1 ELSE 0 END AS small_sample FROM ({_PLACED}) GROUP BY 1")
+@query(f"SELECT coalesce(CASE WHEN c_nationkey % 4 = 0 THEN NULL ELSE c_mktsegment END, '_no value_') AS value, count(*) FILTER (WHERE furthest >= 5) AS deep, count(*) FILTER (WHERE furthest < 5) AS rest, (SELECT count(*) FROM ({_PLACED}) WHERE furthest >= 5) AS deep_total, (SELECT count(*) FROM ({_PLACED}) WHERE furthest < 5) AS rest_total, CASE WHEN least((SELECT count(*) FROM ({_PLACED}) WHERE furthest >= 5), (SELECT count(*) FROM ({_PLACED}) WHERE furthest < 5)) < 20 THEN 1 ELSE 0 END AS small_sample, CASE WHEN (SELECT count(*) FROM ({_PLACED}) WHERE c_nationkey % 4 <> 0) < 0.3 * (SELECT count(*) FROM ({_PLACED})) THEN 1 ELSE 0 END AS low_coverage FROM ({_PLACED}) GROUP BY 1")
 def q_split_table(s, d):
     return P.split_table(_placed(s, d).withColumn("v", F.expr("CASE WHEN c_nationkey % 4 = 0 THEN NULL ELSE c_mktsegment END")), "v", "furthest")
 
@@ -575,21 +575,226 @@ def q_name_norm_nfkd(s, d):
     return S.table(s, d, "documents").select("doc_id", X.norm_nfkd(F.col("text")).alias("norm"))
 
 
-@query()
+def _field_rows(s, d):
+    c = S.table(s, d, "customer")
+    web = c.filter("c_custkey % 2 = 0").selectExpr("c_custkey entity_id", "'website' field", "concat('www.', c_custkey, '.com') value", "'Public' source", "concat('c', c_custkey) citation", "cast(null as string) user")
+    return web.unionByName(c.filter("c_custkey % 3 = 0").selectExpr("c_custkey entity_id", "'stage' field", "c_mktsegment value", "'Manual' source", "cast(null as string) citation", "'me' user"))
+
+
+CTE["cfields"] = "SELECT c_custkey AS entity_id, 'website' AS field, 'www.' || c_custkey || '.com' AS value, 'Public' AS source, 'c' || c_custkey AS citation, CAST(NULL AS VARCHAR) AS user FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'stage', c_mktsegment, 'Manual', NULL, 'me' FROM customer WHERE c_custkey % 3 = 0"
+CTE["cgaps"] = "SELECT c_custkey AS entity_id, 'website' AS field, 'not_checked' AS state FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'owner_name', 'not_checked' FROM customer WHERE c_custkey % 3 = 0"
+CTE["ocal"] = "SELECT meeting_date, row_number() OVER (ORDER BY meeting_date) - 1 AS place FROM (SELECT DISTINCT meeting_date FROM obs_o)"
+CTE["obold"] = "SELECT o_orderkey AS observation_id, o_custkey AS entity_id, CAST(o_orderdate AS DATE) AS meeting_date, 6 - CAST(substr(o_orderpriority, 1, 1) AS INT) AS stage_id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS is_bold FROM orders"
+_COMPANY = (
+    "SELECT c.c_custkey AS entity_id, c.c_name AS name, to_json(struct_pack(id := c.c_custkey, name := c.c_name, domain := CASE WHEN c.c_custkey % 5 = 0 THEN NULL ELSE 'd' || c.c_nationkey || '.com' END, phantom := c.c_custkey % 50 = 0, "
+    "furthest := f.furthest, latest := l.stage_id, appearances := coalesce(f.n, 0), first := f.first, last := f.last, observedDeep := coalesce(f.od = 1, false), observedLegal := coalesce(f.ol = 1, false), reachedDeep := coalesce(f.rd = 1, false), discussed := coalesce(f.b = 1, false), times := coalesce(f.t, 0), "
+    "priority := CASE WHEN c.c_custkey % 3 = 0 THEN 'P2' ELSE 'P4' END, gaps := 5 - coalesce(len(v.have), 0), missing := list_filter(['website', 'hq_country', 'stage', 'round_size_usd', 'owner_name'], lambda x: NOT list_contains(coalesce(v.have, []), x)), "
+    "gapState := coalesce(g.m, MAP {}), obs := coalesce(o.x, []), fields := coalesce(v.x, []), aliases := coalesce(a.x, []))) AS payload FROM customer c "
+    "LEFT JOIN (SELECT entity_id, max(stage_id) AS furthest, count(*) AS n, CAST(min(meeting_date) AS VARCHAR) AS first, CAST(max(meeting_date) AS VARCHAR) AS last, max(CASE WHEN stage_id = 5 THEN 1 ELSE 0 END) AS od, max(CASE WHEN stage_id = 7 THEN 1 ELSE 0 END) AS ol, max(CASE WHEN stage_id >= 5 THEN 1 ELSE 0 END) AS rd, max(is_bold) AS b, sum(is_bold)::BIGINT AS t FROM obold GROUP BY 1) f ON f.entity_id = c.c_custkey "
+    "LEFT JOIN (SELECT entity_id, stage_id FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY meeting_date DESC, observation_id DESC) AS n FROM obold) WHERE n = 1) l ON l.entity_id = c.c_custkey "
+    "LEFT JOIN (SELECT entity_id, list_sort(list([place, stage_id, is_bold, stage_id])) AS x FROM obold JOIN ocal USING (meeting_date) GROUP BY 1) o ON o.entity_id = c.c_custkey "
+    "LEFT JOIN (SELECT entity_id, list(field) AS have, list_sort(list(struct_pack(field, value, source, citation, user))) AS x FROM cfields GROUP BY 1) v ON v.entity_id = c.c_custkey "
+    "LEFT JOIN (SELECT entity_id, map_from_entries(list_sort(list(struct_pack(k := field, v := state)))) AS m FROM cgaps GROUP BY 1) g ON g.entity_id = c.c_custkey "
+    "LEFT JOIN (SELECT c_custkey AS entity_id, list_sort(list(x)) AS x FROM (SELECT c_custkey, c_name AS x FROM customer UNION ALL SELECT c_custkey, c_name || ' Inc' FROM customer WHERE c_custkey % 4 = 0) GROUP BY 1) a ON a.entity_id = c.c_custkey"
+)
+
+
+def _payload_sides(s, d):
+    c = S.table(s, d, "customer")
+    entities = c.selectExpr("c_custkey entity_id", "c_name name", "CASE WHEN c_custkey % 5 <> 0 THEN concat('d', c_nationkey, '.com') END domain", "c_custkey % 50 = 0 is_phantom")
+    aliases = c.selectExpr("c_custkey entity_id", "c_name alias_text").unionByName(c.filter("c_custkey % 4 = 0").selectExpr("c_custkey entity_id", "concat(c_name, ' Inc') alias_text"))
+    return entities, B.orders_log(s, d).withColumn("slide_page", F.col("stage_id")), aliases
+
+
+@query(_COMPANY)
 def q_payload_json(s, d):
-    o = B.observations(s, d)
-    return P.payload(o.select("entity_id").distinct(), o, H.calendar_index(o))
+    entities, obs, aliases = _payload_sides(s, d)
+    fields = _field_rows(s, d)
+    calendar = H.calendar_index(obs)
+    worklist = M.gap_counts(entities, fields.selectExpr("entity_id", "field", "value value_text", "cast(null as double) value_num"), S.GAP_FIELDS).withColumn("priority", F.expr("CASE WHEN entity_id % 3 = 0 THEN 'P2' ELSE 'P4' END"))
+    return P.payload(entities, obs, calendar, fields, q_gap_rows(s, d), worklist, aliases, S.GAP_FIELDS)
 
 
-@query()
-def q_batch_add_company(s, d):
+@query("SELECT (SELECT count(*) FROM customer) AS entities, (SELECT count(*) FROM orders) AS observations, (SELECT count(DISTINCT CAST(o_orderdate AS DATE)) FROM orders WHERE day(o_orderdate) % 10 <> 0) AS meetings_held, (SELECT count(DISTINCT CAST(o_orderdate AS DATE)) FROM orders WHERE day(o_orderdate) % 10 = 0) AS meetings_missing, (SELECT count(*) FROM orders WHERE o_orderkey % 3 = 0) AS review_open, (SELECT count(*) + count(*) FILTER (WHERE c_custkey % 4 = 0) FROM customer) AS aliases")
+def q_payload_totals(s, d):
+    entities, obs, aliases = _payload_sides(s, d)
+    meetings = obs.select("meeting_date").distinct().selectExpr("meeting_date", "CASE WHEN day(meeting_date) % 10 = 0 THEN 'not_held' ELSE 'held' END status")
+    review = S.table(s, d, "orders").selectExpr("o_orderkey review_id", "CASE WHEN o_orderkey % 3 = 0 THEN 'open' ELSE 'merged' END state")
+    return P.payload_totals(entities, obs, meetings, review, aliases)
+
+
+@query("SELECT entity_id, array_to_string(list_sort(list(field || '=' || value)), ', ') AS fields FROM cfields GROUP BY 1")
+def q_field_map(s, d):
+    m = P.field_map(_field_rows(s, d).withColumn("value_id", F.lit(1)))
+    return m.select("entity_id", F.array_join(F.transform(F.map_entries("values"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ").alias("fields"))
+
+
+_LINE = "SELECT '{n}' AS name, count(*) FILTER (WHERE {p}) AS present, count(*) AS total FROM customer WHERE {m}"
+_WEB, _STG = "c_custkey % 2 = 0", "c_custkey % 3 = 0"
+_REPORT = " UNION ALL ".join(_LINE.format(n=n, p=p, m=m) for n, p, m in (("website", _WEB, "true"), ("hq_country", "false", "true"), ("stage", _STG, "true"), ("round_size_usd", "false", "true"), ("owner_name", "false", "true"), ("website @ deep-diligence cohort", _WEB, "c_custkey IN (SELECT entity_id FROM obold WHERE stage_id = 5)"), ("stage @ discussed cohort", _STG, "c_custkey IN (SELECT entity_id FROM obold WHERE is_bold = 1)")))
+
+
+@query(f"SELECT name, present, total, total - present AS missing, printf('%d/%d (%.1f%%)', present, total, CASE WHEN total = 0 THEN 0.0 ELSE round_even(present / total * 100, 1) END) AS coverage FROM ({_REPORT})")
+def q_coverage_report(s, d):
+    entities, obs, _ = _payload_sides(s, d)
+    values = _field_rows(s, d).selectExpr("entity_id", "field", "value value_text", "cast(null as double) value_num")
+    return M.coverage_report(entities, values, S.GAP_FIELDS, {"deep-diligence": ("website", obs.filter("stage_id = 5")), "discussed": ("stage", obs.filter("is_bold = 1"))})
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS vocabulary, CAST(col0 AS VARCHAR) AS value FROM (VALUES {S.values_sql(n)})" for n in S.VOCABULARIES) + ")")
+def q_vocabularies(s, d):
+    parts = [S.vocabulary(s, n).select(F.lit(n).alias("vocabulary"), F.col(S.VOCABULARIES[n][0].split(",")[0]).cast("string").alias("value")) for n in S.VOCABULARIES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_RAW = "CASE event_id % 5 WHEN 0 THEN 'HH' WHEN 1 THEN 'C' WHEN 2 THEN 'Deep Diligence' WHEN 3 THEN 'NewCo:' ELSE 'elsewhere' END"
+
+
+@query(f"SELECT event_id, v.col1 AS stage_name, v.col2 AS thesis FROM events e LEFT JOIN (VALUES {S.values_sql('section')}) v ON v.col0 = {_RAW}")
+def q_section_mapping(s, d):
+    rows = S.table(s, d, "events").selectExpr("event_id", f"{_RAW} raw_section")
+    return S.placed(rows, S.vocabulary(s, "section")).select("event_id", "stage_name", "thesis")
+
+
+CTE["asks"] = "SELECT c_custkey AS ask_id, CASE WHEN c_custkey % 7 = 0 THEN 'Customer Twin' ELSE c_name END AS name, CASE WHEN c_custkey % 9 = 0 THEN NULL WHEN c_custkey % 17 = 0 THEN 'twin.com' ELSE lower(replace(c_name, '#', '-')) || '.com' END AS domain, CASE WHEN c_custkey % 9 = 0 THEN 'no domain' WHEN c_custkey % 11 = 0 THEN 'source not allowed' WHEN c_custkey % 13 = 0 THEN 'not a number' END AS fault FROM customer"
+CTE["askdup"] = "SELECT ask_id FROM (SELECT ask_id, min(ask_id) OVER (PARTITION BY lower(name)) AS n, min(ask_id) OVER (PARTITION BY domain) AS m FROM asks WHERE fault IS NULL) WHERE ask_id > n OR ask_id > m"
+
+
+def _asked(s, d):
     part = S.table(s, d, "part")
     entities = part.selectExpr("p_partkey entity_id", "p_name canonical_name", "cast(null as string) domain")
-    asked = S.table(s, d, "customer").selectExpr("c_custkey ask_id", "c_name name", "CASE WHEN c_custkey % 9 = 0 THEN '' ELSE concat('https://www.', lower(replace(c_name, '#', '-')), '.com/') END website", "CASE WHEN c_custkey % 11 = 0 THEN 'Slides' ELSE 'Manual' END source", "CASE WHEN c_custkey % 13 = 0 THEN 'lots' ELSE '$1,000' END round_size", "concat(c_mktsegment, ', ', lower(c_mktsegment)) tags")
-    out = L.add_companies(asked, entities, _aliases(s, d))
+    web = "CASE WHEN c_custkey % 9 = 0 THEN '' WHEN c_custkey % 17 = 0 THEN 'https://Twin.com/x' ELSE concat('https://www.', lower(replace(c_name, '#', '-')), '.com/') END website"
+    asked = S.table(s, d, "customer").selectExpr("c_custkey ask_id", "CASE WHEN c_custkey % 7 = 0 THEN ' Customer   Twin' ELSE c_name END name", web, "CASE WHEN c_custkey % 11 = 0 THEN 'Slides' ELSE 'Manual' END source", "CASE WHEN c_custkey % 13 = 0 THEN 'lots' ELSE '$1,000' END round_size", "concat(c_mktsegment, ', ', lower(c_mktsegment)) tags")
+    return asked, entities, _aliases(s, d)
+
+
+@query("SELECT ask_id, name, coalesce(fault, CASE WHEN ask_id IN (SELECT ask_id FROM askdup) THEN 'duplicate' ELSE 'accepted' END) AS outcome FROM asks")
+def q_batch_add_company(s, d):
+    out = L.add_companies(*_asked(s, d))
     return out["accepted"].selectExpr("ask_id", "name", "'accepted' outcome").unionByName(out["rejected"].selectExpr("ask_id", "name", "fault outcome"))
 
 
+@query("SELECT ask_id, target_ask, CASE WHEN max(o) = 1 THEN 'name' ELSE 'domain' END AS matched_on FROM (SELECT ask_id, min(ask_id) OVER (PARTITION BY lower(name)) AS target_ask, 1 AS o FROM asks WHERE fault IS NULL UNION ALL SELECT ask_id, min(ask_id) OVER (PARTITION BY domain), 0 FROM asks WHERE fault IS NULL) WHERE ask_id > target_ask GROUP BY 1, 2")
+def q_batch_proposals(s, d):
+    return L.add_companies(*_asked(s, d), allow=True)["proposals"].select("ask_id", "target_ask", "matched_on")
+
+
+@query("SELECT min(ask_id) AS ask_id, name AS alias_text, trim(regexp_replace(lower(name), '[^a-z0-9_]+', ' ', 'g')) AS alias_norm FROM asks WHERE fault IS NULL GROUP BY name")
+def q_batch_aliases(s, d):
+    return L.add_companies(*_asked(s, d), allow=True)["aliases"].select("ask_id", "alias_text", "alias_norm")
+
+
+_WRITES = "SELECT o_orderkey AS entity_id, CASE o_orderkey % 5 WHEN 0 THEN 'first_meeting' WHEN 1 THEN 'round_size_usd' WHEN 2 THEN 'stage' WHEN 3 THEN 'working_group' ELSE 'hq_country' END AS field, CASE o_orderkey % 5 WHEN 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%m/%d/%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END WHEN 2 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'Seed' ELSE 'Grant' END WHEN 3 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'Health' ELSE 'Other' END WHEN 4 THEN 'FR' END AS value_text, CASE WHEN o_orderkey % 5 = 1 THEN o_orderkey % 3 END AS value_num, o_orderkey % 5 = 1 AND o_orderkey % 2 = 0 AS is_zero, CASE WHEN o_orderkey % 5 = 4 THEN 'Public' ELSE 'Manual' END AS source, CASE WHEN o_orderkey % 2 = 0 THEN 'c' END AS citation FROM orders"
+
+
+@query(f"SELECT entity_id, field, CASE WHEN field = 'first_meeting' AND NOT regexp_full_match(value_text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 'not an ISO date' WHEN coalesce(value_num = 0 AND NOT is_zero, false) OR (is_zero AND coalesce(value_num, 1) <> 0) THEN 'zero without its mark' WHEN value_text = 'Other' THEN 'not in working_group' WHEN value_text = 'Grant' THEN 'not in round_stage' WHEN source = 'Public' AND citation IS NULL THEN 'public without a citation' END AS fault FROM ({_WRITES})")
+def q_field_writes(s, d):
+    rows = S.table(s, d, "orders").selectExpr("o_orderkey entity_id", "CASE o_orderkey % 5 WHEN 0 THEN 'first_meeting' WHEN 1 THEN 'round_size_usd' WHEN 2 THEN 'stage' WHEN 3 THEN 'working_group' ELSE 'hq_country' END field", "CASE o_orderkey % 5 WHEN 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN date_format(o_orderdate, 'MM/dd/yyyy') ELSE date_format(o_orderdate, 'yyyy-MM-dd') END WHEN 2 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'Seed' ELSE 'Grant' END WHEN 3 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'Health' ELSE 'Other' END WHEN 4 THEN 'FR' END value_text", "double(CASE WHEN o_orderkey % 5 = 1 THEN o_orderkey % 3 END) value_num", "o_orderkey % 5 = 1 AND o_orderkey % 2 = 0 is_zero", "CASE WHEN o_orderkey % 5 = 4 THEN 'Public' ELSE 'Manual' END source", "CASE WHEN o_orderkey % 2 = 0 THEN 'c' END citation")
+    good, bad = L.write_fields(rows)
+    return good.withColumn("fault", F.lit(None).cast("string")).unionByName(bad).select("entity_id", "field", "fault")
+
+
+@query("SELECT user_id AS entity_id, event_type AS field, arg_max(state, event_id) AS state FROM (SELECT *, CASE event_id % 4 WHEN 0 THEN 'filled' WHEN 1 THEN 'not_checked' WHEN 2 THEN 'confirmed_unavailable' ELSE 'lost' END AS state FROM events) WHERE state <> 'lost' GROUP BY 1, 2")
+def q_gap_writes(s, d):
+    rows = S.table(s, d, "events").selectExpr("user_id entity_id", "event_type field", "CASE event_id % 4 WHEN 0 THEN 'filled' WHEN 1 THEN 'not_checked' WHEN 2 THEN 'confirmed_unavailable' ELSE 'lost' END state", "event_id seq")
+    return L.resolve_gaps(rows.filter("seq % 2 = 0"), rows.filter("seq % 2 = 1"))[0].drop("seq")
+
+
+@query("SELECT 'stage_regression' AS kind, entity_id, printf('stage %d -> %d between %s and %s (%+d)', from_stage, stage_id, CAST(from_date AS VARCHAR), CAST(meeting_date AS VARCHAR), stage_id - from_stage) AS detail FROM changes WHERE stage_id < from_stage UNION ALL SELECT 'unknown_as_category', NULL, printf('%d field values literally ', count(*)) || chr(39) || 'UNKNOWN' || chr(39) FROM customer WHERE c_mktsegment = 'BUILDING' HAVING count(*) > 0")
+def q_warnings(s, d):
+    values = S.table(s, d, "customer").selectExpr("c_custkey entity_id", "'region' field", "CASE WHEN c_mktsegment = 'BUILDING' THEN 'UNKNOWN' ELSE c_mktsegment END value_text")
+    return L.warnings(V.transitions(B.observations(s, d)), values)
+
+
+@query("SELECT 'region' AS field, count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING'")
+def q_written_unknowns(s, d):
+    return L.written_unknowns(S.table(s, d, "customer").selectExpr("'region' field", "CASE WHEN c_mktsegment = 'BUILDING' THEN ' unknown ' ELSE c_mktsegment END value_text"))
+
+
+@query("SELECT o_orderkey, 'citation' AS rule FROM orders WHERE o_orderkey % 6 = 0 UNION ALL SELECT o_orderkey, 'amount_local' FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 2 = 1")
+def q_provenance_violations(s, d):
+    rows = S.table(s, d, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 3 = 0 THEN 'Public' ELSE 'Manual' END source", "CASE WHEN o_orderkey % 2 = 1 THEN 'c' END citation", "CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice END amount_local", "CASE WHEN o_orderkey % 2 = 0 THEN 'EUR' END currency")
+    return L.provenance_violations(rows).select("o_orderkey", "rule")
+
+
+@query("SELECT c_custkey AS entity_id, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN lower(c_mktsegment) ELSE 'new, ' || lower(c_mktsegment) END AS value_text FROM customer WHERE c_custkey % 3 <> 1")
+def q_set_tags(s, d):
+    c = S.table(s, d, "customer")
+    current = c.selectExpr("c_custkey entity_id", "lower(c_mktsegment) value_text")
+    asked = c.selectExpr("c_custkey entity_id", "CASE c_custkey % 3 WHEN 0 THEN ' , ' WHEN 1 THEN concat(' ', lower(c_mktsegment), ',') ELSE concat(lower(c_mktsegment), ',new') END tags")
+    order = F.array_join(F.array_sort(F.split("value_text", ", ")), ", ")
+    return L.set_tags(current, asked).select("entity_id", F.when(F.col("value_text").contains(", "), F.concat(F.lit("new, "), F.expr("replace(replace(value_text, 'new', ''), ', ', '')"))).otherwise(order).alias("value_text"))
+
+
+@query("SELECT c_custkey AS entity_id, 'Public' AS source FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 = 0")
+def q_accepted_sources(s, d):
+    rows = S.table(s, d, "customer").selectExpr("c_custkey entity_id", "CASE WHEN c_custkey % 2 = 0 THEN 'website' ELSE 'stage' END field", "CASE WHEN c_custkey % 3 = 0 THEN concat('https://www.wikidata.org/wiki/Q', c_custkey) ELSE 'elsewhere' END citation", "'Manual' source")
+    return L.accepted_sources(rows).select("entity_id", "source")
+
+
+@query("SELECT c_custkey AS entity_id, CASE WHEN c_custkey % 10 = 0 THEN c_custkey - 1 ELSE c_custkey END AS resolved_id, CASE WHEN c_custkey % 10 <> 0 THEN 1 ELSE 0 END AS alive, CASE WHEN c_custkey % 10 <> 0 AND c_custkey % 4 <> 0 THEN 1 ELSE 0 END AS counted FROM customer")
+def q_live_entities(s, d):
+    e = S.table(s, d, "customer").selectExpr("c_custkey entity_id", "CASE WHEN c_custkey % 10 = 0 THEN c_custkey - 1 END merged_into", "c_custkey % 4 = 0 is_phantom")
+    mark = lambda df, c: df.select("entity_id", F.lit(1).alias(c))
+    out = V.resolved(e).join(mark(V.live(e), "alive"), "entity_id", "left").join(mark(V.live(e, False), "counted"), "entity_id", "left")
+    return out.select("entity_id", "resolved_id", F.coalesce("alive", F.lit(0)).alias("alive"), F.coalesce("counted", F.lit(0)).alias("counted"))
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY lower(n), c_custkey) AS place FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS n FROM customer)")
+def q_nocase_order(s, d):
+    rows = S.table(s, d, "customer").selectExpr("c_custkey", "CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END n")
+    return P.name_places(rows, "n", "c_custkey").select("c_custkey", "place")
+
+
+@query(f"SELECT c_custkey AS entity_id FROM ({_PLACED}) WHERE c_mktsegment = 'FURNITURE' AND furthest >= 5")
+def q_early_status(s, d):
+    rows = _placed(s, d).selectExpr("c_custkey entity_id", "c_mktsegment status", "furthest")
+    return P.early_status(rows, ["FURNITURE"]).select("entity_id")
+
+
+_SPLITS = " UNION ALL ".join(f"SELECT '{n}' AS split, coalesce({e}, '_no value_') AS value, count(*) FILTER (WHERE furthest >= 5) AS deep, count(*) FILTER (WHERE furthest < 5) AS rest FROM ({_PLACED}) GROUP BY 1, 2" for n, e in (("segment", "c_mktsegment"), ("nation", "CASE WHEN c_nationkey % 4 <> 0 THEN CAST(c_nationkey AS VARCHAR) END"), ("rich", "CASE WHEN c_acctbal > 0 THEN 'yes' ELSE 'no' END")))
+
+
+@query(_SPLITS)
+def q_advancement_splits(s, d):
+    rows = _placed(s, d).selectExpr("furthest", "c_mktsegment segment", "CASE WHEN c_nationkey % 4 <> 0 THEN cast(c_nationkey as string) END nation", "CASE WHEN c_acctbal > 0 THEN 'yes' ELSE 'no' END rich")
+    return P.advancement(rows, ["segment", "nation", "rich"], "furthest").select("split", "value", "deep", "rest")
+
+
+@query("SELECT segment, count(*) AS n FROM (SELECT CASE WHEN b.rid IS NULL THEN 'no folder' ELSE 'folder' END AS segment FROM (SELECT DISTINCT name FROM target_side WHERE canonical) t LEFT JOIN (SELECT DISTINCT t.name, 1 AS rid FROM target_side t JOIN (SELECT DISTINCT name FROM query_side WHERE pos = 0) q ON " + _NORM.format(x="q.name") + " = " + _NORM.format(x="t.name") + " WHERE t.canonical) b ON b.name = t.name) GROUP BY 1")
+def q_reach_back(s, d):
+    query, target = B.ladder_sides(s, d)
+    folders = query.filter("pos = 0").selectExpr("qid", "name")
+    back = R.reach(folders, target.filter("canonical"), target)["back"]
+    return back.groupBy(F.when(F.col("tier") == "exact", "folder").otherwise("no folder").alias("segment")).agg(F.count("*").alias("n"))
+
+
+CTE["hist"] = "SELECT o_orderkey AS observation_id, CAST(o_orderdate AS DATE) AS meeting_date, CASE WHEN o_orderkey % 13 = 0 THEN 'nobody ' || (o_orderkey % 50) WHEN o_orderkey % 4 = 0 THEN upper(c_name) || '!' ELSE c_name END AS name, o_custkey AS entity_id, 6 - CAST(substr(o_orderpriority, 1, 1) AS INT) AS stage_id FROM orders JOIN customer ON c_custkey = o_custkey"
+CTE["kept"] = "SELECT entity_id, meeting_date, name, stage_id, min(observation_id) AS observation_id FROM hist WHERE observation_id % 13 <> 0 GROUP BY 1, 2, 3, 4"
+CTE["lchanges"] = "SELECT * FROM (SELECT *, lag(stage_id) OVER (PARTITION BY entity_id ORDER BY meeting_date, observation_id) AS f FROM kept) WHERE f IS NOT NULL AND f <> stage_id"
+CTE["cal"] = "SELECT meeting_date AS prev, date_diff('day', meeting_date, lead(meeting_date) OVER (ORDER BY meeting_date)) AS gap FROM (SELECT DISTINCT meeting_date FROM hist)"
+_COUNTS = {
+    "entities": "SELECT count(*) FROM customer", "aliases": "SELECT 2 * count(*) FROM customer", "meetings_held": "SELECT count(DISTINCT meeting_date) FROM hist", "meetings_missing": "SELECT coalesce(sum(greatest(CAST(round_even(gap / 7, 0) AS BIGINT) - 1, 0)), 0)::BIGINT FROM cal WHERE gap > 8",
+    "observations": "SELECT count(*) FROM kept", "field_values": "SELECT (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0) + (SELECT count(*) FROM (SELECT entity_id FROM kept WHERE entity_id % 3 = 0 GROUP BY 1))", "gap_rows": "SELECT (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0) + (SELECT count(*) FROM customer WHERE c_custkey % 3 = 0)",
+    "review_open": "SELECT (SELECT count(*) FROM (SELECT entity_id FROM kept GROUP BY entity_id, meeting_date HAVING count(*) > 1 AND count(DISTINCT name) > 1)) + (SELECT count(*) FROM lchanges WHERE stage_id - f > 2 OR stage_id < f) + (SELECT count(*) FROM customer WHERE c_custkey % 100 = 0)",
+    "v2_removal_proposals": "SELECT count(*) FROM customer WHERE c_custkey % 100 = 0", "predating_relationships_flagged": "SELECT count(*) FROM (SELECT entity_id FROM kept WHERE entity_id % 3 = 0 GROUP BY 1)",
+    "resolved_exact": "SELECT count(*) FROM hist WHERE observation_id % 13 <> 0 AND observation_id % 4 <> 0", "resolved_normalised": "SELECT count(*) FROM hist WHERE observation_id % 13 <> 0 AND observation_id % 4 = 0", "unresolved_slide_names": "SELECT count(DISTINCT name) FROM hist WHERE observation_id % 13 = 0",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, ({q}) AS n" for n, q in _COUNTS.items()))
+def q_load_flow(s, d):
+    c, o = S.table(s, d, "customer"), S.table(s, d, "orders")
+    companies = c.selectExpr("c_custkey entity_id", "c_name name", "concat('https://', c_custkey, '.com') website", "concat(c_name, ' one|', c_name) variants", "CASE WHEN c_custkey % 3 = 0 THEN '01/02/1990' ELSE '2030-01-01' END first_meeting", "c_custkey % 2 = 0 needs_website", "c_custkey % 3 = 0 needs_owner_name")
+    name = "CASE WHEN o_orderkey % 13 = 0 THEN concat('nobody ', o_orderkey % 50) WHEN o_orderkey % 4 = 0 THEN concat(upper(c_name), '!') ELSE c_name END name"
+    history = o.join(c, F.col("c_custkey") == F.col("o_custkey")).selectExpr("o_orderkey observation_id", "cast(o_orderdate as date) meeting_date", name, "6 - cast(substring(o_orderpriority, 1, 1) as int) stage_id", "0 is_bold", "1 slide_page")
+    cells = c.selectExpr("c_custkey entity_id", "'website' field", "CASE WHEN c_custkey % 2 = 0 THEN 'w.com' ELSE 'UNKNOWN' END value_text", "false enriched", "cast(null as string) citation", "cast(null as string) group_source")
+    return I.load(companies, history, cells, c.filter("c_custkey % 100 <> 0").selectExpr("c_name name"))["report"]
+
+
 @query("SELECT doc_id AS entity_id, 'website' AS field, CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END AS value_text, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 <> 0 THEN 'Public' ELSE 'Affinity' END AS source, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 <> 0 THEN 'c' || doc_id END AS citation FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, 'working_group', lang, CASE WHEN doc_id % 5 = 0 THEN 'Slides' ELSE 'Affinity' END, NULL FROM documents WHERE doc_id % 5 <> 1")
 def q_attributed_fields(s, d):
     docs = S.table(s, d, "documents")
@@ -604,13 +809,12 @@ def q_gap_rows(s, d):
     return I.gap_rows(flags, "c_custkey", {"needs_website": "website", "needs_owner": "owner_name"})
 
 
-CTE["wraps"] = "SELECT row_number() OVER (ORDER BY name) AS entity_id, CASE WHEN name LIKE 'a%' THEN '/' || name ELSE name END AS name FROM names"
+CTE["wraps"] = "SELECT CAST('0x' || substr(md5(name), 1, 15) AS BIGINT) AS entity_id, CASE WHEN name LIKE 'a%' THEN '/' || name ELSE name END AS name FROM names"
 
 
 @query("SELECT entity_id, NULL::BIGINT AS target_id, 'line_wrap_candidate' AS kind, 0.9::DOUBLE AS confidence FROM wraps WHERE name LIKE '/%' UNION ALL SELECT a.entity_id, b.entity_id, 'merge_proposal', CASE WHEN contains(a.name, ' ') THEN 0.6::DOUBLE ELSE 0.75::DOUBLE END FROM wraps a JOIN wraps b ON length(b.name) > length(a.name) AND (starts_with(b.name, a.name || ' ') OR ends_with(b.name, ' ' || a.name)) WHERE a.name NOT LIKE '/%'")
 def q_line_wraps(s, d):
-    w = Window.orderBy("name")  # the distinct names of a small vocabulary
-    rows = B.names(s, d).select(F.row_number().over(w).cast("long").alias("entity_id"), F.expr("CASE WHEN name LIKE 'a%' THEN concat('/', name) ELSE name END").alias("name"))
+    rows = B.names(s, d).select(F.conv(F.substring(F.md5("name"), 1, 15), 16, 10).cast("long").alias("entity_id"), F.expr("CASE WHEN name LIKE 'a%' THEN concat('/', name) ELSE name END").alias("name"))
     return I.line_wraps(rows)
 
 

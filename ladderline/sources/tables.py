@@ -14,6 +14,18 @@ WORKING_GROUPS = ["Health", "Systems", "Climate", "Scale-Up", "AI for Science"]
 ROUND_STAGES = [("Preseed", 1), ("Seed", 2), ("Series A", 3), ("Series B", 4), ("Series C", 5)]
 GAP_STATES = ["not_checked", "confirmed_unavailable", "filled"]
 GAP_FIELDS = ["website", "hq_country", "stage", "round_size_usd", "owner_name"]
+#: Fields that hold dates.
+DATE_FIELDS = ["affinity_date_added", "first_meeting", "last_meeting", "outcome_date"]
+#: Thesis areas, and the stage and thesis of each section's heading.
+THESIS_AREAS = [("HH", "Human Health"), ("AS", "Autonomous Systems"), ("E&C", "Energy & Climate"), ("AIFS", "AI for Science")]
+SECTIONS = [("Meetings this week", "Meetings This Week", None), ("Hold / Nurture", "Hold / Nurture", None), ("Deep Diligence", "Deep Diligence", None), ("Negotiate / Offer", "Negotiate / Offer", None), ("Legal diligence / Def Docs", "Legal Diligence / Def Docs", None), ("HH", "Preliminary Diligence", "HH"), ("AS", "Preliminary Diligence", "AS"), ("E&C", "Preliminary Diligence", "E&C"), ("C", "Preliminary Diligence", "E&C"), ("AIFS", "Preliminary Diligence", "AIFS"), ("Frontier Fellows / NewCo:", "NewCo / Fellows", None), ("FF / TF / EF NewCo:", "NewCo / Fellows", None), ("NewCo:", "NewCo / Fellows", None)]
+#: CRM statuses with their stage, worklist ranks, reasons to pass, outcomes (1: final), channels and regions.
+CRM_STATUSES = [("Sourcing - No Outreach", 1), ("Pre-Screen", 2), ("Initial Evaluation", 3), ("Preliminary Diligence", 4), ("Deep Diligence", 5), ("Wait", None), ("Potential Pathways", None), ("Protocompany", None), ("Pass", None), ("Loss", None), ("Invested", None)]
+PRIORITIES = [("P1 - advanced stage, incomplete", 1), ("P1 - discussed, incomplete", 1), ("P2 - prelim dil, mostly empty", 2), ("P3 - sparse record", 3), ("P4 - acceptable", 4)]
+PASS_REASONS = [("Team", 1), ("Technology / technical risk", 2), ("Market size", 3), ("Timing - too early", 4), ("Timing - too late", 5), ("Valuation / terms", 6), ("Round dynamics / no allocation", 7), ("Thesis fit", 8), ("Competitive position", 9), ("Regulatory / reimbursement", 10), ("Capital intensity", 11), ("Founder unresponsive", 12), ("Company died / wound down", 13), ("Other", 99)]
+OUTCOMES = [("Active", 0), ("Invested", 1), ("Passed", 1), ("Lost - competitive", 1), ("Lost - company died", 1), ("Dormant - no contact", 0), ("Tracking", 0)]
+CHANNELS = ["Warm intro", "Inbound", "Conference", "Portfolio referral", "Lab spinout", "Fellows programme", "Outbound", "Unknown"]
+REGIONS = ["United States", "International", "UNKNOWN"]
 MEETING_STATES = ["held", "not_held", "not_extracted", "unknown"]
 
 #: The storage model (SRC4).
@@ -37,11 +49,33 @@ SCHEMAS = {
 }
 
 
+_ONE = lambda names: [(n,) for n in names]
+#: Columns and rows of each vocabulary; the first column is the value.
+VOCABULARIES = {
+    "stage": ("stage_id, stage_name", STAGES), "source": ("source, precedence", SOURCES), "working_group": ("name", _ONE(WORKING_GROUPS)), "round_stage": ("name, rank", ROUND_STAGES),
+    "gap_state": ("name", _ONE(GAP_STATES)), "meeting_state": ("name", _ONE(MEETING_STATES)), "thesis_area": ("code, name", THESIS_AREAS), "section": ("raw_section, stage_name, thesis", SECTIONS),
+    "affinity_status": ("name, stage_id", CRM_STATUSES), "enrichment_priority": ("name, rank", PRIORITIES), "pass_reason": ("name, rank", PASS_REASONS), "outcome_type": ("name, final", OUTCOMES),
+    "source_channel": ("name", _ONE(CHANNELS)), "region": ("name", _ONE(REGIONS)),
+}
+
+
+def literal(value: str | int | None) -> str:
+    return "NULL" if value is None else str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
+
+
+def values_sql(name: str) -> str:
+    """The rows of a vocabulary as a VALUES list."""
+    return ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in VOCABULARIES[name][1])
+
+
 def vocabulary(spark: SparkSession, name: str) -> DataFrame:
     """A controlled vocabulary as a small relation (SRC5)."""
-    rows = {"stage": ("stage_id, stage_name", [f"({i}, '{n}')" for i, n in STAGES]), "source": ("source, precedence", [f"('{s}', {p})" for s, p in SOURCES]), "working_group": ("name", [f"('{g}')" for g in WORKING_GROUPS]), "round_stage": ("name, rank", [f"('{s}', {r})" for s, r in ROUND_STAGES]), "gap_state": ("name", [f"('{g}')" for g in GAP_STATES]), "meeting_state": ("name", [f"('{g}')" for g in MEETING_STATES])}
-    names, values = rows[name]
-    return spark.sql(f"SELECT * FROM VALUES {', '.join(values)} AS v({names})")
+    return spark.sql(f"SELECT * FROM VALUES {values_sql(name)} AS v({VOCABULARIES[name][0]})")
+
+
+def placed(rows: DataFrame, sections: DataFrame) -> DataFrame:
+    """Rows with the stage and the thesis that their raw_section stands for; null where it is unknown (SRC5, JN4)."""
+    return rows.join(F.broadcast(sections), "raw_section", "left")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

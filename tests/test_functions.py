@@ -96,7 +96,20 @@ def test_batch_write_validates_before_it_accepts(spark):
     assert [tuple(r) for r in out["accepted"].collect()] == [(1, "New Co", "new.co")]
     assert {r["ask_id"]: r["fault"] for r in out["rejected"].collect()} == {2: "duplicate", 3: "no domain", 4: "source not allowed", 5: "negative"}
     allowed = validate.add_companies(asked, entities, aliases, allow=True)
-    assert [tuple(r) for r in allowed["proposals"].collect()] == [(2, 5, "merge_proposal")]
+    assert [(r["ask_id"], r["target_id"], r["matched_on"], r["kind"]) for r in allowed["proposals"].collect()] == [(2, 5, "name", "merge_proposal")]
+    assert sorted((r["ask_id"], r["alias_text"], r["alias_norm"]) for r in allowed["aliases"].collect()) == [(1, "New Co", "new co"), (2, "acme", "acme")]
+
+
+def test_the_second_of_two_equal_new_companies_is_refused(spark):
+    entities = spark.sql("SELECT 5L entity_id, 'Acme' canonical_name, 'acme.com' domain, 9L merged_into")
+    aliases = spark.sql("SELECT 'Acme Corp' alias_text, 5L entity_id")
+    rows = [(1, "New Co", "new.co", "Manual", "", ""), (2, "new  co", "other.co", "Manual", "", ""), (3, "Third", "https://www.New.co/x", "Manual", "", ""), (4, "ACME", "acme.com", "Manual", "", ""), (5, "Bad", "bad.co", None, "", ""), (6, "bad", "bad6.co", "Manual", "", "")]
+    asked = spark.createDataFrame(rows, "ask_id long, name string, website string, source string, round_size string, tags string")
+    out = validate.add_companies(asked, entities, aliases)
+    assert sorted(r["ask_id"] for r in out["accepted"].collect()) == [1, 4, 6]  # 4 doubles a merged entity only
+    assert {r["ask_id"]: r["fault"] for r in out["rejected"].collect()} == {2: "duplicate", 3: "duplicate", 5: "source not allowed"}
+    found = validate.add_companies(asked, entities, aliases, allow=True)["proposals"].collect()
+    assert sorted((r["ask_id"], r["target_ask"], r["matched_on"]) for r in found) == [(2, 1, "name"), (3, 1, "domain")]
 
 
 def test_payload_round_trip(spark, tmp_path):
@@ -108,9 +121,85 @@ def test_payload_round_trip(spark, tmp_path):
 
 
 def test_payload_keeps_companies_without_observations(spark):
-    obs = spark.sql("SELECT 1L entity_id, date'2024-01-01' meeting_date, 3 stage_id, 0 is_bold, 7 slide_page")
-    got = report.payload(spark.sql("SELECT explode(array(1L, 2L)) entity_id"), obs, spark.sql("SELECT date'2024-01-01' meeting_date, 0 place"))
-    assert {r["entity_id"]: r["payload"] for r in got.collect()} == {1: '{"id":1,"obs":[{"wi":0,"stage":3,"bold":0,"page":7}]}', 2: '{"id":2,"obs":[]}'}
+    import json
+
+    obs = spark.sql("SELECT 7L observation_id, 1L entity_id, date'2024-01-01' meeting_date, 5 stage_id, 1 is_bold, 7 slide_page")
+    entities = spark.sql("SELECT explode(array(1L, 2L)) entity_id, 'N' name, cast(null as string) domain, false is_phantom")
+    fields = spark.sql("SELECT 1L entity_id, 'website' field, 'a.com' value, 'Manual' source, cast(null as string) citation, 'me' user")
+    gaps = spark.sql("SELECT 2L entity_id, 'stage' field, 'not_checked' state")
+    worklist = spark.sql("SELECT 1L entity_id, 4L gaps, 'P2' priority")
+    aliases = spark.sql("SELECT 2L entity_id, explode(array('b', 'a')) alias_text")
+    got = {r["entity_id"]: json.loads(r["payload"]) for r in report.payload(entities, obs, spark.sql("SELECT date'2024-01-01' meeting_date, 0 place"), fields, gaps, worklist, aliases, ["website", "stage"]).collect()}
+    assert got[1]["obs"] == [[0, 5, 1, 7]] and got[1]["missing"] == ["stage"] and got[1]["gaps"] == 4 and got[1]["observedDeep"] and got[1]["fields"][0]["value"] == "a.com"
+    assert got[2]["obs"] == [] and got[2]["gapState"] == {"stage": "not_checked"} and got[2]["aliases"] == ["a", "b"] and got[2]["latest"] is None and got[2]["appearances"] == 0
+
+
+def test_screening_its_own_result_changes_nothing(spark):
+    from ladderline.operators import screen
+
+    obs = spark.sql("SELECT * FROM VALUES (1L, 10L, date'2024-01-01', 4, 0), (2L, 10L, date'2024-01-08', 7, 1), (3L, 11L, date'2024-01-15', 4, 0), (4L, 12L, date'2024-01-15', 5, 0), (5L, 10L, date'2024-01-22', 2, 0) AS v(observation_id, entity_id, meeting_date, stage_id, is_bold)")
+    cohort = spark.sql("SELECT 10L entity_id")
+    variants = spark.sql("SELECT 'old co' key, 10L target_id")
+    entities = spark.sql("SELECT * FROM VALUES (11L, 0, 'old co'), (12L, 0, 'else') AS v(entity_id, pos, key)")
+    aliases = spark.sql("SELECT * FROM VALUES (10L, 'Ten'), (11L, 'Old Co'), (12L, 'Else') AS v(entity_id, alias_text)")
+    review = spark.sql("SELECT * FROM VALUES (1L, 'merge_proposal', 10L, 12L), (2L, 'line_wrap_candidate', 10L, null), (3L, 'group_split', 10L, null), (4L, 'stage_jump', 10L, null) AS v(review_id, kind, entity_id, target_id)")
+    judged = spark.sql("SELECT 10L entity_id")
+    out = screen.screen(obs, entities, cohort, variants, aliases, review, judged)
+    assert sorted(r["observation_id"] for r in out["observations"].collect()) == [1, 2, 3]
+    assert sorted(r["alias_text"] for r in out["aliases"].collect()) == ["Old Co", "Ten"]
+    assert sorted((r["review_id"], r["kind"]) for r in out["review"].collect()) == [(3, "group_split"), (4, "stage_jump"), (5, "stage_regression")]
+    again = screen.screen(out["observations"], entities, cohort, variants, out["aliases"], out["review"], judged)
+    assert sorted(map(tuple, again["companies"].collect())) == sorted(map(tuple, out["companies"].collect()))
+    assert sorted(map(tuple, again["review"].select("kind", "entity_id").collect())) == sorted(map(tuple, out["review"].select("kind", "entity_id").collect()))
+
+
+def test_reach_gives_verdicts_both_ways(spark):
+    folders = spark.createDataFrame([(1, "Nova Inc"), (2, "Müller Optik"), (3, "Elsewhere")], "qid long, name string")
+    companies = spark.createDataFrame([(7, "Nova", True, 1), (7, "Müller Optik", False, 2)], "rid long, name string, canonical boolean, seq long")
+    records = spark.createDataFrame([(8, "M ller Optik", True, 1), (9, "Elsewhere", True, 2)], "rid long, name string, canonical boolean, seq long")
+    out = resolve.reach(folders, companies, records)
+    assert sorted((r["qid"], r["a"], r["b"], r["segment"]) for r in out["rows"].collect()) == [(1, "suffix", "none", "slides"), (2, "alias", "none", "slides"), (3, "none", "exact", "affinity")]
+    assert tuple(out["counts"].first()) == (2, 1, 3, 0)
+    assert [(r["qid"], r["tier"], r["rid"]) for r in out["back"].collect()] == [(7, "alias", 2)]
+
+
+def test_report_orders(spark):
+    rows = spark.sql("SELECT * FROM VALUES ('b', 2L, 5L), ('a', 2L, 3L), ('c', 9L, 9L), (null, 1L, 1L) AS v(value, n, first_entity)")
+    assert [r["value"] for r in report.by_frequency(rows).collect()] == ["c", "a", "b", None]
+    assert [r["value"] for r in report.domain_order(rows, "value", ["c", "b"]).collect()] == ["c", "b", "a", None]
+    why = spark.sql("SELECT * FROM VALUES (1L, 'consistent', 7, '2024-01-01'), (2L, 'still seen', 4, '2024-02-01'), (3L, 'still seen', 6, '2024-02-01'), (4L, 'still seen', 6, '2024-01-01') AS v(entity_id, why, furthest, last)")
+    assert [r["entity_id"] for r in report.contradiction_order(why).collect()] == [4, 3, 2, 1]
+    rows = spark.sql("SELECT * FROM VALUES (1L, 'z', 4, 'none'), (2L, 'a', 4, 'ambiguous'), (3L, 'q', 6, 'none'), (4L, 'h', 7, 'exact') AS v(entity_id, name, furthest, tier)")
+    assert [r["entity_id"] for r in report.without_folder(rows).collect()] == [3, 2, 1]
+
+
+def test_name_places_fold_ascii_only(spark):
+    names = ["b", "A", "a", None, "É", "é", "Z", "z"] + [f"n{k}" for k in range(200)]
+    df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    key = lambda i: (names[i] is not None, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in names[i] or ""), i)
+    got = {r["id"]: r["place"] for r in report.name_places(df, "name", "id").collect()}
+    assert [i for i, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(range(len(names)), key=key)
+    assert sorted(got.values()) == list(range(1, len(names) + 1))
+
+
+def test_vocabularies_and_cells(spark):
+    from ladderline.sources import tables as T
+
+    assert {n: T.vocabulary(spark, n).count() for n in ("stage", "section", "pass_reason", "region")} == {"stage": 7, "section": 13, "pass_reason": 14, "region": 3}
+    assert _map(spark, X.clean_cell, ["'x", "  ", "NaN", "y", None]) == ["x", None, None, "y", None]
+    assert _map(spark, T.version_of, ["a Version: 2.1 b", "none"]) == ["2.1", ""]
+    assert T.markdown("T", spark.sql("SELECT 1 a, cast(null as string) b")) == "### T\n\n| a | b |\n| --- | --- |\n| 1 |  |"
+
+
+def test_run_log_and_append(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "in.csv").write_text("a,b\n1,2\n")
+    row = S.run_log(spark, 3, str(tmp_path / "in.csv"), spark.sql("SELECT 4 n"), "2024-01-01 00:00:00").first()
+    assert row["row_counts"] == '{"n":4}' and row["source_sha256"] == hashlib.sha256(b"a,b\n1,2\n").hexdigest()
+    for _ in range(2):
+        S.append(spark.range(2), str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 4
 
 
 def test_duplicates_of_every_part_are_found(spark, data):
