@@ -132,7 +132,7 @@ def windows_of(rows: DataFrame, bitmap: np.ndarray | None = None, sizes: list[in
                         if len(pos):
                             yield pa.RecordBatch.from_arrays([pa.array(ids[at + c.row[pos]]), pa.array(pos - c.ptr[c.row[pos]]), pa.array(np.full(len(pos), size, np.int32)), pa.array(key.view(np.int64)), _rows(c, pos, slots, size)], ["id", "pos", "size", "key", "slots"])
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(shared.tidy(run), SCHEMA)
 
 
 def _whole_key(words: np.ndarray, length: int) -> np.ndarray:
@@ -153,7 +153,7 @@ def whole_items(rows: DataFrame) -> DataFrame:
                         key = _whole_key(c.value[a:b], int(b - a))
                         yield pa.RecordBatch.from_arrays([batch.column("id").slice(at + k, 1), pa.array([int(b - a)], pa.int32()), pa.array(key.view(np.int64))], ["item_id", "length", "key"])
 
-    return rows.mapInArrow(run, "item_id long, length int, key long")
+    return rows.mapInArrow(shared.tidy(run), "item_id long, length int, key long")
 
 
 def whole_hits(rows: DataFrame, lengths: list[int], bitmap: np.ndarray) -> DataFrame:
@@ -174,7 +174,7 @@ def whole_hits(rows: DataFrame, lengths: list[int], bitmap: np.ndarray) -> DataF
                     if len(pos):
                         yield pa.RecordBatch.from_arrays([pa.array(ids[at + c.row[pos]]), pa.array(key[pos].view(np.int64))], ["doc_id", "key"])
 
-    return rows.mapInArrow(run, "doc_id long, key long")
+    return rows.mapInArrow(shared.tidy(run), "doc_id long, key long")
 
 
 def whole_matches(docs: DataFrame, rows: DataFrame, items: DataFrame) -> DataFrame | None:

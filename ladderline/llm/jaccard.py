@@ -122,7 +122,7 @@ def summarised(docs: DataFrame) -> DataFrame:
             none = pa.nulls(len(used), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, none, none, none, pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())], names)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(shared.tidy(run), schema)
 
 
 def sketch_classes(summary: DataFrame) -> np.ndarray:
@@ -138,7 +138,7 @@ def sketch_classes(summary: DataFrame) -> np.ndarray:
             levels = np.round(4 * np.log2(part + 1)).astype(np.uint8)
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "counts": pa.array([levels.tobytes()], pa.binary())})
 
-    parts = summary.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
+    parts = summary.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(shared.tidy(add), "chunk int, counts binary")
     out = np.zeros((1 << SKETCH_BITS) // SKETCH_CHUNK, np.uint8)[:, None].repeat(SKETCH_CHUNK, axis=1)
     for row in parts.collect():
         out[row["chunk"]] = np.frombuffer(row["counts"], np.uint8)
@@ -269,7 +269,7 @@ def _compared(rows: DataFrame) -> DataFrame:
         if held and (out := finish(key, held)) is not None:
             yield out
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(shared.tidy(run), schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -317,7 +317,7 @@ def _linked(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.ListArray.from_arrays(pa.array(at), pa.array(_bits(found[order])))], ["doc_id", "keys"])
 
     # written once: it is read for the lists' sizes and again for their members
-    entries = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(keys, "doc_id long, keys array<long>")
+    entries = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(shared.tidy(keys), "doc_id long, keys array<long>")
     entries = shared.written(entries, "signatures").selectExpr("doc_id", "explode(keys) key")
     lists = entries.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count("*").alias("c")).filter("pivot < last").drop("last")
     known = reps.selectExpr("node member", "copies weight", "n", "slot")
@@ -349,7 +349,7 @@ def _linked(docs: DataFrame) -> DataFrame:
                 x = pa.Array.from_buffers(pa.large_binary(), len(nodes), [None, pa.py_buffer((8 * ptr).astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), x], ["member", "x"])
 
-    own = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(full_sets, "member long, x binary")
+    own = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(shared.tidy(full_sets), "member long, x binary")
     blocks = place.join(own, "member").selectExpr("pivot", "member", "weight", "families", "x", "g", "cast(pmod(xxhash64(member), g) as int) b")
     blocks = blocks.selectExpr("*", "explode(sequence(0, g - 1)) o").selectExpr("pivot", "least(b, o) i", "greatest(b, o) j", "b", "member", "weight", "families", "x")
     compared = shared.written(_compared(blocks.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")), "links")
@@ -406,7 +406,7 @@ def _with_sets(docs: DataFrame, size: str, of: str) -> DataFrame:
                 part = batch.slice(at, len(ptr) - 1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(ptr)), pa.array(_bits(_sums(flat, ptr)[0]))], [*part.schema.names, size, of])
 
-    return docs.mapInArrow(run, f"{fields}, `{size}` long, `{of}` long")
+    return docs.mapInArrow(shared.tidy(run), f"{fields}, `{size}` long, `{of}` long")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -21,17 +21,23 @@ U = np.uint64
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _STEP = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, U), np.ones(1, U)]
+#: Powers that a worker keeps.
+KEPT = 1 << 19
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the polynomial's base and of its inverse, modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        n = max(n, 2 * len(_POWERS[0]))
-        for at, base in ((0, _STEP), (1, pow(_STEP, -1, 2**64))):
-            steps = np.full(n, base, U)
-            steps[0] = 1
-            _POWERS[at] = np.cumprod(steps)
-    return _POWERS[0], _POWERS[1]
+    """The first n powers of the polynomial's base and of its inverse, modulo 2**64. Up to KEPT of them stay for the next call; more are made for a very long text and go with it."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    n = max(n, min(2 * len(_POWERS[0]), KEPT))
+    found = []
+    for base in (_STEP, pow(_STEP, -1, 2**64)):
+        steps = np.full(n, base, U)
+        steps[0] = 1
+        found.append(np.cumprod(steps))
+    if n <= KEPT:
+        _POWERS[:] = found
+    return found[0], found[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -96,7 +96,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> TextModel:
             yield pa.RecordBatch.from_pydict({"y": [y] * len(used), "bucket": used, "n": c[used]})
 
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y")
-    found = joined.mapInArrow(run, "y string, bucket long, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = joined.mapInArrow(shared.tidy(run), "y string, bucket long, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = np.array(found["y"].to_pylist(), object)
     languages = sorted(set(names))
     counts = np.full((BUCKETS, len(languages)), 0.5)
@@ -152,7 +152,7 @@ def gather(rows: DataFrame, model: TextModel) -> Evidence:
                 yield pa.RecordBatch.from_arrays([part.column("host"), part.column("suffix"), part.column("declared"), pa.array(p[sure].argmax(axis=1).astype(np.int32))], ["host", "suffix", "declared", "k"])
 
     size = len(model.languages)
-    counted = rows.mapInArrow(run, "host string, suffix string, declared string, k int").groupBy("host", "suffix", "declared", "k").count()
+    counted = rows.mapInArrow(shared.tidy(run), "host string, suffix string, declared string, k int").groupBy("host", "suffix", "declared", "k").count()
     counted = shared.written(counted, "evidence")
 
     def by(name: str) -> dict[str, np.ndarray]:  # bounded: two or three letters
@@ -182,7 +182,7 @@ def gather(rows: DataFrame, model: TextModel) -> Evidence:
             p = (c + HOST_WEIGHT * parent) / (c.sum(axis=1, keepdims=True) + HOST_WEIGHT)
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(list(np.log(p)), pa.list_(pa.float64()))], ["host", "host_prior"])
 
-    return Evidence(*tables, prior, shared.written(hosts.mapInArrow(smooth, "host string, host_prior array<double>"), "hosts"))
+    return Evidence(*tables, prior, shared.written(hosts.mapInArrow(shared.tidy(smooth), "host string, host_prior array<double>"), "hosts"))
 
 
 def classify(docs: DataFrame, keep: list[str], model: TextModel | None = None, declared: str | None = None, address: str | None = "source", host: str | None = "source", accepted_only: bool = False) -> DataFrame:
@@ -228,4 +228,9 @@ def classify(docs: DataFrame, keep: list[str], model: TextModel | None = None, d
                 else:
                     yield pa.RecordBatch.from_arrays([*kept, part.column("declared"), pa.array(names[np.where(n > 0, text.argmax(axis=1), size)], pa.string()), pa.array(names[best], pa.string()), pa.array(sure), pa.array(ok)], [*keep, *result])
 
-    return rows.join(shared.bounded(found.hosts), "host", "left").drop("host").mapInArrow(run, ", ".join(fields))
+    if found.hosts.limit(shared.BROADCAST_ROWS + 1).count() <= shared.BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(found.hosts), "host", "left")
+    else:  # rows without a host need no join, and would all meet in one task
+        joined = rows.filter("host is not null").join(found.hosts, "host", "left")
+        joined = joined.unionByName(rows.filter("host is null"), allowMissingColumns=True)
+    return joined.drop("host").mapInArrow(shared.tidy(run), ", ".join(fields))

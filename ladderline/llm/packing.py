@@ -40,13 +40,13 @@ STEPS = 4000
 SALT_ROWS = 4096
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False, memo: int = tokens.MEMO) -> DataFrame:
     """A row per piece: (doc_id, piece, start, length, ids_crc32[, ids]). Longer documents are cut; the first piece has what is over."""
     end = end_id.to_bytes(4, "little")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(tokenizer)
+        encode = tokens.encoder(tokenizer, memo=memo)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -64,7 +64,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
             kinds = {"piece": pa.int32(), "ids": pa.list_(pa.int32())}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items() if with_ids or k != "ids"})
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(shared.tidy(run), schema)
 
 
 def _configurations(sizes: list[int], demand: list[float], capacity: int) -> list[tuple[tuple[int, ...], float]]:
@@ -238,12 +238,12 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Da
             at = np.searchsorted(key, (b.column("length").to_numpy() << 40) + rank, "right") - 1
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(steps[at, 3] + rank - steps[at, 1]), pa.array(steps[at, 4])], [*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "_rank").mapInArrow(place, schema)
+    return ranked.select(*names, "_rank").mapInArrow(shared.tidy(place), schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
-    """Cuts and packs documents: a row per piece with its sequence and its place there."""
-    return pack(shared.written(pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity, groups)
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, groups: int = GROUPS, memo: int = tokens.MEMO) -> DataFrame:
+    """Cuts and packs documents: a row per piece with its sequence and its place there. A smaller memo of the encoder takes less memory and more time."""
+    return pack(shared.written(pieces(docs, tokenizer, end_id, capacity, memo=memo), "pieces"), capacity, groups)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

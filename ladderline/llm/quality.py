@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from . import shared
 
 #: Ids of the sample on which cost and selectivity are estimated.
 SAMPLE_ROWS = 512
@@ -158,7 +159,7 @@ def estimates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
     if top is None:
         return [(r.name, 0.0, 0.0) for r in rules]
     sample = docs.filter(F.xxhash64(F.col("doc_id").cast("long")) <= top).select("text")
-    got = sample.mapInArrow(run, schema).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).first()
+    got = sample.mapInArrow(shared.tidy(run), schema).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).first()
     n = max(1, got["n"])
     found = [(r.name, (r.per_byte * got["bytes"] + r.per_word * got["words"] + r.per_line * got["lines"]) / n, got[f"bad{k}"] / n) for k, r in enumerate(rules)]
     return sorted(found, key=lambda f: -f[2] / max(f[1], 1e-9))
@@ -184,4 +185,4 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
                 kept[alive] = True
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(at, x.n), "n_words": x.n_words.astype(np.int64), **x.base, "base_failed": x.failed, "kept": kept, "rejected_by": pa.array(why, pa.string())})
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(shared.tidy(run), SCHEMA)

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +20,12 @@ _LEFT: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, as in tests, a local one."""
+    """The folder of spark.checkpoint.dir; where it is unset, as in tests, a local one, but never on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local[") and master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="ladderline-")
         spark.conf.set("spark.checkpoint.dir", folder)
         _LEFT.add(folder)
@@ -36,6 +43,22 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def tidy(run: Callable) -> Callable:
+    """The same function for mapInArrow, that gives freed memory back to the system at the end of a task: workers live on from stage to stage."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own for one call; it goes when the driver's Python ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

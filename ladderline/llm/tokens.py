@@ -8,7 +8,7 @@ another kind than the two known here always does.
 
 A token file holds sequences of one fixed length as fixed-size lists of ids with fixed-size lists
 of mask bytes beside them, uncompressed, so that any sequence of any batch and its mask can be read
-from a memory map without a copy. Documents lie end to end in ascending doc_id; only the last sequence of a file
+from a memory map without a copy. A file has two different masks at most, so they are dictionary-encoded. Documents lie end to end in ascending doc_id; only the last sequence of a file
 is padded (mask false). A second Arrow file beside it gives each document's place.
 
 Null text: as an empty text, so the end id alone. Null doc_id: kept, before all others. Repeated
@@ -137,14 +137,14 @@ class Encoder:
         return b"".join(map(self.chunks.__getitem__, parts)) + (self._all(tail[0]) if tail else b"")
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+_ENCODERS: dict[tuple[str, int, int], Encoder] = {}
 
 
-def encoder(path: str, width: int = 4) -> Encoder:
+def encoder(path: str, width: int = 4, memo: int = MEMO) -> Encoder:
     """The worker process's encoder of this vocabulary."""
-    if (path, width) not in _ENCODERS:
-        _ENCODERS[path, width] = Encoder(path, width)
-    return _ENCODERS[path, width]
+    if (path, width, memo) not in _ENCODERS:
+        _ENCODERS[path, width, memo] = Encoder(path, width, memo)
+    return _ENCODERS[path, width, memo]
 
 
 def crc32(ids: np.ndarray | bytes) -> int:
@@ -169,7 +169,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
 
     top = max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) - 1, end_id)
     width, kind = (2, pa.uint16()) if top < 1 << 16 else (4, pa.uint32())
-    schema = pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.uint8(), sequence))], {"end_id": str(end_id), "sequence": str(sequence), "batch": str(batch)})
+    schema = pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.dictionary(pa.int8(), pa.list_(pa.uint8(), sequence)))], {"end_id": str(end_id), "sequence": str(sequence), "batch": str(batch)})
     end = end_id.to_bytes(width, "little")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,14 +180,17 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
 
         def put(out) -> None:
             held = bytearray()
-            with pa.ipc.new_file(out, schema) as sink:
+            with pa.ipc.new_file(out, schema, options=pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True)) as sink:
 
                 def flush(upto: int) -> None:
                     ids = np.frombuffer(bytes(held[:upto]), f"<u{width}")
-                    mask = np.ones(-(-len(ids) // sequence) * sequence, np.uint8)
-                    mask[len(ids) :] = 0
-                    ids = np.concatenate([ids, np.zeros(len(mask) - len(ids), ids.dtype)])
-                    sink.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(ids, kind), sequence), pa.FixedSizeListArray.from_arrays(pa.array(mask), sequence)], schema=schema))
+                    rows, over = divmod(len(ids), sequence)
+                    masks, which = np.ones(sequence * (1 + (over > 0)), np.uint8), np.zeros(rows + (over > 0), np.int8)
+                    if over:  # the last sequence of the file
+                        masks[sequence + over :], which[-1] = 0, 1
+                        ids = np.concatenate([ids, np.zeros(sequence - over, ids.dtype)])
+                    mask = pa.DictionaryArray.from_arrays(pa.array(which), pa.FixedSizeListArray.from_arrays(pa.array(masks), sequence))
+                    sink.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(ids, kind), sequence), mask], schema=schema))
                     del held[:upto]
 
                 for b in batches:
@@ -220,7 +223,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
 
     salted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.rand(7).alias("salt"))  # the same in a repeated task
     ordered = salted.repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt").drop("salt")
-    return sorted((r.asDict() for r in ordered.mapInArrow(write, MANIFEST).collect()), key=lambda r: r["part"])
+    return sorted((r.asDict() for r in ordered.mapInArrow(shared.tidy(write), MANIFEST).collect()), key=lambda r: r["part"])
 
 
 class TokenFile:
@@ -248,7 +251,8 @@ class TokenFile:
         """The ids and the mask of sequence i."""
         b = self.reader.get_batch(i * self.sequence // self.per_batch)
         row = i % (self.per_batch // self.sequence)
-        return b.column(0)[row].values.to_numpy(zero_copy_only=True), b.column(1)[row].values.to_numpy(zero_copy_only=True)
+        masks = b.column(1).dictionary.values.to_numpy(zero_copy_only=True).reshape(-1, self.sequence)
+        return b.column(0)[row].values.to_numpy(zero_copy_only=True), masks[b.column(1).indices[row].as_py()]
 
     def tokens(self, start: int, end: int) -> np.ndarray:
         parts = []
@@ -261,7 +265,12 @@ class TokenFile:
 
     def filled(self) -> int:
         """How many ids the masks mark."""
-        return sum(int(np.count_nonzero(self.reader.get_batch(k).column(1).flatten().to_numpy(zero_copy_only=True))) for k in range(self.reader.num_record_batches))
+        total = 0
+        for k in range(self.reader.num_record_batches):
+            mask = self.reader.get_batch(k).column(1)
+            sizes = mask.dictionary.values.to_numpy(zero_copy_only=True).reshape(-1, self.sequence).sum(axis=1, dtype=np.int64)
+            total += int(sizes[mask.indices.to_numpy()].sum())
+        return total
 
 
 def read_token_files(spark, manifest: list[dict]) -> DataFrame:
@@ -282,4 +291,4 @@ def read_token_files(spark, manifest: list[dict]) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"doc_id": f.doc_ids.slice(a, len(part)).combine_chunks(), "start": f.starts[a : part.stop] + row["base"], "n_tokens": f.sizes[a : part.stop], "ids_crc32": pa.array(crc, pa.int64())})
 
     files = spark.createDataFrame(rows, "path string, base long, n_tokens long")
-    return files.repartition(max(1, len(rows)), F.col("path")).mapInArrow(read, schema)
+    return files.repartition(max(1, len(rows)), F.col("path")).mapInArrow(shared.tidy(read), schema)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import boosting
 from . import kernel as K
+from . import shared
 
 TRAIN_ROWS = 20_000
 TOXIC = 0.7
@@ -201,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(y[at + row])], ["h", "y"])
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(offsets) - 1, pa.int64()), pa.array(y[at : at + len(offsets) - 1])], ["h", "y"])  # the rows themselves
 
-    counts = joined.mapInArrow(words, "h long, y double").groupBy("h").agg(F.sum("y").cast("long").alias("a"), F.count("y").alias("n"))
+    counts = joined.mapInArrow(shared.tidy(words), "h long, y double").groupBy("h").agg(F.sum("y").cast("long").alias("a"), F.count("y").alias("n"))
     counts = counts.filter(f"h is null or a >= {LEARNED_ROWS} and ln((a + 0.5) / (n - a + 0.5)) >= -3").toArrow().to_pydict()
     total = {h: (a, n) for h, a, n in zip(counts["h"], counts["a"], counts["n"], strict=True)}
     toxic, every = total.pop(None, (0, 0))
@@ -217,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(own)), pa.array(own), pa.array(list(features(data, offsets, lexicon, own)), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     # a row for each label, however many rows have its id
-    got = joined.mapInArrow(run, "doc_id long, y double, x array<double>").groupBy("doc_id", "y").agg(F.min("x").alias("x")).select("y", "x").toArrow()
+    got = joined.mapInArrow(shared.tidy(run), "doc_id long, y double, x array<double>").groupBy("doc_id", "y").agg(F.min("x").alias("x")).select("y", "x").toArrow()
     y = got["y"].to_numpy()
     if len(np.unique(y)) < 2:
         return Model(None, None, lexicon)
@@ -240,4 +241,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 s = model.score(features(data, offsets, model.lexicon))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(s)), batch.column("held_out").slice(at, len(s)), pa.array(s), pa.array((s >= TOXIC).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text", f"{held_out()} held_out").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text", f"{held_out()} held_out").mapInArrow(shared.tidy(run), "doc_id long, held_out boolean, score double, predicted int")

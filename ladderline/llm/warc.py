@@ -157,7 +157,7 @@ def _archived(rows: DataFrame, folder: str, name: str, segment: int, skip: np.nd
         kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "page_id", "digest", "record_id"])
 
-    return shared.written(rows.mapInArrow(write, MANIFEST), "manifest")
+    return shared.written(rows.mapInArrow(shared.tidy(write), MANIFEST), "manifest")
 
 
 def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT) -> list[str]:
@@ -179,10 +179,10 @@ def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT) -> lis
 
     # responses that share a revisit's slot
     sure = revisits.select("page_id", "digest").distinct()
-    missed = rows.select("page_id", "digest", "slot").mapInArrow(among(again), "page_id long, digest string, slot long")
+    missed = rows.select("page_id", "digest", "slot").mapInArrow(shared.tidy(among(again)), "page_id long, digest string, slot long")
     spared = shared.bitmap(missed.join(sure, ["page_id", "digest"], "left_anti").select("slot"), FILTER_BITS)
     if spared.any():
-        late = payloads.mapInArrow(among(spared), payloads.schema).join(sure, ["page_id", "digest"], "left_anti")
+        late = payloads.mapInArrow(shared.tidy(among(spared)), payloads.schema).join(sure, ["page_id", "digest"], "left_anti")
         done.append(_archived(late.select(*payloads.columns), folder, "spared", segment, None, named))
     ids = functools.reduce(DataFrame.unionByName, done).filter("record_id is not null")
     ids = ids.groupBy(F.col("page_id").alias("refers_to"), "digest").agg(F.min("record_id").alias("refers"))
@@ -270,7 +270,7 @@ def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     files = spark.createDataFrame([(p,) for p in paths], "path string")
-    return files.repartition(max(1, len(paths)), "path").mapInArrow(read, RECORD)
+    return files.repartition(max(1, len(paths)), "path").mapInArrow(shared.tidy(read), RECORD)
 
 
 RESPONSE = "record_id string, page_id long, digest string, payload_bytes long, complete boolean"
@@ -296,7 +296,7 @@ def reassembled(segments: DataFrame) -> DataFrame:
 
     parts = F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts")
     grouped = segments.groupBy("refers").agg(F.max("page_id").alias("page_id"), F.max("digest").alias("digest"), F.max("total").alias("total"), parts)
-    return grouped.mapInArrow(join, RESPONSE)
+    return grouped.mapInArrow(shared.tidy(join), RESPONSE)
 
 
 def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:

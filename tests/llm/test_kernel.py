@@ -52,3 +52,11 @@ def test_isotonic_is_monotone():
     s = r.random(300)
     xs, ys = boosting.isotonic(s, (r.random(300) < s).astype(float))
     assert (np.diff(ys) >= 0).all() and (np.diff(xs) >= 0).all()
+
+
+def test_a_very_long_text_leaves_no_tables_behind(monkeypatch):
+    monkeypatch.setattr(kernel, "KEPT", 64)
+    monkeypatch.setattr(kernel, "_POWERS", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    long = "word " * 100
+    a, b = (kernel.Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])).hashes() for t in (long, "word"))
+    assert (a == b[0]).all() and len(kernel._POWERS[0]) <= 64

@@ -5,6 +5,7 @@ from ladderline.llm import queries
 
 from .test_results import shingles
 
+
 def test_stages(spark, data):
     docs, seen = queries.table(spark, data, "documents"), []
     names = docs.columns
@@ -27,6 +28,21 @@ def test_run_equals_the_last_stage(spark, data):
     assert len({(r["doc_id"], r["piece"]) for r in rows}) == len(rows) > 0
 
 
+def test_run_of_an_empty_table_gives_no_rows(spark, data, tmp_path):
+    queries.table(spark, data, "documents").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    queries.table(spark, data, "benchmark").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_run_of_odd_rows(spark, data, odd, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing columns go through every stage."""
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    queries.table(spark, data, "benchmark").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in odd.select("doc_id").collect()} and rows
+    assert {1, 2, 3} & {r["doc_id"] for r in rows} == set()  # no letters, no language
+
+
 def test_queries_are_registered(spark):
     import __spark_entry__ as entry
 

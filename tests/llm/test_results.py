@@ -425,6 +425,9 @@ def test_token_files_round_trip(spark, documents, texts):
     f = tokens.TokenFile(manifest[0]["path"])
     ids, mask = f.sequence_at(9)
     assert len(ids) == len(mask) == 64 and (ids == f.tokens(9 * 64, 10 * 64)).all() and mask.all()
+    total = int(f.starts[-1])
+    ids, mask = f.sequence_at((total - 1) // 64)
+    assert mask.sum() == (total - 1) % 64 + 1 and (ids[mask == 1] == f.tokens(total - int(mask.sum()), total)).all() and f.filled() == total
 
 
 def test_packing(spark, documents, texts):
