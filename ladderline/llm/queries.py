@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langid, lines, packing, pii, quality, shared, tokens, toxicity, warc
+from . import codes, decontaminate, jaccard, langid, lines, packing, pii, quality, secrets, shared, spelling, sql, tokens, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,5 +69,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_line_dedup, op3_decontamination, op4_pii, op5_toxicity, op6_language_id, op7_warc, op8_token_files, op9_best_fit_packing, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_line_dedup, op3_decontamination, op4_pii, op5_toxicity, op6_language_id, op7_warc, op8_token_files, op9_best_fit_packing, op10_quality_rules, op11_spelling_variants, op12_secret_scan, op13_vector_codes)}
+ORACLES: dict[str, str] = {"op11_spelling_variants": sql.SPELLING_VARIANTS, "op13_vector_codes": sql.vector_codes()}

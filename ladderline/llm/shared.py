@@ -87,9 +87,22 @@ def _clean() -> None:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts the lineage, and survives lost executors."""
+    return written_at(df, name)[0]
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same with its folder, for forget()."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def forget(path: str | None) -> None:
+    """Deletes a folder of new_folder() that nothing reads any more."""
+    if path is not None:
+        store, at = filesystem(path)
+        store.delete_dir(at)
+        _LEFT.discard(path)
 
 
 def bitmap(slots: DataFrame, bits: int) -> np.ndarray:
