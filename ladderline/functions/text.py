@@ -1,13 +1,14 @@
-"""Scalar functions as Column expressions. All are built-ins; only full Unicode folding needs a vectorised UDF."""
+"""Scalar functions as Column expressions, all of built-ins."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable, Iterator
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Tokens that a comparison by stem drops.
 SUFFIX_TOKENS = ["inc", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "holdings", "group", "the", "ai", "io", "labs", "lab", "technologies", "technology", "systems", "system"]
@@ -29,31 +30,66 @@ def norm_ascii(x: Column) -> Column:
     return squeeze(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
 
 
-@F.pandas_udf(StringType())
-def norm_nfkd(s: pd.Series) -> pd.Series:
-    """The join key of any name: NFKD, lower case, everything but a-z and 0-9 a gap (STR2)."""
-    folded = s.map(lambda v: unicodedata.normalize("NFKD", v).lower(), na_action="ignore")
-    return folded.str.replace("[^a-z0-9]+", " ", regex=True).str.strip()
+def _ranges(chars: list[str]) -> str:
+    """A character class of these, sorted, for a regular expression."""
+    out: list[list[int]] = []
+    for c in map(ord, chars):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in out)
 
 
-@F.pandas_udf(StringType())
-def casefolded(s: pd.Series) -> pd.Series:
-    """Full case folding, which lower() is not (T2)."""
-    return s.str.casefold()
+def _by_character(x: Column, special: dict[str, str], other: Callable[[Column], Column]) -> Column:
+    """Every character looked up, with other() of those that aren't in the table. For rare characters: it costs a search for each character."""
+    table = F.create_map(*(F.lit(v) for pair in special.items() for v in pair))
+    return F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(table, c), other(c))), "")
 
 
-#: Characters whose full case folding is not their lower case, by rule; a capital sigma's lower case depends on its place.
-_FOLDED = "[" + "".join(chr(c) for c in range(0x80, 0x1F000) if chr(c).casefold() != chr(c).lower()) + "Σ]"
+#: Below this code point stand all characters with a case or a compatible ASCII letter or digit.
+_TOP = 0x1FC00
+
+
+def _characters() -> Iterator[str]:
+    """All characters beyond ASCII that are no surrogates."""
+    return (chr(c) for c in range(0x80, _TOP) if not 0xD800 <= c < 0xE000)
+
+
+@cache
+def _foldings() -> dict[str, str]:
+    """By rule: characters whose full case folding is not their lower case; a capital sigma's lower case depends on its place."""
+    return {c: c.casefold() for c in _characters() if c.casefold() != c.lower()} | {"\u03a3": "\u03c3"}
 
 
 def fold(x: Column) -> Column:
-    """Full case folding (T2): lower(), and the vectorised UDF sees only texts for which that is not enough."""
-    return F.coalesce(casefolded(F.when(x.rlike(_FOLDED), x)), F.lower(x))
+    """Full case folding (T2): lower(), and character by character for texts that hold one for which that is not enough. Letters that are new in Unicode 16 fold as Java has them."""
+    special = _foldings()
+    return F.when(x.rlike(f"[{_ranges(sorted(special))}]"), _by_character(x, special, F.lower)).otherwise(F.lower(x))
+
+
+@cache
+def _ascii_keys() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    """By rule, what the decomposition (NFKD) of a character leaves of a-z and 0-9, all else being a gap: one sign; one sign and a gap; more than that."""
+    found: tuple[dict[str, str], ...] = ({}, {}, {})
+    for c in _characters():
+        key = re.sub("[^a-z0-9]+", " ", unicodedata.normalize("NFKD", c).lower())
+        if key.strip():
+            kind = 0 if len(key) == 1 else 1 if len(key) == 2 and key[1] == " " else 2
+            found[kind][c] = key
+    return found
 
 
 def match_key(x: Column) -> Column:
-    """The join key of any name (STR2): the built-in for ASCII names; the vectorised UDF sees only the others."""
-    return F.coalesce(norm_nfkd(F.when(x.rlike(r"[^\x00-\x7F]"), x)), norm_ascii(x))
+    """The join key of any name: decomposed (NFKD), lower case, everything but a-z and 0-9 a gap (STR2). Runs of gaps are one, so each character can be taken by itself."""
+    plain, gapped, rare = _ascii_keys()
+    single = plain | {c: k[0] for c, k in gapped.items()}
+    whole = F.when(x.rlike(f"[{_ranges(sorted(rare))}]"), _by_character(x, rare, lambda c: c)).otherwise(x)
+    spread = F.translate(F.regexp_replace(whole, f"([{_ranges(sorted(gapped))}])", "$1 "), "".join(single), "".join(single.values()))
+    return F.when(x.rlike(r"[^\x00-\x7F]"), norm_ascii(spread)).otherwise(norm_ascii(x))
+
+
+casefolded, norm_nfkd = fold, match_key
 
 
 def stem(key: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources import stored as D
 from ..sources import tables as S
 from . import funnel as V
 from . import history as H
@@ -87,57 +88,50 @@ def load(companies: DataFrame, history: DataFrame, cells: DataFrame, external: D
     companies: (entity_id, name, website, variants, first_meeting, needs_<gap field>...); history:
     (observation_id, meeting_date, name, stage_id, is_bold, slide_page); cells: the input of attributed();
     external: (name) of an outside list, whose missing names propose removals. Rows of history whose
-    name resolves to no entity are counted and left out.
+    name resolves to no entity are counted and left out. Each table is written when it is made, and what follows
+    reads it: a table is derived once, and the counts come from the written ones.
     """
+    spark, place = companies.sparkSession, D.scratch(companies.sparkSession, "load")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{place}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{place}/{name}")
+
     entities = companies.select("entity_id", X.squeeze(F.col("name")).alias("canonical_name"), X.domain_of(F.col("website")).alias("domain"))
+    entities = kept(entities, "entity")
     spelled = companies.select("entity_id", F.posexplode(F.concat(F.array(X.squeeze(F.col("name"))), F.filter(F.transform(F.split(F.coalesce("variants", F.lit("")), "[|]"), X.squeeze), lambda t: t != ""))).alias("pos", "alias_text"))
-    aliases = S.first_wins(spelled, ["alias_text"], ["pos", "entity_id"]).select("alias_text", X.norm_name(F.col("alias_text")).alias("alias_norm"), "entity_id")
+    aliases = kept(S.first_wins(spelled, ["alias_text"], ["pos", "entity_id"]).select("alias_text", X.norm_name(F.col("alias_text")).alias("alias_norm"), "entity_id"), "alias")
     dates = history.select(F.lit(1).alias("one"), "meeting_date").distinct()
-    meetings = dates.select("meeting_date", F.lit("held").alias("status")).unionByName(H.fill_calendar(dates, "one").select("meeting_date", F.lit("not_held").alias("status")))
-    names = R.resolve_aliases(history.select("name").distinct().selectExpr("name row_id", "name"), aliases)
-    found = history.join(names.select("name", "entity_id", "method"), "name")
-    obs = S.first_wins(found.filter("method <> 'unresolved'").drop("method"), ["meeting_date", "entity_id", "name", "stage_id"], ["observation_id"])
+    meetings = kept(dates.select("meeting_date", F.lit("held").alias("status")).unionByName(H.fill_calendar(dates, "one").select("meeting_date", F.lit("not_held").alias("status"))), "meeting")
+    names = kept(R.resolve_aliases(history.select("name").distinct().selectExpr("name row_id", "name"), aliases).select("name", "entity_id", "method"), "resolution")
+    found = history.join(names, "name")
+    methods = kept(found.groupBy("method").agg(F.count("*").alias("n")), "methods")
+    obs = kept(S.first_wins(found.filter("method <> 'unresolved'").drop("method"), ["meeting_date", "entity_id", "name", "stage_id"], ["observation_id"]), "observation")
     values = attributed(cells)
     funnel = obs.groupBy("entity_id").agg(F.min("meeting_date").alias("first_seen"))
     early = L.early_meetings(companies.select("entity_id", X.us_date(F.col("first_meeting")).alias("first_meeting")), funnel).select("entity_id").distinct()
     flags = early.select("entity_id", F.lit("relationship_predates_crm").alias("field"), F.lit("1").alias("value_text"), F.lit("Affinity").alias("source"), F.lit(None).cast("string").alias("citation"))
-    values = values.unionByName(flags.select(*values.columns))
+    flags = kept(flags, "flags")
+    values = kept(values.unionByName(flags.select(*values.columns)), "field_value")
     gaps = gap_rows(companies, "entity_id", {c: c.removeprefix("needs_") for c in companies.columns if c.startswith("needs_")})
+    gaps = kept(gaps, "gap")
     named = entities.selectExpr("entity_id", "canonical_name name")
     part = lambda df: df.select("entity_id", "kind", F.col("confidence").cast("double").alias("confidence"))
     review = part(R.domain_pairs(entities.selectExpr("entity_id", "canonical_name name", "domain")).withColumn("kind", F.lit("merge_proposal")))
     for more in (line_wraps(named), groups(named), dual_listings(obs), V.jumps(V.transitions(obs)).withColumn("confidence", F.lit(None))):
         review = review.unionByName(part(more))
-    removals = review.limit(0)
     if external is not None:
-        removals = part(named.join(external.select("name").distinct(), "name", "left_anti").select("entity_id", F.lit("removal_proposal").alias("kind"), F.lit(0.5).alias("confidence")))
-        review = review.unionByName(removals)
+        review = review.unionByName(part(named.join(external.select("name").distinct(), "name", "left_anti").select("entity_id", F.lit("removal_proposal").alias("kind"), F.lit(0.5).alias("confidence"))))
+    review = kept(review, "review_item")
     tables = {"entity": entities, "alias": aliases, "meeting": meetings, "observation": obs, "field_value": values, "gap": gaps, "review_item": review}
     n = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
     lines = [
         n("entities", entities), n("aliases", aliases), n("meetings_held", meetings.filter("status = 'held'")), n("meetings_missing", meetings.filter("status <> 'held'")), n("observations", obs), n("field_values", values),
-        n("gap_rows", gaps), n("review_open", review), n("v2_removal_proposals", removals), n("predating_relationships_flagged", early),
-        *(n(label, found.filter(F.col("method") == method)) for label, method in (("resolved_exact", "exact"), ("resolved_normalised", "normalised"))),
+        n("gap_rows", gaps), n("review_open", review), n("v2_removal_proposals", review.filter("kind = 'removal_proposal'")), n("predating_relationships_flagged", flags),
+        *(methods.agg(F.coalesce(F.sum(F.when(F.col("method") == method, F.col("n"))), F.lit(0)).alias("n")).select(F.lit(label).alias("name"), "n") for label, method in (("resolved_exact", "exact"), ("resolved_normalised", "normalised"))),
         n("unresolved_slide_names", names.filter("method = 'unresolved'")),
     ]
     report = lines[0]
     for line in lines[1:]:
         report = report.unionByName(line)
-    return tables | {"report": report}
-
-
-def trends_report(obs: DataFrame, stages: DataFrame) -> dict[str, DataFrame]:
-    """The report's funnel sections by title, for markdown() (FLW5, RPT1-RPT4, RPTE)."""
-    from . import metrics as M
-
-    reached = M.current_and_reached(obs, stages)
-    discussion = V.entity_discussion(obs)
-    return {
-        "Funnel": reached,
-        "Conversion": M.conversion(reached),
-        "Intake": M.monthly_intake(obs),
-        "Time in stage": M.gap_statistics(V.date_transitions(obs)),
-        "Discussion": M.discussion_buckets(discussion),
-        "Discussion by month": M.monthly_volume(obs),
-        "Most discussed": discussion.select("entity_id", "times").orderBy(F.desc("times"), "entity_id").limit(10),
-    }
+    return tables | {"report": kept(report.coalesce(1), "report")}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources import stored as D
 from . import funnel as V
 
 RECENT_DAYS, SMALL_SAMPLE, LOW_COVERAGE = 56, 20, 0.3
@@ -43,6 +44,26 @@ def crosstab(rows: DataFrame, row: str, stage: str, stages: list[int], high: int
     return out.withColumn("deep", deep.cast("long")).withColumn("deep_share", X.percent(F.col("deep"), F.col("total")))
 
 
+def membership_table(rows: DataFrame, groups: str, thesis: str, theses: list[str], total: str = "_total_") -> DataFrame:
+    """Members of a list by another attribute, with a total for each group and a last row in which every company stands once (RPTD, AGG20). Rows by size, ties by the first company, the total last (SRT5, SRT6).
+
+    groups: a list in one text, parted by ';', of which repeats count once. Companies that lack either are left out.
+    """
+    members = F.array_distinct(F.filter(F.transform(F.split(groups, ";"), lambda g: F.trim(g)), lambda g: g != ""))
+    both = rows.filter(F.col(thesis).isNotNull()).withColumn("_m", members).filter(F.size("_m") > 0)
+    each = both.select("entity_id", thesis, F.explode(F.concat(F.col("_m"), F.array(F.lit(total)))).alias("group"))
+    out = each.groupBy("group").agg(*(F.count_if(F.col(thesis) == t).alias(t) for t in theses), F.count("*").alias("total"), F.min("entity_id").alias("_f"))
+    w = Window.orderBy((F.col("group") == total).cast("int"), F.desc("total"), "_f")  # a row for each group
+    return out.withColumn("place", F.row_number().over(w).cast("long")).drop("_f")
+
+
+def status_table(rows: DataFrame, status: str, stage: str, stages: list[int], none: str = "_no value_") -> DataFrame:
+    """Statuses by stage, the largest first, ties by the first company, those without a status last (RPTC, AGG20, SRT5). rows: (entity_id, ...)."""
+    out = crosstab(rows.withColumn(status, F.coalesce(status, F.lit(none))), status, stage, stages)
+    w = Window.orderBy((F.col(status) == none).cast("int"), F.desc("total"), "first_entity")  # a row for each status
+    return out.withColumn("place", F.row_number().over(w).cast("long")).drop("first_entity", "deep", "deep_share")
+
+
 def split_table(rows: DataFrame, value: str, furthest: str, high: int = 5) -> DataFrame:
     """A value's counts in two groups, explicit zeros, `_no value_` for none, with each group's size and a note on small ones (AGG21, DET15)."""
     r = rows.select(F.coalesce(value, F.lit("_no value_")).alias("value"), (F.col(furthest) >= high).alias("deep"))
@@ -67,17 +88,54 @@ def early_status(rows: DataFrame, early: list[str], high: int = 5) -> DataFrame:
     return rows.filter(F.col("status").isin(early) & (F.coalesce("furthest", F.lit(0)) >= high))
 
 
+def in_places(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows with their place in this order, from 1. Ranges of the order are sorted apart and written once; what stands before a range follows from the counts. The order should end in an id: equal rows are one range's work."""
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    spark, path = rows.sparkSession, D.scratch(rows.sparkSession, "places")
+    sorted_rows.withColumn("_at", F.monotonically_increasing_id()).write.parquet(f"{path}/rows")
+    held = spark.read.parquet(f"{path}/rows").withColumn("_p", F.shiftright("_at", 33))
+    n = held.groupBy(F.col("_p").alias("_np")).agg(F.count("*").alias("_n"))
+    before = n.withColumn("_before", F.sum("_n").over(Window.orderBy("_np")) - F.col("_n")).drop("_n")  # a row for each range
+    at = F.col("_at") - F.shiftleft(F.col("_p"), 33)
+    return held.join(F.broadcast(before), F.col("_p") == F.col("_np")).withColumn("place", F.col("_before") + at + 1).drop("_at", "_p", "_np", "_before")
+
+
+def contradiction_keys() -> list[Column]:
+    """Consistent ones last, the furthest first, of those the longest unseen first (SRT8)."""
+    return [(F.col("why") == "consistent").cast("int"), F.desc_nulls_last("furthest"), F.asc_nulls_last("last"), F.col("entity_id")]
+
+
 def contradiction_order(rows: DataFrame) -> DataFrame:
-    """Consistent ones last, the furthest first, of those the longest unseen first (SRT8). rows: (entity_id, why, furthest, last)."""
-    return rows.orderBy((F.col("why") == "consistent").cast("int"), F.desc_nulls_last("furthest"), F.asc_nulls_last("last"), "entity_id")
+    """rows: (entity_id, why, furthest, last)."""
+    return rows.orderBy(*contradiction_keys())
+
+
+def folder_keys() -> list[Column]:
+    """The furthest first, then by name (SRT11)."""
+    return [F.desc_nulls_last("furthest"), F.col("name"), F.col("entity_id")]
+
+
+def folderless(rows: DataFrame) -> DataFrame:
+    """Companies no folder was found for. rows: (entity_id, name, furthest, tier)."""
+    return rows.filter(F.coalesce("tier", F.lit("none")).isin("none", "ambiguous"))
 
 
 def without_folder(rows: DataFrame) -> DataFrame:
-    """Companies no folder was found for, the furthest first, then by name (SRT11). rows: (entity_id, name, furthest, tier)."""
-    return rows.filter(F.col("tier").isin("none", "ambiguous")).orderBy(F.desc_nulls_last("furthest"), "name", "entity_id")
+    """These in their order (SRT11)."""
+    return folderless(rows).orderBy(*folder_keys())
+
+
+def tags_in_use(current: DataFrame) -> DataFrame:
+    """(tag, companies): every tag that a current list holds, in one spelling, and who carries it (STR10). current: (entity_id, value_text).
+
+    Of a folded form the spelling of the smallest entity_id counts, and in its list the first. A tag that nobody carries any more isn't there.
+    """
+    each = current.select("entity_id", F.posexplode(X.tags(F.col("value_text"))).alias("pos", "tag"))
+    found = each.groupBy(X.fold(F.col("tag")).alias("k")).agg(F.min(F.struct("entity_id", "pos", "tag")).alias("first"), F.count_distinct("entity_id").alias("companies"))
+    return found.select(F.col("first.tag").alias("tag"), "companies", F.col("k").alias("folded"))
 
 
-#: What the report leaves out, and why (RPTN).
+#: What a whole report leaves out whatever is recorded, and why (RPTN); sections.report counts the fields that it doesn't split by.
 EXCLUSIONS = [("round size", "too few values to split by"), ("score fields", "free text marks, not a scale"), ("region", "follows from the country"), ("causes", "counts show what went together, not why")]
 
 

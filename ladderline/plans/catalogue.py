@@ -641,22 +641,42 @@ def q_coverage_report(s, d):
     return M.coverage_report(entities, values, S.GAP_FIELDS, {"deep-diligence": ("website", obs.filter("stage_id = 5")), "discussed": ("stage", obs.filter("is_bold = 1"))})
 
 
-@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS vocabulary, CAST(col0 AS VARCHAR) AS value FROM (VALUES {S.values_sql(n)})" for n in S.VOCABULARIES) + ")")
+_RAW = "CASE event_id % 5 WHEN 0 THEN 'HH' WHEN 1 THEN 'C' WHEN 2 THEN 'Deep Diligence' WHEN 3 THEN 'NewCo:' ELSE 'elsewhere' END"
+
+
+@query(f"SELECT event_id, v.col1 AS stage_name, v.col2 AS thesis FROM events e LEFT JOIN (VALUES {S.values_sql('section')}) v ON v.col0 = {_RAW}")
+def q_section_mapping(s, d):
+    rows = S.table(s, d, "events").selectExpr("event_id", f"{_RAW} raw_section")
+    return S.placed(rows, S.vocabulary(s, "section")).select("event_id", "stage_name", "thesis")
+
+_USED = f"SELECT stage_name AS value, count(*) AS n FROM obs JOIN stages USING (stage_id) GROUP BY 1 UNION ALL SELECT {_RAW}, count(*) FROM events GROUP BY 1"
+
+
+@query("SELECT vocabulary, v.value, coalesce(sum(n), 0)::BIGINT AS uses FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS vocabulary, CAST(col{1 if n == 'stage' else 0} AS VARCHAR) AS value FROM (VALUES {S.values_sql(n)})" for n in S.VOCABULARIES) + f") v LEFT JOIN ({_USED}) u ON u.value = v.value GROUP BY 1, 2")
 def q_vocabularies(s, d):
-    parts = [S.vocabulary(s, n).select(F.lit(n).alias("vocabulary"), F.col(S.VOCABULARIES[n][0].split(",")[0]).cast("string").alias("value")) for n in S.VOCABULARIES]
+    """Every value of every vocabulary with how often the log's stages and headings use it."""
+    parts = [S.vocabulary(s, n).select(F.lit(n).alias("vocabulary"), F.col(S.VOCABULARIES[n][0].split(",")[1 if n == "stage" else 0].strip()).cast("string").alias("value")) for n in S.VOCABULARIES]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    headings = S.table(s, d, "events").select(F.expr(_RAW).alias("value"))
+    stages = B.observations(s, d).join(F.broadcast(S.vocabulary(s, "stage")), "stage_id").select(F.col("stage_name").alias("value"))
+    used = headings.unionByName(stages).groupBy("value").agg(F.count("*").alias("n"))
+    return out.join(F.broadcast(used), "value", "left").groupBy("vocabulary", "value").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("uses"))  # values of sections and stages: bounded
 
 
-_RAW = "CASE event_id % 5 WHEN 0 THEN 'HH' WHEN 1 THEN 'C' WHEN 2 THEN 'Deep Diligence' WHEN 3 THEN 'NewCo:' ELSE 'elsewhere' END"
+_CELL_TEXT = "CASE WHEN doc_id % 4 = 0 THEN concat(chr(39), name) WHEN doc_id % 4 = 1 THEN concat('  ', name, ' ') WHEN doc_id % 4 = 2 AND length(name) % 3 = 0 THEN 'NaN' ELSE name END"
 
 
-@query(f"SELECT event_id, v.col1 AS stage_name, v.col2 AS thesis FROM events e LEFT JOIN (VALUES {S.values_sql('section')}) v ON v.col0 = {_RAW}")
-def q_section_mapping(s, d):
-    rows = S.table(s, d, "events").selectExpr("event_id", f"{_RAW} raw_section")
-    return S.placed(rows, S.vocabulary(s, "section")).select("event_id", "stage_name", "thesis")
+@query(f"SELECT doc_id, line, CASE WHEN upper(c) IN ('', 'NAN', 'NAT', 'NONE') THEN NULL ELSE c END AS cell FROM (SELECT doc_id, line, CASE WHEN starts_with(t, chr(39)) THEN trim(substr(t, 2), ' ') ELSE t END AS c FROM (SELECT doc_id, line, trim({_CELL_TEXT}, ' ') AS t FROM ({_WHOLE})))")
+def q_clean_cells(s, d):
+    return _whole(s, d).select("doc_id", "line", X.clean_cell(F.expr(_CELL_TEXT)).alias("cell"))
+
+
+@query("SELECT event_id, regexp_extract(t, 'Version:[ \\t]*([^ ]+)', 1) AS version FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'no such line' ELSE concat('Log ', event_type, ' Version: ', CAST(floor(value) AS INT), '.', user_id, ' and Version: 9') END AS t FROM events)")
+def q_versions(s, d):
+    text = F.expr("CASE WHEN event_id % 3 = 0 THEN 'no such line' ELSE concat('Log ', event_type, ' Version: ', cast(floor(value) as int), '.', user_id, ' and Version: 9') END")
+    return S.table(s, d, "events").select("event_id", S.version_of(text).alias("version"))
 
 
 CTE["asks"] = "SELECT c_custkey AS ask_id, CASE WHEN c_custkey % 7 = 0 THEN 'Customer Twin' ELSE c_name END AS name, CASE WHEN c_custkey % 9 = 0 THEN NULL WHEN c_custkey % 17 = 0 THEN 'twin.com' ELSE lower(replace(c_name, '#', '-')) || '.com' END AS domain, CASE WHEN c_custkey % 9 = 0 THEN 'no domain' WHEN c_custkey % 11 = 0 THEN 'source not allowed' WHEN c_custkey % 13 = 0 THEN 'not a number' END AS fault FROM customer"
@@ -787,12 +807,17 @@ _COUNTS = {
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS name, ({q}) AS n" for n, q in _COUNTS.items()))
 def q_load_flow(s, d):
+    return load_tables(s, d)["report"]
+
+
+def load_tables(s, d):
+    """The load over customers and orders."""
     c, o = S.table(s, d, "customer"), S.table(s, d, "orders")
     companies = c.selectExpr("c_custkey entity_id", "c_name name", "concat('https://', c_custkey, '.com') website", "concat(c_name, ' one|', c_name) variants", "CASE WHEN c_custkey % 3 = 0 THEN '01/02/1990' ELSE '2030-01-01' END first_meeting", "c_custkey % 2 = 0 needs_website", "c_custkey % 3 = 0 needs_owner_name")
     name = "CASE WHEN o_orderkey % 13 = 0 THEN concat('nobody ', o_orderkey % 50) WHEN o_orderkey % 4 = 0 THEN concat(upper(c_name), '!') ELSE c_name END name"
     history = o.join(c, F.col("c_custkey") == F.col("o_custkey")).selectExpr("o_orderkey observation_id", "cast(o_orderdate as date) meeting_date", name, "6 - cast(substring(o_orderpriority, 1, 1) as int) stage_id", "0 is_bold", "1 slide_page")
     cells = c.selectExpr("c_custkey entity_id", "'website' field", "CASE WHEN c_custkey % 2 = 0 THEN 'w.com' ELSE 'UNKNOWN' END value_text", "false enriched", "cast(null as string) citation", "cast(null as string) group_source")
-    return I.load(companies, history, cells, c.filter("c_custkey % 100 <> 0").selectExpr("c_name name"))["report"]
+    return I.load(companies, history, cells, c.filter("c_custkey % 100 <> 0").selectExpr("c_name name"))
 
 
 @query("SELECT doc_id AS entity_id, 'website' AS field, CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END AS value_text, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 <> 0 THEN 'Public' ELSE 'Affinity' END AS source, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 <> 0 THEN 'c' || doc_id END AS citation FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, 'working_group', lang, CASE WHEN doc_id % 5 = 0 THEN 'Slides' ELSE 'Affinity' END, NULL FROM documents WHERE doc_id % 5 <> 1")
@@ -838,3 +863,6 @@ def q_folder_coverage(s, d):
 @query(f"SELECT name, count(*) AS n FROM (WITH al AS ({_ALIASES}), seen AS ({_SEEN}) SELECT s.name FROM seen s WHERE s.name NOT IN (SELECT alias_text FROM al) AND {_LOW.format(x='s.name')} NOT IN (SELECT {_LOW.format(x='alias_text')} FROM al GROUP BY 1 HAVING count(DISTINCT entity_id) = 1)) GROUP BY 1")
 def q_first_appearances(s, d):
     return I.first_appearances(q_alias_resolution(s, d))
+
+
+from . import reporting, storage  # noqa: E402,F401  register their queries here

@@ -58,3 +58,27 @@ def ladder_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def page_domains(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", "url", X.domain_of(F.col("url")).alias("domain"))
+
+
+#: The cohort's attributes as SQL that Spark and DuckDB read alike.
+COHORT = {
+    "region": "CASE WHEN c_mktsegment <> 'HOUSEHOLD' THEN concat('R', CAST(n_regionkey AS VARCHAR(9))) END", "country": "CASE WHEN c_acctbal >= 0 THEN n_name END",
+    "country_gap": "CASE WHEN c_acctbal < -500 THEN 'not_checked' WHEN c_acctbal < -200 THEN 'confirmed_unavailable' END",
+    "round": "CASE WHEN c_acctbal < 0 THEN NULL WHEN c_acctbal < 2000 THEN 'Preseed' WHEN c_acctbal < 4000 THEN 'Seed' WHEN c_acctbal < 6000 THEN 'Series A' WHEN c_acctbal < 8000 THEN 'Series B' WHEN c_acctbal < 9000 THEN 'Series C' ELSE 'Bridge' END",
+    "thesis": "CASE c_mktsegment WHEN 'BUILDING' THEN 'Human Health' WHEN 'MACHINERY' THEN 'Autonomous Systems' WHEN 'AUTOMOBILE' THEN 'Energy & Climate' WHEN 'FURNITURE' THEN 'AI for Science' END",
+    "groups": "CASE WHEN c_acctbal < 1000 THEN NULL WHEN c_mktsegment = 'BUILDING' THEN 'Health; Systems;' WHEN c_acctbal < 5000 THEN 'Climate' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'Climate;AI for Science; Climate' ELSE 'Systems' END",
+    "interest": "CASE WHEN c_acctbal > 7000 THEN '1. Very High' WHEN c_acctbal > 5000 THEN '3. Moderate' WHEN c_acctbal > 4000 THEN 'ask again' END",
+    "score_team": "CASE WHEN n_regionkey = 1 THEN '+++' WHEN n_regionkey = 2 THEN '+' END", "score_tech": "CASE WHEN c_acctbal > 9500 THEN '++' END", "score_oppt": "CASE WHEN c_mktsegment = 'BUILDING' THEN '+' WHEN n_regionkey > 2 THEN '++' END",
+    "status": "CASE WHEN c_acctbal < 500 THEN NULL WHEN c_acctbal < 2500 THEN 'Pass' WHEN c_acctbal < 3500 THEN 'Loss' WHEN c_acctbal < 5000 THEN 'Pre-Screen' ELSE 'Active' END",
+    "tier": "CASE WHEN n_regionkey = 0 THEN 'exact' WHEN n_regionkey = 1 THEN 'ambiguous' WHEN n_regionkey = 2 THEN 'suffix' END", "channel": "CAST(NULL AS VARCHAR(9))", "owner": "CASE WHEN c_acctbal > 3000 THEN c_name END",
+}
+
+
+def cohort(spark: SparkSession, d: str) -> DataFrame:
+    """The facts of the report's companies over orders and customers; stages 3 to 7."""
+    from ..operators import sections
+
+    log = orders_log(spark, d).withColumn("stage_id", F.col("stage_id") + 2)
+    nations = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    companies = table(spark, d, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    return sections.facts(log, companies.selectExpr("c_custkey entity_id", "c_name name", *(f"{e} {n}" for n, e in COHORT.items())))

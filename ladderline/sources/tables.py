@@ -100,10 +100,16 @@ def version_of(text: F.Column) -> F.Column:
 
 
 def append(df: DataFrame, path: str) -> None:
-    """Evidence is appended only (SNK1)."""
+    """Adds files to a folder; stored.Log is the table with commits."""
     df.write.mode("append").parquet(path)
 
 
+def conform(df: DataFrame, schema: str) -> DataFrame:
+    """The rows in a declared schema: its columns, cast and in its order; missing ones are null (SRC4)."""
+    declared = df.sparkSession.createDataFrame([], schema).schema
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in declared))
+
+
 def first_wins(df: DataFrame, key: list[str], order: list[str], held: DataFrame | None = None) -> DataFrame:
     """Rows to insert: the first of each key that is not held yet; keys with a null are never equal (SNK2, T4)."""
     whole = df.filter(" and ".join(f"{k} is not null" for k in key))
