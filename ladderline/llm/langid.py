@@ -19,6 +19,7 @@ name. An empty table gives no rows; without labelled rows nothing is accepted.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -106,21 +107,77 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> TextModel:
     return TextModel(languages, np.log(counts / counts.sum(axis=0)) if languages else counts)
 
 
-#: Where markup states its language, tried in this order.
-_STATED = (r"(?is)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*[\x22']?\s*([a-z]{2,3})", r"(?is)<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\x22']?\s*([a-z]{2,3})")
-_UNSEEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>|&#?[a-z0-9]+;"
+#: What markup hides: an opener, and what ends it. A comment's marks may not overlap.
+_HIDDEN = tuple((re.compile(o, re.I | re.A), re.compile(c, re.I | re.A)) for o, c in ((r"<script\b", r"</script\s*>"), (r"<style\b", r"</style\s*>"), ("<!--", "-->")))
+_MARK = re.compile("<|&#?[a-z0-9]+;", re.I | re.A)
+#: Where markup states its language, tried in this order: a tag, and patterns that follow each other inside it.
+_STATED = tuple((re.compile(t, re.I | re.A), tuple(re.compile(p, re.I | re.A) for p in inside)) for t, inside in ((r"<html\b", (r"\s(?:xml:)?lang\s*=\s*[\x22']?\s*([a-z]{2,3})",)), (r"<meta\b", ("content-language", r"content\s*=\s*[\x22']?\s*([a-z]{2,3})"))))
+
+
+def visible(html: str) -> str:
+    """The text without scripts, styles, comments, tags and entities, a gap for each. An opener that is never ended hides nothing, and after the first of a kind no end of it is looked for again: the work is linear."""
+    out, at, ended = [], 0, [True] * len(_HIDDEN)
+    tags = True
+    while (m := _MARK.search(html, at)) is not None:
+        start, end = m.start(), m.end() if m.group() != "<" else -1
+        if end < 0:
+            for k, (opener, closer) in enumerate(_HIDDEN):
+                if ended[k] and (o := opener.match(html, start)):
+                    c = closer.search(html, o.end())
+                    ended[k], end = c is not None, c.end() if c else -1
+                    break
+            if end < 0 and tags:
+                end = html.find(">", start + 1) + 1 or -1
+                tags = end > 0
+        out.append(html[at : start if end > 0 else start + 1])
+        if end > 0:
+            out.append(" ")
+        at = end if end > 0 else start + 1
+    out.append(html[at:])
+    return "".join(out)
+
+
+def stated_language(html: str) -> str | None:
+    """The language that the markup declares. What no opener of a tag finds up to the tag's end, no later one before that end finds: each stretch is searched once."""
+    for opener, inside in _STATED:
+        at = 0
+        while (m := opener.search(html, at)) is not None:
+            stop = html.find(">", m.end())
+            stop = len(html) if stop < 0 else stop
+            place, found = m.end(), None
+            for pattern in inside:
+                found = pattern.search(html, place, stop)
+                if found is None:
+                    break
+                place = found.end()
+            if found is not None:
+                return found.group(1).lower()
+            at = stop
+    return None
 
 
 def of_markup(pages: DataFrame, keep: list[str]) -> DataFrame:
     """The columns of keep, with the visible text of the column html, the language it declares, and its url."""
-    stated = [F.nullif(F.lower(F.regexp_extract("html", p, 1)), F.lit("")) for p in _STATED]
-    return pages.select(*keep, F.regexp_replace("html", _UNSEEN, " ").alias("text"), F.coalesce(*stated).alias("declared"), "url")
+    kept = pages.select(*(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)), F.col("url").alias("url"), F.col("html").cast("string").alias("html"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.drop("html").schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, said = [], []
+            for html in batch.column("html"):
+                html = html.as_py()
+                texts.append(None if html is None else visible(html))
+                said.append(None if html is None else stated_language(html))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(said, pa.string())], [*batch.schema.names[:-1], "text", "declared"])
+
+    out = kept.mapInArrow(shared.tidy(run), f"{fields}, text string, declared string")
+    return out.select(*(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)), "text", "declared", "url")
 
 
 def suffix_of(address: Column) -> Column:
     """The last label of an address' host, if it has one that looks like a suffix."""
     host = F.regexp_replace(F.lower(address), "^[a-z][a-z0-9+.-]*://|[/?#:].*$", "")
-    return F.nullif(F.regexp_extract(host, r"\.([a-z]{2,3})$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(host, r"\.([a-z]{2,24})$", 1), F.lit(""))
 
 
 def _smoothed(counts: np.ndarray) -> np.ndarray:
@@ -155,7 +212,7 @@ def gather(rows: DataFrame, model: TextModel) -> Evidence:
     counted = rows.mapInArrow(shared.tidy(run), "host string, suffix string, declared string, k int").groupBy("host", "suffix", "declared", "k").count()
     counted = shared.written(counted, "evidence")
 
-    def by(name: str) -> dict[str, np.ndarray]:  # bounded: two or three letters
+    def by(name: str) -> dict[str, np.ndarray]:  # a row for each suffix and each code of a language
         out: dict[str, np.ndarray] = {}
         for r in counted.filter(f"{name} is not null").groupBy(name, "k").agg(F.sum("count").alias("n")).collect():
             out.setdefault(r[0], np.zeros(size))[r["k"]] = r["n"]

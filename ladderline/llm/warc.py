@@ -12,8 +12,8 @@ place among equal rows of that archive, and revisits name the id of a record tha
 Reading: records of a file are parsed as a stream. Segments are grouped by their origin's record
 id, whatever file they are in, ordered by segment number, checked against the total length of the
 last one, and joined; chunked framing is then decoded. A repeated segment counts once; a record
-with a segment missing, a wrong total or another digest than it states is given with complete =
-false and no payload.
+with a segment missing, a wrong total, broken framing or another digest than it states, or that the end
+of its archive cuts off, is given with complete = false and no payload, and all others are whole.
 
 Null html: an empty payload. Null url: the page is named by its id. Null page_id: always a response
 of its own. Repeated rows: each is a record, of any size, and equal rows with the smallest id are all
@@ -23,7 +23,6 @@ responses. Other columns are ignored. An empty table writes no archive and gives
 from __future__ import annotations
 
 import functools
-import gzip
 import hashlib
 import io
 import itertools
@@ -75,6 +74,8 @@ def unchunked(framed: bytes) -> bytes:
     while True:
         line = framed.index(b"\r\n", at)
         n = int(framed[at:line].split(b";")[0], 16)
+        if n < 0:
+            raise ValueError("a chunk of negative length")
         if n == 0:
             return b"".join(out)
         out.append(framed[line + 2 : line + 2 + n])
@@ -89,6 +90,19 @@ def payload(block: bytes) -> bytes:
     return unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
+_NOTHING = {"digest": None, "payload_bytes": None}
+
+
+def checked(block: bytes, stated: str | None) -> dict:
+    """Digest and size of a response's payload; both None if its framing is broken or the digest isn't the stated one."""
+    try:
+        body = payload(block)
+    except ValueError:
+        return _NOTHING
+    found = hashlib.sha256(body).hexdigest()
+    return {"digest": found, "payload_bytes": len(body)} if stated in (None, "", found) else _NOTHING
+
+
 def record_id(page_id: int | None, digest: str, archive: str, nth: int = 0, segment: int = 1) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{digest}/{archive}/{nth}/{segment}')}>"
 
@@ -192,31 +206,64 @@ def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT) -> lis
     return sorted(r["path"] for d in done for r in d.filter("path is not null").select("path").collect())
 
 
+#: The header that parse() adds to a record that the end of the archive cuts off.
+CUT = "cut"
+
+
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of each record of an opened archive, compressed or not."""
+    """(headers by lower-case name, block) of each record of an opened archive, compressed or not. Where the archive ends within a record or its compression breaks, that is the last one, with what there is of its block and the header CUT."""
     start = stream.read(2)
     whole = io.BufferedReader(_Joined(start, stream), 1 << 20)
-    source = gzip.GzipFile(fileobj=whole) if start == b"\x1f\x8b" else whole
-    source = io.BufferedReader(source, 1 << 18)
+    source = io.BufferedReader(_Inflated(whole), 1 << 18) if start == b"\x1f\x8b" else whole
     while True:
-        line = source.readline()
-        if not line:
+        first = source.readline()
+        if not first:
             return
-        if not line.strip():
+        if not first.strip():
             continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"no record begins with {line[:40]!r}")
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"no record begins with {first[:40]!r}")
         headers: dict[str, str] = {}
-        while (line := source.readline()).strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
+        while (one := source.readline()).strip():
+            name, _, value = one.decode("utf-8", "replace").partition(":")
             headers[name.strip().lower()] = value.strip()
-        size = int(headers["content-length"])
-        block = source.read(size)
-        if len(block) < size:
-            raise ValueError("the archive ends within a record")
+        size = int(headers["content-length"]) if headers.get("content-length", "").isdecimal() else -1
+        block = source.read(size) if size > 0 else b""
+        if len(block) < size or size < 0 or not one:
+            if headers.get("warc-record-id"):
+                yield headers | {CUT: "1"}, block
+            return
         yield headers, block
 
 
+class _Inflated(io.RawIOBase):
+    """The content of gzip members one after another, as far as they can be read: a cut or broken one ends it with what came out of it so far."""
+
+    def __init__(self, source):
+        self.source, self.member, self.rest = source, zlib.decompressobj(31), b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while self.member is not None:
+            self.rest = self.rest or self.source.read(1 << 16)
+            if not self.rest:
+                return 0
+            try:
+                out = self.member.decompress(self.rest, len(buffer))
+            except zlib.error:
+                self.member = None
+                return 0
+            self.rest = self.member.unused_data if self.member.eof else self.member.unconsumed_tail
+            if self.member.eof:
+                self.member = zlib.decompressobj(31)
+            if out:
+                buffer[: len(out)] = out
+                return len(out)
+        return 0
+
+
 class _Joined(io.RawIOBase):
     def __init__(self, start: bytes, rest):
         self.start, self.rest = start, rest
@@ -243,7 +290,7 @@ def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
         for path in (p for b in batches for p in b.column("path").to_pylist()):
             store, at = shared.filesystem(path)
             rows, held = [], 0
-            with store.open_input_stream(at) as f:
+            with store.open_input_stream(at, compression=None) as f:
                 for h, block in parse(f):
                     kind = h.get("warc-type")
                     page = int(h["page-id"]) if "page-id" in h else None
@@ -255,11 +302,7 @@ def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
                         row |= {"kind": "segment", "refers": h.get("warc-segment-origin-id", row["record_id"]), "segment": int(h["warc-segment-number"]), "total": int(total) if total else None, "block": block}
                         held += len(block)
                     elif kind == "response":
-                        body = payload(block)
-                        found = hashlib.sha256(body).hexdigest()
-                        if row["digest"] and row["digest"] != found:
-                            raise ValueError(f"{path}: {row['record_id']} has the digest {found}")
-                        row |= {"kind": "whole", "digest": found, "payload_bytes": len(body)}
+                        row |= {"kind": "whole"} | (_NOTHING if CUT in h else checked(block, row["digest"]))
                     else:
                         continue
                     rows.append(row)
@@ -288,10 +331,8 @@ def reassembled(segments: DataFrame) -> DataFrame:
                 parts = {p["segment"]: p["block"] for p in row["parts"]}
                 block = b"".join(parts[k] for k in sorted(parts))
                 good = sorted(parts) == list(range(1, len(parts) + 1)) and len(block) == row["total"]
-                body = payload(block) if good else b""
-                found = hashlib.sha256(body).hexdigest()
-                good = good and row["digest"] in (None, "", found)
-                rows.append({"record_id": row["refers"], "page_id": row["page_id"], "digest": found if good else None, "payload_bytes": len(body) if good else None, "complete": good})
+                found = checked(block, row["digest"]) if good else _NOTHING
+                rows.append({"record_id": row["refers"], "page_id": row["page_id"], **found, "complete": found["digest"] is not None})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     parts = F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts")
@@ -302,7 +343,7 @@ def reassembled(segments: DataFrame) -> DataFrame:
 def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
     """A row per page: (page_id, payload_bytes, payload_digest, record_type, refers_to, complete)."""
     found = shared.written(read_records(spark, paths), "records")
-    whole = found.filter("kind = 'whole'").selectExpr("record_id", "page_id", "digest", "payload_bytes", "true complete")
+    whole = found.filter("kind = 'whole'").selectExpr("record_id", "page_id", "digest", "payload_bytes", "digest is not null complete")
     responses = whole.unionByName(reassembled(found.filter("kind = 'segment'")))
     responses = shared.written(responses, "responses")
     revisits = found.filter("kind = 'revisit'").selectExpr("refers record_id", "page_id", "digest")
