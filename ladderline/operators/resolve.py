@@ -97,13 +97,15 @@ def match_ladder(query: DataFrame, target: DataFrame) -> DataFrame:
     found = met.select("qid", tier.alias("t"), "pos", "rid", "name", "other")
     every = query.selectExpr("qid", "9 t", "cast(null as int) pos", "cast(null as long) rid", "cast(null as string) name", "cast(null as string) other")
     every = found.unionByName(every.select(F.col("qid"), "t", F.col("pos").cast(found.schema["pos"].dataType).alias("pos"), F.col("rid").cast(found.schema["rid"].dataType).alias("rid"), "name", "other"))
-    # both groupings are served by one shuffle on qid
-    g = every.repartition("qid").groupBy("qid", "t").agg(F.collect_set("other").alias("others"), F.min_by("rid", "pos").alias("near"), F.array_sort(F.collect_set("name")).alias("names"))
-    best = g.groupBy("qid").agg(F.min(F.struct("t", F.size("others").alias("n"), "near", "names")).alias("b"))
-    one = (F.col("b.t") < 3) | (F.col("b.n") == 1)
+    # the least tier is taken first, by a window that spills, and names are gathered only where they are told;
+    # window and grouping are served by one shuffle on qid
+    least = every.withColumn("least", F.min("t").over(Window.partitionBy("qid"))).filter("t = least")
+    names = F.array_sort(F.collect_set(F.when(F.col("t").isin(3, 4), F.col("name"))))
+    best = least.groupBy("qid", "t").agg((F.min("other") == F.max("other")).alias("single"), F.min_by("rid", "pos").alias("near"), names.alias("names"))
+    one = (F.col("t") < 3) | F.coalesce("single", F.lit(False))
     named = F.create_map(*(F.lit(x) for kv in _TIERS.items() for x in kv))
-    verdict = F.when(F.col("b.t") == 9, "none").when(one, named[F.col("b.t")]).otherwise("ambiguous")
-    return best.select("qid", verdict.alias("tier"), F.when(one, F.col("b.near")).alias("rid"), F.when((F.col("b.t") < 9) & ~one, F.array_join("b.names", "|")).alias("candidates"))
+    verdict = F.when(F.col("t") == 9, "none").when(one, named[F.col("t")]).otherwise("ambiguous")
+    return best.select("qid", verdict.alias("tier"), F.when(one, F.col("near")).alias("rid"), F.when((F.col("t") < 9) & ~one, F.array_join("names", "|")).alias("candidates"))
 
 
 def reach(folders: DataFrame, companies: DataFrame, records: DataFrame) -> dict[str, DataFrame]:
