@@ -12,8 +12,8 @@ from a memory map without a copy. A file has two different masks at most, so the
 is padded (mask false). A second Arrow file beside it gives each document's place.
 
 Null text: as an empty text, so the end id alone. Null doc_id: kept, before all others. Repeated
-rows and tied ids: each row is a document; ties stand in any order, and so many of them that they
-make more than a part are dealt to several. Other columns are ignored. An
+rows and tied ids: each row is a document; ties stand in the order of a hash of their text and may be dealt
+to several parts, rows that are equal in both stand together. Other columns are ignored. An
 empty table writes no files and gives no rows.
 """
 
@@ -162,7 +162,9 @@ MANIFEST = "part int, path string, n_docs long, n_tokens long"
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, sequence: int = SEQUENCE, batch: int = BATCH) -> list[dict]:
     """Writes the documents in ascending doc_id; gives a row per file (part, path, n_docs, n_tokens), in order.
 
-    One range shuffle of the texts, so that parts follow one another; each task writes its own files
+    One range shuffle of the texts, so that parts follow one another. Rows that share an id are ordered
+    by a hash of their text, so a repeated task sends each row where it went before, whatever the order
+    it reads them in. Each task writes its own files
     under a name of their own and renames them, so lost and repeated tasks do no harm.
     """
     from tokenizers import Tokenizer
@@ -221,8 +223,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         shared.publish(folder, f"part-{part:06d}.index.arrow", put_index)
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "n_docs": [len(doc_ids)], "n_tokens": [sum(sizes)]})
 
-    salted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.rand(7).alias("salt"))  # the same in a repeated task
-    ordered = salted.repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt").drop("salt")
+    tied = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    ordered = tied.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     return sorted((r.asDict() for r in ordered.mapInArrow(shared.tidy(write), MANIFEST).collect()), key=lambda r: r["part"])
 
 

@@ -6,10 +6,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ladderline.llm import decontaminate, jaccard, langid, lines, packing, pii, quality, queries, shared, tokens, toxicity, warc
+from ladderline.llm import kernel as K
 
 from .conftest import WORD
 
@@ -327,6 +329,63 @@ def test_redaction_of_overlapping_spans(spark):
     assert got == {1: "write [EMAIL] now please", 2: "", 3: "[IP]"}
 
 
+def features_of(text, learned, n_toxic, n_other):
+    """The features of one text, byte by byte and word by word."""
+    isalnum = lambda b: chr(b).isalnum() and b < 128 or b > 127
+    isletter = lambda b: isalnum(b) and not 48 <= b <= 57
+    fold = lambda bs: bytes(b + 32 if 65 <= b <= 90 else b for b in bs)
+    leet = dict(zip(b"0134578@$", b"oieastbas", strict=True))
+    sets = {k: {w.encode() for w in v} for k, v in (("insult", toxicity.INSULTS), ("threat", toxicity.THREATS), ("profanity", toxicity.PROFANITY), ("you", toxicity.YOU))}
+    cut = sets["insult"] | sets["profanity"] | {(w[:i] + w[i + 1 :]).encode() for w in toxicity.INSULTS + toxicity.PROFANITY if len(w) > 4 for i in range(1, len(w) - 1)}
+    data = text.encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    plain = [fold(b for b in w if isletter(b)) for w in words]
+    n, size = max(1, len(words)), max(1, len(data))
+    mixed, hidden, stretched, shouted = [], [], [], []
+    for w, p in zip(words, plain, strict=True):
+        at = [i for i, b in enumerate(w) if isletter(b)]
+        mixed.append(bool(at) and any(not isletter(b) for b in w[at[0] : at[-1]]))
+        seen = bytes(leet.get(b, b) for b in fold(b for b in w if isletter(b) or b in leet))
+        hidden.append(mixed[-1] and p not in sets["insult"] and (seen in sets["insult"] or p in cut))
+        stretched.append(any(w[i] == w[i + 1] == w[i + 2] and isletter(w[i]) for i in range(len(w) - 2)))
+        ascii_letters = re.findall(rb"[A-Za-z]", w)
+        shouted.append(len(ascii_letters) > 2 and all(c.isupper() for c in ascii_letters))
+    bad = [p in sets["insult"] or h for p, h in zip(plain, hidden, strict=True)]
+    you = [i for i, p in enumerate(plain) if p in sets["you"]]
+    near = sum(b and any(abs(i - j) <= toxicity.NEAR for j in you) for i, b in enumerate(bad))
+    odds = {w: np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_other + 1)) for w, (a, b) in learned.items() if a >= toxicity.LEARNED_ROWS - 1}
+    odds = {w: o for w, o in odds.items() if o >= toxicity.LEARNED_ODDS}
+    hits = [p for p in plain if p in odds]
+    letters = sum(map(isletter, data))
+    return [np.log1p(len(words)), sum(bad), sum(bad) / n, len({p for p in plain if p in sets["insult"]}), sum(p in sets["threat"] for p in plain) / n, sum(p in sets["profanity"] for p in plain) / n, near, len(you) / n, sum(65 <= b <= 90 for b in data) / max(1, letters), sum(shouted) / n, sum(not isalnum(b) and b not in b" \t\n\v\f\r" for b in data) / size, data.count(b"!") / size, sum(mixed) / n, sum(hidden), sum(stretched) / n, len(set(hits)), len(hits) / n, sum(odds[w] for w in set(hits)), max((odds[w] for w in hits), default=0)]
+
+
+def test_toxicity_features_by_brute_force(documents):
+    """Every feature by a second way, over texts side by side in one batch, so that none leaks into its neighbour."""
+    made = ["you aa", "a idiot", "", "  \n", "YOU are an 1d10t, a m.o.r.o.n and a l-o-s-e-r!!", "sooo STUPID ... you", "you one two three four five idiot", "you one two three four idiot", "ÉÉÉ Imbécile dégueulasse tú", "m0ron id1ot $cum @sshole f4ilure", "x" * 5000 + "! " * 3, "7 88 999 $$$ ---", "KILL them, kill THEM. hAte", "idiot idiot moron you", "qwzx qwzx zork", "you"]
+    texts = made + [r["text"] or "" for r in documents.select("text").collect()]
+    learned = {b"qwzx": (9, 0), b"zork": (3, 40), b"idiot": (30, 1), b"the": (50, 50), b"rare": (2, 0)}
+    lexicon = toxicity.Lexicon(np.array([K.word_hash(w) for w in learned], np.uint64), *(np.array([v[i] for v in learned.values()]) for i in (0, 1)), 60, 90)
+    rows = []
+    for _, data, offsets in K.slices(pa.array(texts, pa.string())):
+        rows.extend(toxicity.features(data, offsets, lexicon))
+    assert len(rows) == len(texts)
+    for text, got in zip(texts, rows, strict=True):
+        want = features_of(text, learned, 60, 90)
+        assert np.allclose(got, want), (text[:80], [(k, g, w) for k, g, w in zip(toxicity.NAMES, got, want, strict=True) if not np.isclose(g, w)])
+
+
+def test_token_files_of_rows_that_share_an_id(spark):
+    """Texts of one id are written in an order of their own, not in the order in which they are read."""
+    rows = [(k % 3 if k % 5 else None, f"text {k % 11} of its own " * (k % 4)) for k in range(200)]
+    made = []
+    for n, given in enumerate((rows, rows[::-1], rows[70:] + rows[:70])):
+        df = spark.createDataFrame(given, "doc_id long, text string").repartition(n + 1)
+        manifest = tokens.write_token_files(df, shared.new_folder(spark, "tied"), queries.vocabulary("word_bpe_49k.json"), 1)
+        made.append(sorted(tuple(r) for r in tokens.read_token_files(spark, manifest).select("start", "n_tokens", "ids_crc32").collect()))
+    assert made[0] == made[1] == made[2] and len(made[0]) == 200
+
+
 def test_toxicity_on_the_held_out_third(spark):
     folder = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in queries.op5_toxicity(spark, folder).collect()}
