@@ -16,8 +16,8 @@ In a short list the pairs are counted, and only those stay that share as many pr
 between sets of their sizes must. The documents of a longer list, and of such pairs, form a family,
 named by the smallest of them, or by that of a family with a smaller name which one of them stands
 in too. A family's documents are
-compared in blocks: a large family is split into pairs of blocks, each a task's work, and only each
-document's count of links and a spanning forest of the links come back, never the pairs. Components
+compared in blocks: a large family's blocks are written once and compared in pairs, each a task's work,
+and only each document's count of links and a spanning forest of the links come back, never the pairs. Components
 are then found by star contraction over written tables.
 
 Null and empty texts have empty sets, no links, and a component of their own. Repeated rows: a row
@@ -36,7 +36,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
@@ -51,6 +51,8 @@ FILTER_BITS = 26
 #: Sets of a block at most, by expectation, and shingles of a block; a family is cut into FEW blocks if each has LEAST_SETS.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
 FEW, LEAST_SETS = 8, 256
+#: Tasks at most over which the pairs of blocks are dealt.
+MOST_TASKS = 4096
 #: Documents of a list up to which its pairs are counted one by one; longer lists make families at once.
 SHORT_LIST = 8
 #: No boundary beyond this size is tried: a set of 16 has some thousand subsets.
@@ -243,33 +245,87 @@ def compare_block(pivot: int, same: bool, ids: np.ndarray, left: np.ndarray, set
     return links, root
 
 
+def _links(key: tuple[int, int, int], held: list[tuple]) -> pa.RecordBatch:
+    """(doc_id, links, root) of the rows (b, member, weight, families, x) of the blocks i and j of a family, key: (pivot, i, j)."""
+    held = list({(r[1], r[4]): r for r in held}.values())  # repeated rows of a document
+    held.sort(key=lambda r: (r[1], r[4]))
+    ids = np.array([r[1] for r in held], np.int64)
+    sets = [np.frombuffer(r[4], U) for r in held]
+    links, root = compare_block(key[0], key[1] == key[2], ids, np.array([r[0] == key[1] for r in held]), sets, np.array([r[2] for r in held], np.int64), [r[3] for r in held])
+    use = (links > 0) | (root != ids)
+    return pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array(links[use]), pa.array(root[use])], ["doc_id", "links", "root"])
+
+
+_HELD = ["b", "member", "weight", "families", "x"]
+
+
+def _rows(batch: pa.RecordBatch) -> list[tuple]:
+    return list(zip(*(batch.column(c).to_pylist() for c in _HELD), strict=True))
+
+
 def _compared(rows: DataFrame) -> DataFrame:
-    """(doc_id, links, root) from rows (pivot, i, j, b, member, weight, families, x), a group of (pivot, i, j) at a time."""
-    schema = "doc_id long, links long, root long"
-
-    def finish(key, held: list[tuple]) -> pa.RecordBatch | None:
-        held = list({(r[1], r[4]): r for r in held}.values())  # repeated rows of a document
-        held.sort(key=lambda r: (r[1], r[4]))
-        ids = np.array([r[1] for r in held], np.int64)
-        sets = [np.frombuffer(r[4], U) for r in held]
-        links, root = compare_block(key[0], key[1] == key[2], ids, np.array([r[0] == key[1] for r in held]), sets, np.array([r[2] for r in held], np.int64), [r[3] for r in held])
-        use = (links > 0) | (root != ids)
-        return pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array(links[use]), pa.array(root[use])], ["doc_id", "links", "root"]) if use.any() else None
+    """(doc_id, links, root) from rows (pivot, b, g, member, weight, families, x).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A family of one block is compared where its rows meet. The blocks of a larger one are written once, a
+    file each, and every pair of blocks reads its two: sets are shuffled once, however many pairs there are.
+    """
+    folder = shared.new_folder(rows.sparkSession, "blocks")
+    schema = "doc_id long, links long, root long, pivot long, b int, path string"
+
+    def finish(key: tuple[int, int, int], held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        pivot, b, g = key
+        if g == 1:
+            out = _links((pivot, 0, 0), [r for batch in held for r in _rows(batch)])
+            none = pa.nulls(out.num_rows, pa.int64())
+            return pa.RecordBatch.from_arrays([*out.columns, none, none.cast(pa.int32()), none.cast(pa.string())], ["doc_id", "links", "root", "pivot", "b", "path"])
+
+        def put(out) -> None:
+            with pa.ipc.new_file(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as sink:
+                for batch in held:
+                    sink.write_batch(batch)
+
+        path = shared.publish(folder, f"{pivot}-{b}.arrow", put)
+        none = pa.nulls(1, pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, pa.array([pivot]), pa.array([b], pa.int32()), pa.array([path])], ["doc_id", "links", "root", "pivot", "b", "path"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("pivot", "i", "j", "b", "member", "weight", "families")]
-            for k, (p, i, j, *rest) in enumerate(zip(*cols, strict=True)):
-                if key != (p, i, j):
-                    if held and (out := finish(key, held)) is not None:
-                        yield out
-                    key, held = (p, i, j), []
-                held.append((*rest, batch.column("x")[k].as_py()))
-        if held and (out := finish(key, held)) is not None:
-            yield out
-
-    return rows.mapInArrow(shared.tidy(run), schema)
+            cols = [batch.column(c).to_numpy() for c in ("pivot", "b", "g")]
+            edges = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+            for lo, hi in itertools.pairwise([0, *edges.tolist(), batch.num_rows]):
+                if lo == hi:
+                    continue
+                if key != (now := tuple(int(c[lo]) for c in cols)):
+                    if held:
+                        yield finish(key, held)
+                    key, held = now, []
+                held.append(batch.slice(lo, hi - lo).select(_HELD))
+        if held:
+            yield finish(key, held)
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                held: list[tuple] = []
+                for path in dict.fromkeys((row["one"], row["two"])):
+                    store, at = shared.filesystem(path)
+                    with store.open_input_file(at) as f, pa.ipc.open_file(f) as file:
+                        for k in range(file.num_record_batches):
+                            held += _rows(file.get_batch(k))
+                yield _links((row["pivot"], row["i"], row["j"]), held)
+
+    met = shared.written(rows.repartition("pivot", "b").sortWithinPartitions("pivot", "b").mapInArrow(shared.tidy(meet), schema), "blocks")
+    files = met.filter("path is not null")
+    pairs = files.selectExpr("pivot", "b i", "path one").join(files.selectExpr("pivot", "b j", "path two"), "pivot").filter("i <= j")
+    pairs = shared.written(pairs, "pairs")
+    found, n = met.filter("path is null").select("doc_id", "links", "root"), pairs.count()
+    if not n:
+        return found
+    pairs = pairs.repartition(min(n, MOST_TASKS), "pivot", "i", "j")  # a number, as small rows would be gathered in one task
+    found = shared.written(found.unionByName(pairs.mapInArrow(shared.tidy(pair), "doc_id long, links long, root long")), "links")
+    shared.forget(folder)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -316,12 +372,12 @@ def _linked(docs: DataFrame) -> DataFrame:
                 at = np.searchsorted(row[order], np.arange(len(ptr))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.ListArray.from_arrays(pa.array(at), pa.array(_bits(found[order])))], ["doc_id", "keys"])
 
-    # written once: it is read for the lists' sizes and again for their members
-    entries = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(shared.tidy(keys), "doc_id long, keys array<long>")
-    entries = shared.written(entries, "signatures").selectExpr("doc_id", "explode(keys) key")
-    lists = entries.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count("*").alias("c")).filter("pivot < last").drop("last")
+    # lists are counted and their members told after one shuffle of the keys
+    entries = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(shared.tidy(keys), "doc_id long, keys array<long>").selectExpr("doc_id", "explode(keys) key")
+    same = Window.partitionBy("key")
+    lists = entries.select("doc_id", "key", F.min("doc_id").over(same).alias("pivot"), F.max("doc_id").over(same).alias("last"), F.count("*").over(same).alias("c")).filter("pivot < last").drop("last")
     known = reps.selectExpr("node member", "copies weight", "n", "slot")
-    met = shared.written(entries.join(lists, "key").withColumnRenamed("doc_id", "member").join(known.select("member", "n"), "member"), "lists")
+    met = shared.written(lists.withColumnRenamed("doc_id", "member").join(known.select("member", "n"), "member"), "lists")
     long = met.filter(f"c > {SHORT_LIST}").select("pivot", "member").distinct()
     # a short list's pairs are counted: two documents that share no long list share all their common
     # prefix keys here, and beyond the prefix that ends first a link has no more than its size allows
@@ -350,9 +406,8 @@ def _linked(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), x], ["member", "x"])
 
     own = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(shared.tidy(full_sets), "member long, x binary")
-    blocks = place.join(own, "member").selectExpr("pivot", "member", "weight", "families", "x", "g", "cast(pmod(xxhash64(member), g) as int) b")
-    blocks = blocks.selectExpr("*", "explode(sequence(0, g - 1)) o").selectExpr("pivot", "least(b, o) i", "greatest(b, o) j", "b", "member", "weight", "families", "x")
-    compared = shared.written(_compared(blocks.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")), "links")
+    blocks = place.join(own, "member").selectExpr("pivot", "cast(pmod(xxhash64(member), g) as int) b", "g", "member", "weight", "families", "x")
+    compared = _compared(blocks)
     found = components(compared.filter("root <> doc_id").selectExpr("doc_id u", "root v"))
     counts = compared.groupBy("doc_id").agg(F.sum("links").alias("links"))
     found, counts = found.withColumnRenamed("doc_id", "node").withColumnRenamed("component", "group"), counts.withColumnRenamed("doc_id", "node")

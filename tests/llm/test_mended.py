@@ -191,3 +191,15 @@ def test_near_duplicate_stage_removes_what_the_join_links(spark, data):
     kept = {r["doc_id"] for r in pipeline.near_duplicates(spark, docs, data).collect()}
     assert sum(len(g) - 1 for g in groups.values()) > 0
     assert kept == {min(g) for g in groups.values()}
+
+
+def test_blocks_of_a_family_are_shuffled_once(spark, monkeypatch):
+    """A family of many blocks: each set goes to its block once, not once for every pair of blocks, and no link is lost."""
+    words = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join([*words[:55], f"x{i}", *words[55:]])) for i in range(40)] + [(100 + i, f"one of {i} others with words of its own {i}") for i in range(5)]
+    monkeypatch.setattr(jaccard, "LEAST_SETS", 4)
+    given, compared = [], jaccard._compared
+    monkeypatch.setattr(jaccard, "_compared", lambda df: given.append(df.count()) or compared(df))
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (0, 39) if i < 40 else (i, 0) for i, _ in rows}
+    assert given == [40]
