@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
 
@@ -73,30 +77,61 @@ def target_keys(target: DataFrame) -> DataFrame:
 _TIERS = {1: "exact", 2: "alias", 3: "suffix", 4: "prefix"}
 
 
-def _probes(rows: DataFrame, forward: str, backward: str) -> DataFrame:
-    """What a key is looked up by: itself, its stem, and for the prefix tier its beginnings in one direction and itself in the other."""
-    begins = f"CASE WHEN length(key) >= {MIN_PREFIX} THEN transform(sequence({MIN_PREFIX}, length(key)), n -> named_struct('kind', '{forward}', 'probe', left(key, n))) END"
-    own = "named_struct('kind', 'key', 'probe', key), named_struct('kind', 'stem', 'probe', stem)"
-    whole = f"CASE WHEN length(key) >= {MIN_PREFIX} THEN array(named_struct('kind', '{backward}', 'probe', key)) END"
-    none = "cast(array() as array<struct<kind: string, probe: string>>)"
-    return rows.withColumn("x", F.explode(F.expr(f"concat(array({own}), coalesce({begins}, {none}), coalesce({whole}, {none}))"))).select("*", "x.kind", "x.probe").drop("x", "stem")
+def _begun(rows: DataFrame) -> DataFrame:
+    """(qid, pos, rid, name, other): targets whose key begins with the query's or is a beginning of it, of at least MIN_PREFIX characters, but for queries whose own key is a target's.
+
+    rows: (asks, key, qid, pos, rid, name), asks false for targets. Keys that begin one another share their first
+    MIN_PREFIX characters and stand one after another in order, so one walk holds the chain of a key's beginnings.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain: list[tuple[str, list, list]] = []  # (key, its targets, its queries), each a beginning of the next
+        for batch in batches:
+            met: list[tuple] = []
+            for asks, key, qid, pos, rid, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                while chain and not key.startswith(chain[-1][0]):
+                    chain.pop()
+                if not chain or chain[-1][0] != key:
+                    chain.append((key, [], []))
+                _, targets, queries = chain[-1]
+                if asks:  # a key's targets stand before its queries
+                    if not targets:
+                        queries.append((qid, pos))
+                        met += [(qid, pos, *t, k) for k, ts, _ in chain[:-1] for t in ts]
+                else:
+                    targets.append((rid, name))
+                    met += [(*q, rid, name, key) for _, _, qs in chain[:-1] for q in qs]
+                if len(met) >= 10_000:
+                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, m, strict=True)) for m in met], schema)
+                    met = []
+            if met:
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, m, strict=True)) for m in met], schema)
+
+    out = rows.select("qid", "pos", "rid", "name", F.col("key").alias("other")).schema
+    schema = to_arrow_schema(out)
+    near = rows.filter(F.length("key") >= MIN_PREFIX).withColumn("begin", F.left("key", F.lit(MIN_PREFIX)))
+    near = near.repartition("begin").sortWithinPartitions("key", "asks").select("asks", "key", "qid", "pos", "rid", "name")
+    return near.mapInArrow(walk, out)
 
 
 def match_ladder(query: DataFrame, target: DataFrame) -> DataFrame:
     """(qid, tier, rid, candidates): exact, alias, suffix, prefix, ambiguous or none (JN15, T11, T12). query: (qid, pos, name).
 
-    All tiers are one equality join: a key meets keys, stems, and keys that are beginnings of one
-    another, which are looked up among exploded beginnings. A query keeps its least tier; ambiguity
-    counts keys.
+    Keys and stems meet by equality; beginnings are found in the order of keys, with a row for each name.
+    A query keeps its least tier; ambiguity counts keys.
     """
-    keys = target_keys(target).withColumnsRenamed({"key": "other"}).selectExpr("rid", "name", "canonical", "other", "other key", "stem")
+    keys = target_keys(target).withColumnRenamed("key", "other").select("rid", "name", "canonical", "other", "stem")
     q = query.withColumn("key", X.match_key(F.col("name"))).filter("key <> ''")
     q = q.withColumn("first", F.col("pos") == F.min("pos").over(Window.partitionBy("qid"))).select("qid", "pos", "first", "key", X.stem(F.col("key")).alias("stem"))
-    met = _probes(q, "begins", "begun").drop("key").join(_probes(keys, "begun", "begins").drop("key"), ["kind", "probe"])
-    tier = F.when(F.col("kind") == "stem", 3).when(F.col("kind") != "key", 4).when(F.col("first") & F.col("canonical"), 1).otherwise(2)
+    probes = lambda rows, key: rows.withColumn("x", F.expr(f"explode(array(named_struct('kind', 'key', 'probe', {key}), named_struct('kind', 'stem', 'probe', stem)))")).select("*", "x.kind", "x.probe").drop("x", "stem", "key")
+    told = [F.when(F.col("kind") == "stem", F.col(c)).alias(c) for c in ("name", "other")]  # of the other tiers only the record is told
+    met = probes(q, "key").join(probes(keys, "other").select("rid", "canonical", "kind", "probe", *told), ["kind", "probe"])
+    tier = F.when(F.col("kind") == "stem", 3).when(F.col("first") & F.col("canonical"), 1).otherwise(2)
     found = met.select("qid", tier.alias("t"), "pos", "rid", "name", "other")
-    every = query.selectExpr("qid", "9 t", "cast(null as int) pos", "cast(null as long) rid", "cast(null as string) name", "cast(null as string) other")
-    every = found.unionByName(every.select(F.col("qid"), "t", F.col("pos").cast(found.schema["pos"].dataType).alias("pos"), F.col("rid").cast(found.schema["rid"].dataType).alias("rid"), "name", "other"))
+    sides = keys.selectExpr("false asks", "other key", "rid", "name").unionByName(q.selectExpr("true asks", "key", "qid", "pos"), allowMissingColumns=True)
+    found = found.unionByName(_begun(sides.select("asks", "key", "qid", "pos", "rid", "name")).withColumn("t", F.lit(4)))
+    every = query.select("qid", F.lit(9).alias("t"))
+    every = found.unionByName(every, allowMissingColumns=True)
     # the least tier is taken first, by a window that spills, and names are gathered only where they are told;
     # window and grouping are served by one shuffle on qid
     least = every.withColumn("least", F.min("t").over(Window.partitionBy("qid"))).filter("t = least")

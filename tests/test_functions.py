@@ -258,3 +258,17 @@ def test_line_queries_take_whole_texts(spark, data):
     folded = lambda t: re.sub("[^a-z0-9]+", " ", unicodedata.normalize("NFKD", t).lower()).strip()
     got = {r["doc_id"]: r["norm"] for r in catalogue.QUERIES["name_norm_nfkd"](spark, data).collect()}
     assert got == {i: folded(t) for i, t in texts.items()}
+
+
+def test_ladder_has_a_row_for_a_name_however_long(spark):
+    """Beginnings are found in the order of keys: a name isn't looked up once for every length of it."""
+    from ladderline.operators import resolve
+
+    long = "x".join("abcdefghij" * 20)
+    query = spark.createDataFrame([(1, 0, long + " and more"), (2, 0, long[:100]), (3, 0, "another name"), (4, 0, "anoth"), (5, 0, long[:9])], "qid long, pos int, name string")
+    target = spark.createDataFrame([(10, long, True, 1), (11, "another name too", True, 2), (12, long[:50], True, 3)], "rid long, name string, canonical boolean, seq long")
+    out = resolve.match_ladder(query, target)
+    got = {r["qid"]: (r["tier"], r["rid"], r["candidates"]) for r in out.collect()}
+    both = "|".join([long[:50], long])
+    assert got == {1: ("ambiguous", None, both), 2: ("ambiguous", None, both), 3: ("prefix", 11, None), 4: ("none", None, None), 5: ("ambiguous", None, both)}
+    assert "sequence(8" not in out._jdf.queryExecution().optimizedPlan().toString()
