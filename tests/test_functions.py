@@ -272,3 +272,15 @@ def test_ladder_has_a_row_for_a_name_however_long(spark):
     both = "|".join([long[:50], long])
     assert got == {1: ("ambiguous", None, both), 2: ("ambiguous", None, both), 3: ("prefix", 11, None), 4: ("none", None, None), 5: ("ambiguous", None, both)}
     assert "sequence(8" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_duplicates_are_never_grouped(spark):
+    """Rows that share an id are one ask or one entity, a pair stands once with its best reason, and pairs aren't shuffled."""
+    from ladderline.operators import resolve
+
+    asked = spark.createDataFrame([(1, "A", "x.com"), (1, "b ", "y.com"), (2, "c", None)], "ask_id long, name string, domain string")
+    entities = spark.createDataFrame([(7, "a", "x.com"), (7, "B", "y.com"), (8, "other", "x.com"), (9, "more", "y.com"), (9, "more", "y.com")], "entity_id long, canonical_name string, domain string")
+    aliases = spark.createDataFrame([("B", 9), ("C", 8), ("c", 8)], "alias_text string, entity_id long")
+    out = resolve.find_duplicates(asked, entities, aliases)
+    assert sorted(map(tuple, out.collect())) == [(1, 7, "name"), (1, 8, "domain"), (1, 9, "alias"), (2, 8, "alias")]
+    assert not out._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
