@@ -284,3 +284,13 @@ def test_pairs_of_duplicates_are_never_grouped(spark):
     out = resolve.find_duplicates(asked, entities, aliases)
     assert sorted(map(tuple, out.collect())) == [(1, 7, "name"), (1, 8, "domain"), (1, 9, "alias"), (2, 8, "alias")]
     assert not out._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+
+
+def test_folding_looks_at_rare_letters_only_where_there_are_any(spark):
+    from ladderline.functions import text as X
+
+    df = spark.createDataFrame([("Plain TEXT",), ("STRASSE straße ẞ",), ("ΟΔΟΣ ς ſ",), ("b,\tB , ß,SS,  a  c ",)], "x string")
+    got = df.select(X.fold(F.col("x")).alias("f"), X.tags(F.col("x")).alias("t"))
+    assert [r["f"] for r in got.collect()] == ["plain text", "strasse strasse ss", "οδοσ σ s", "b,\tb , ss,ss,  a  c "]
+    assert got.collect()[3]["t"] == ["a c", "b", "ß"]
+    assert "octet_length" in got._jdf.queryExecution().optimizedPlan().toString()
