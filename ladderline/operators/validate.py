@@ -119,9 +119,13 @@ def add_companies(asked: DataFrame, entities: DataFrame, aliases: DataFrame, all
     firsts = lambda c: sound.groupBy(c).agg(F.min("ask_id").alias("target_ask"))
     met = [sound.join(firsts(c), c).filter("ask_id > target_ask").select("ask_id", F.lit(None).cast("long").alias("target_id"), F.col("target_ask").cast("long").alias("target_ask"), F.lit(on).alias("matched_on")) for c, on in (("k", "name"), ("domain", "domain"))]
     twins = held.unionByName(met[0]).unionByName(met[1]).groupBy("ask_id", "target_id", "target_ask").agg(F.max("matched_on").alias("matched_on"))
-    judged = rows.join(twins.select("ask_id").distinct().withColumn("twin", F.lit(True)), "ask_id", "left")
-    judged = judged.withColumn("fault", F.coalesce("fault", F.when(F.col("twin") & F.lit(not allow), "duplicate")))
+    judged = rows
+    if not allow:
+        judged = rows.join(twins.select("ask_id").distinct().withColumn("twin", F.lit(True)), "ask_id", "left")
+        judged = judged.withColumn("fault", F.coalesce("fault", F.when(F.col("twin"), "duplicate")))
     good = judged.filter("fault is null")
+    # doubles are of sound rows, all of which are accepted where doubles are allowed, and none otherwise
+    filed = twins.filter("ask_id is not null") if allow else twins.limit(0)
     cells = good.select("ask_id", "source", F.col("website"), F.col("m.value").cast("string").alias("round_size_usd"), F.array_join(X.tags(F.col("tags")), ", ").alias("tags")).unpivot(["ask_id", "source"], ["website", "round_size_usd", "tags"], "field", "value_text").filter("value_text is not null and (field <> 'tags' or value_text <> '')")
     spelled = S.first_wins(good.selectExpr("ask_id", "name alias_text"), ["alias_text"], ["ask_id"], aliases)
     return {
@@ -130,7 +134,7 @@ def add_companies(asked: DataFrame, entities: DataFrame, aliases: DataFrame, all
         "values": cells,
         "gaps": good.select("ask_id", F.explode(F.array(*map(F.lit, S.GAP_FIELDS))).alias("field")).join(cells.select("ask_id", "field"), ["ask_id", "field"], "left_anti").withColumn("state", F.lit("not_checked")),
         "aliases": spelled.select("ask_id", "alias_text", X.norm_name(F.col("alias_text")).alias("alias_norm"), F.lit("manual").alias("match_method"), F.lit(1.0).alias("confidence")),
-        "proposals": good.select("ask_id").join(twins, "ask_id").select("ask_id", "target_id", "target_ask", "matched_on", F.lit("merge_proposal").alias("kind")),
+        "proposals": filed.select("ask_id", "target_id", "target_ask", "matched_on", F.lit("merge_proposal").alias("kind")),
     }
 
 
