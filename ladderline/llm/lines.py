@@ -9,7 +9,12 @@ documents fall under it. Such lines stay in the first document that has the temp
 the smallest doc_id, and are dropped from all others. A line of fewer than MIN_WORDS words is a
 template without wildcards, and recurs if it stands in SHORT_ROWS rows and two documents.
 
-Every step is an aggregation or an equality join over distinct masked lines, so neither a line that
+With every, each line names a template, not only the earliest of a run: a line falls under any line of
+its leaf of which SIMILAR of the places agree. The earliest of a run is tried first; lines that it
+doesn't settle are compared with all others of the run that come before what they fall under so far,
+in pairs of blocks: bounded memory, quadratic only in lines that no earliest line settles.
+
+Every other step is an aggregation or an equality join over distinct masked lines, so neither a line that
 a third of all documents have nor a leaf or run with very many lines is one task's work, and the
 result doesn't depend on how the rows are dealt.
 
@@ -23,6 +28,7 @@ follows the text. An empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -40,6 +46,8 @@ SHORT_ROWS = 4
 FILTER_BITS = 26
 #: Bytes of templates' words that may be broadcast; measured before.
 BROADCAST_BYTES = 16 << 20
+#: Lines of a block, and bytes of their words, by expectation.
+BLOCK_LINES, BLOCK_BYTES = 4096, 8 << 20
 U = np.uint64
 _MASK = U(0x3C6EF372FE94F82B)
 _DIGIT = np.zeros(256, bool)
@@ -129,22 +137,79 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(shared.tidy(run), "leaf long, line long, top long")
 
 
-def templates(kinds: DataFrame) -> DataFrame:
+def _earlier(cells: DataFrame) -> DataFrame:
+    """(leaf, line, earliest) from rows (run, i, j, ask, leaf, line, at, words): of each cell, asking lines with the least at of the others they agree with, if that is below their own."""
+
+    def finish(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        ask, at = rows["ask"].to_numpy(), rows["at"].to_numpy()
+        words = [np.frombuffer(v.as_buffer(), np.uint32) for v in rows["words"]]
+        found = np.full(len(ask), np.iinfo(np.int64).max)
+        for n in {len(w) for w in words}:
+            size = np.array([len(w) == n for w in words])
+            others, asking = np.flatnonzero(size & ~ask), np.flatnonzero(size & ask)
+            if len(others) and len(asking):
+                table = np.stack([words[k] for k in others])
+                for k in asking:
+                    good = (table == words[k]).sum(1) >= SIMILAR * n - 1e-9
+                    found[k] = at[others[good]].min(initial=found[k])
+        good = pa.array(ask & (found < at))
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in (rows["leaf"].filter(good), rows["line"].filter(good), pa.chunked_array([found]).filter(good))], ["leaf", "line", "earliest"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            cols = [batch.column(c).to_numpy() for c in ("run", "i", "j")]
+            edges = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+            for lo, hi in itertools.pairwise([0, *edges.tolist(), batch.num_rows]):
+                if lo == hi:
+                    continue
+                if key != (now := tuple(int(c[lo]) for c in cols)):
+                    if held:
+                        yield finish(held)
+                    key, held = now, []
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield finish(held)
+
+    return cells.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j").mapInArrow(shared.tidy(meet), "leaf long, line long, earliest long")
+
+
+def _unsettled(kinds: DataFrame, hits: DataFrame, under: DataFrame) -> DataFrame:
+    """(leaf, line, earliest): what under lacks, as the earliest line of a run does not agree. hits: written rows (run, leaf, line, first, top, low), low being the first document of the run's earliest line."""
+    asks = hits.join(under, ["leaf", "line"], "left").withColumn("at", F.least("first", "earliest")).filter("at > low")
+    asks = shared.written(asks.selectExpr("run", "leaf", "line", "at", "true ask"), "asks")
+    until = shared.bounded(shared.written(asks.groupBy("run").agg(F.max("at").alias("until")), "until"))
+    others = hits.join(until, "run").filter("first < until").selectExpr("run", "leaf", "line", "first at", "false ask")
+    rows = shared.written(asks.unionByName(others).join(kinds.select("leaf", "line", "words"), ["leaf", "line"]), "unsettled")
+    sizes = rows.groupBy("run").agg(F.count_if("ask").alias("a"), F.count_if(~F.col("ask")).alias("o"), F.max(F.octet_length("words")).alias("w")).filter("a > 0 and o > 0")
+    per = f"greatest(1, least({BLOCK_LINES}, {BLOCK_BYTES} div w))"
+    sizes = shared.written(sizes.selectExpr("run", f"cast(ceil(a / {per}) as long) a", f"cast(ceil(o / {per}) as long) o"), "sizes")
+    cells = rows.join(shared.bounded(sizes), "run").withColumn("own", F.expr("pmod(xxhash64(line), if(ask, a, o))")).withColumn("other", F.expr("explode(sequence(0L, if(ask, o, a) - 1))"))
+    return _earlier(cells.selectExpr("run", "if(ask, own, other) i", "if(ask, other, own) j", "ask", "leaf", "line", "at", "words"))
+
+
+def templates(kinds: DataFrame, every: bool = False) -> DataFrame:
     """(leaf, line, earliest): for lines that fall under other lines' templates, the first document of the earliest. kinds: written rows (leaf, line, first, words)."""
     runs = shared.written(_runs(kinds.select("leaf", "line", "first", "words")), "runs")
-    tops = runs.groupBy("run").agg(F.min(F.struct("first", "line")).alias("top"), F.count("*").alias("c")).filter("c > 1").selectExpr("run", "top.line top")
-    met = runs.join(shared.bounded(shared.written(tops, "tops")), "run").filter("line <> top").select("leaf", "line", "top").distinct()
-    met = shared.written(met, "met")
+    tops = runs.groupBy("run").agg(F.min(F.struct("first", "line")).alias("top"), F.count("*").alias("c")).filter("c > 1").selectExpr("run", "top.line top", "top.first low")
+    hits = runs.join(shared.bounded(shared.written(tops, "tops")), "run").filter("line <> top")
+    hits = shared.written(hits, "hits") if every else hits
+    met = shared.written(hits.select("leaf", "line", "top").distinct(), "met")
     named = kinds.join(met.selectExpr("leaf", "top line").distinct(), ["leaf", "line"], "left_semi")
     named = shared.written(named.selectExpr("leaf", "line top", "words top_words", "first earliest"), "named")
     size = named.agg(F.sum(F.octet_length("top_words") + 64)).first()[0] or 0
     named = F.broadcast(named) if size <= BROADCAST_BYTES else named
     pairs = met.join(kinds.select("leaf", "line", "words"), ["leaf", "line"]).join(named.drop("earliest"), ["leaf", "top"])
     under = _agreeing(pairs.select("leaf", "line", "words", "top", "top_words")).join(named.drop("top_words"), ["leaf", "top"])
-    return under.groupBy("leaf", "line").agg(F.min("earliest").alias("earliest"))
+    under = under.groupBy("leaf", "line").agg(F.min("earliest").alias("earliest"))
+    if not every:
+        return under
+    under = shared.written(under, "under")
+    return under.unionByName(_unsettled(kinds, hits, under)).groupBy("leaf", "line").agg(F.min("earliest").alias("earliest"))
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, every: bool = False) -> DataFrame:
     """(doc_id, drop): for each document that has any, the hashes of its lines to drop."""
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
 
@@ -177,7 +242,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     found = shared.written(found.join(stats.select("leaf", "mixed"), "leaf"), "lines")
     kinds = found.groupBy("leaf", "line", "mixed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("words").alias("words"))
     kinds = shared.written(kinds, "kinds")
-    under = templates(kinds.filter("mixed").select("leaf", "line", "first", "words"))
+    under = templates(kinds.filter("mixed").select("leaf", "line", "first", "words"), every)
     owned = kinds.select("leaf", "line", "first", "last").join(under, ["leaf", "line"], "left")
     owned = owned.selectExpr("leaf", "line", "least(first, earliest) owner", "last").filter("owner < last").drop("last")
     owned = shared.bounded(shared.written(owned, "owned"))
@@ -188,9 +253,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 RESULT = ["n_lines", "n_dropped", "n_words", "words_dropped", "text"]
 
 
-def _rewritten(docs: DataFrame, keep: list[str]) -> DataFrame:
+def _rewritten(docs: DataFrame, keep: list[str], every: bool) -> DataFrame:
     """The columns of keep as k0, k1 and so on, and those of RESULT."""
-    drops = repeated_lines(docs).withColumnRenamed("doc_id", "_id")
+    drops = repeated_lines(docs, every).withColumnRenamed("doc_id", "_id")
     kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     rows = docs.select(*kept, F.col("text"), F.col("doc_id").cast("long").alias("_own")).join(drops, F.col("_own") == F.col("_id"), "left").drop("_id", "_own")
     fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.select(*(f"k{i}" for i in range(len(keep)))).schema.fields)
@@ -220,16 +285,16 @@ def _rewritten(docs: DataFrame, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(shared.tidy(run), f"{fields}n_lines long, n_dropped long, n_words long, words_dropped long, text string")
 
 
-def deduplicated(docs: DataFrame, keep: list[str]) -> DataFrame:
+def deduplicated(docs: DataFrame, keep: list[str], every: bool = False) -> DataFrame:
     """The columns of keep, with n_lines, n_dropped, n_words, words_dropped and the text without the lines dropped; these replace columns of the same name."""
     keep = [c for c in keep if c not in RESULT]
-    return _rewritten(docs, keep).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *RESULT)
+    return _rewritten(docs, keep, every).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *RESULT)
 
 
-def clean(docs: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, every: bool = False) -> DataFrame:
     """The documents' own columns with repeated lines dropped; documents go that have no word left of those they had."""
     keep = [c for c in docs.columns if c != "text"]
-    out = _rewritten(docs, keep).filter("words_dropped = 0 or words_dropped < n_words")
+    out = _rewritten(docs, keep, every).filter("words_dropped = 0 or words_dropped < n_words")
     column = {c: F.col(f"k{i}") for i, c in enumerate(keep)} | {"text": F.col("text")}
     if "n_chars" in column:
         column["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(column["n_chars"])

@@ -24,7 +24,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.deduplicated(table(spark, sf_dir, "documents"), ["doc_id"])
+    return lines.deduplicated(table(spark, sf_dir, "documents"), ["doc_id"], every=True)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
