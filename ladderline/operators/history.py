@@ -25,12 +25,15 @@ def shown(text, number, is_zero):
 
 
 def fill_calendar(dates: DataFrame, by: str, max_gap: int = MAX_GAP) -> DataFrame:
-    """Weekly dates missing in gaps of over max_gap days (WIN6, T14). dates: distinct (by, meeting_date)."""
+    """Weekly dates missing in gaps of over max_gap days (WIN6, T14). dates: (by, meeting_date); repeated ones are gaps of 0 days.
+
+    The last date filled is over three days before the next one held, so none of them is held already.
+    """
     w = Window.partitionBy(by).orderBy("meeting_date")
     gaps = dates.withColumn("next", F.lead("meeting_date").over(w)).withColumn("gap", F.datediff("next", "meeting_date"))
     gaps = gaps.withColumn("upper", (F.bround(F.col("gap") / 7, 0) - 1).cast("int")).filter((F.col("gap") > max_gap) & (F.col("upper") >= 1))
     rows = gaps.select(by, "meeting_date", F.explode(F.sequence(F.lit(1), "upper")).alias("k"))
-    return rows.select(by, F.expr("date_add(meeting_date, 7 * k)").alias("meeting_date")).join(dates, [by, "meeting_date"], "left_anti")
+    return rows.select(by, F.expr("date_add(meeting_date, 7 * k)").alias("meeting_date"))
 
 
 def calendar_index(obs: DataFrame) -> DataFrame:

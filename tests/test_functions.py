@@ -294,3 +294,18 @@ def test_folding_looks_at_rare_letters_only_where_there_are_any(spark):
     assert [r["f"] for r in got.collect()] == ["plain text", "strasse strasse ss", "οδοσ σ s", "b,\tb , ss,ss,  a  c "]
     assert got.collect()[3]["t"] == ["a c", "b", "ß"]
     assert "octet_length" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_calendar_is_filled_without_a_join(spark):
+    """Gaps of 8 days and fewer stay, repeated and null dates fill nothing, and one shuffle of the dates is all there is."""
+    import datetime as dt
+
+    from ladderline.operators import history as H
+
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
+    held = {1: [0, 0, 8, 17, 17, 17, 28], 2: [0, 10, 21, 46], 3: [5], None: [0, 14]}
+    rows = [(k, day(n)) for k, v in held.items() for n in v] + [(1, None), (3, None)]
+    out = H.fill_calendar(spark.createDataFrame(rows, "entity_id long, meeting_date date"), "entity_id")
+    assert sorted(((r[0] or 0), (r[1] - day(0)).days) for r in out.collect()) == [(0, 7), (1, 24), (2, 17), (2, 28), (2, 35), (2, 42)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") <= 2  # once in each of the two plans shown
