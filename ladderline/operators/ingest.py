@@ -103,9 +103,10 @@ def load(companies: DataFrame, history: DataFrame, cells: DataFrame, external: D
     aliases = kept(S.first_wins(spelled, ["alias_text"], ["pos", "entity_id"]).select("alias_text", X.norm_name(F.col("alias_text")).alias("alias_norm"), "entity_id"), "alias")
     dates = history.select(F.lit(1).alias("one"), "meeting_date").distinct()
     meetings = kept(dates.select("meeting_date", F.lit("held").alias("status")).unionByName(H.fill_calendar(dates, "one").select("meeting_date", F.lit("not_held").alias("status"))), "meeting")
-    names = kept(R.resolve_aliases(history.select("name").distinct().selectExpr("name row_id", "name"), aliases).select("name", "entity_id", "method"), "resolution")
+    seen = kept(history.groupBy("name").agg(F.count("*").alias("n")), "spelling")
+    names = kept(R.resolve_aliases(seen.selectExpr("name row_id", "name"), aliases).select("name", "entity_id", "method"), "resolution")
+    methods = kept(names.join(seen, "name").groupBy("method").agg(F.sum("n").alias("n")), "methods")
     found = history.join(names, "name")
-    methods = kept(found.groupBy("method").agg(F.count("*").alias("n")), "methods")
     obs = kept(S.first_wins(found.filter("method <> 'unresolved'").drop("method"), ["meeting_date", "entity_id", "name", "stage_id"], ["observation_id"]), "observation")
     values = attributed(cells)
     funnel = obs.groupBy("entity_id").agg(F.min("meeting_date").alias("first_seen"))
