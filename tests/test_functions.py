@@ -309,3 +309,36 @@ def test_calendar_is_filled_without_a_join(spark):
     assert sorted(((r[0] or 0), (r[1] - day(0)).days) for r in out.collect()) == [(0, 7), (1, 24), (2, 17), (2, 28), (2, 35), (2, 42)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") <= 2  # once in each of the two plans shown
+
+
+def test_ladder_deals_each_name_once_and_equals_brute_force(spark):
+    """Keys, stems and beginnings are met after one dealing of names, without a join; only what is met is dealt again."""
+    import itertools
+    import random
+
+    from ladderline.operators import resolve
+
+    rnd = random.Random(5)
+    words = ["acme", "the", "Group", "inc", "biolo", "biologics", "Labs", "énergie", "x", "systematic", "systems"]
+    made = [" ".join(w) for n in (1, 2, 3) for w in itertools.product(words, repeat=n)]
+    query = [(rnd.randrange(400), rnd.randrange(3) * 1000 + i, rnd.choice(made) + rnd.choice(["", "", "!", "s", " and"])) for i in range(900)] + [(900, 0, ""), (901, 0, None), (902, 0, "!"), (902, 1, "Acme Inc")]
+    target = [(i, rnd.choice(made) + rnd.choice(["", ".", "e"]), rnd.random() < 0.7, i % 50) for i in range(150)] + [(500, "Acme (Inc)", False, 1), (501, "...", True, 0), (502, None, True, 0)]
+    q = spark.createDataFrame(query, "qid long, pos int, name string").withColumn("key", F.coalesce(X.match_key(F.col("name")), F.lit("")))
+    t = spark.createDataFrame(target, "rid long, name string, canonical boolean, seq long").withColumn("key", X.match_key(F.col("name"))).filter("key <> ''")
+    keyed = [sorted(map(tuple, d.withColumn("stem", X.stem(F.col("key"))).collect()), key=str) for d in (q, t)]
+    records = {}
+    for rid, name, canonical, seq, key, stem in keyed[1]:
+        records[key] = min(records.get(key, (True, 99, 0, "", "")), (not canonical, seq, rid, name, stem))
+    want = {}
+    for qid in {r[0] for r in query}:
+        own = sorted((pos, key, stem) for i, pos, _, key, stem in keyed[0] if i == qid and key)
+        found = [(1 if pos == own[0][0] and not records[key][0] else 2, pos, records[key][2:4]) for pos, key, _ in own if key in records]
+        found += [(3, pos, r[2:4]) for pos, _, stem in own for r in records.values() if r[4] == stem]
+        found += [(4, pos, r[2:4]) for pos, key, _ in own for k, r in records.items() if min(len(k), len(key)) >= 8 and (k.startswith(key) or key.startswith(k))]
+        least = sorted((pos, *r) for tier, pos, r in found if tier == min(found)[0])
+        tier, names = min(found, default=(0,))[0], sorted({r[2] for r in least})
+        want[qid] = ("none", None, None) if not tier else ("ambiguous", None, "|".join(names)) if tier > 2 and len(names) > 1 else (["exact", "alias", "suffix", "prefix"][tier - 1], least[0][1], None)
+    out = resolve.match_ladder(q.drop("key"), t.drop("key").unionByName(spark.createDataFrame(target[-2:], "rid long, name string, canonical boolean, seq long")))
+    assert {r["qid"]: (r["tier"], r["rid"], r["candidates"]) for r in out.collect()} == want and {w[0] for w in want.values()} == {"exact", "alias", "suffix", "prefix", "ambiguous", "none"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
