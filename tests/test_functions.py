@@ -342,3 +342,28 @@ def test_ladder_deals_each_name_once_and_equals_brute_force(spark):
     assert {r["qid"]: (r["tier"], r["rid"], r["candidates"]) for r in out.collect()} == want and {w[0] for w in want.values()} == {"exact", "alias", "suffix", "prefix", "ambiguous", "none"}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
+
+
+def test_duplicates_of_equal_asks_and_entities_meet_as_blocks(spark, monkeypatch):
+    """Each pair stands once with its best reason whatever the blocks, null ids too; a join meets blocks of ids, and pairs are spread behind it."""
+    from ladderline.operators import resolve
+
+    monkeypatch.setattr(resolve, "BLOCK", 4, raising=False)
+    monkeypatch.setattr(resolve, "HOT", 6)
+    asked = [(i, f"n{i % 3}", f"d{i % 2}.com" if i % 5 else None) for i in range(40)] + [(3, "n1", "d7.com"), (4, "N2 ", None), (99, None, "d1.com")]
+    entities = [(i, f"N{i % 4} ", f"d{i % 3}.com") for i in range(50)] + [(7, "n2", "d7.com"), (None, "n0", "d0.com")]
+    aliases = [("n1", 8), ("N0", 9), ("n2", 3), ("n2", 8)]
+    low = lambda x: x and x.strip().lower()
+    names, homes, keys, sites, spelled = {}, {}, {}, {}, {}
+    for rows, a, b in ((asked, names, homes), (entities, keys, sites)):
+        for i, name, domain in rows:
+            a.setdefault(i, set()).update({low(name)} - {None})
+            b.setdefault(i, set()).update({domain} - {None})
+    for alias, i in aliases:
+        spelled.setdefault(i, set()).add(low(alias))
+    want = {(a, e): "name" if names[a] & keys[e] else "alias" if names[a] & spelled.get(e, set()) else "domain" for a in names for e in keys if names[a] & (keys[e] | spelled.get(e, set())) or homes[a] & sites[e]}
+    out = resolve.find_duplicates(spark.createDataFrame(asked, "ask_id long, name string, domain string"), spark.createDataFrame(entities, "entity_id long, canonical_name string, domain string"), spark.createDataFrame(aliases, "alias_text string, entity_id long"))
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(want) and {(a, e): on for a, e, on in got} == want and set(want.values()) == {"name", "alias", "domain"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(ask_ids") == plan.count("explode(entity_ids") == 3
